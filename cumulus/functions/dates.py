@@ -31,14 +31,29 @@ _DAY_LABEL_PY = "%b %d '%y"
 HEADER_DAY_FORMAT = "M/d/yy"
 
 
+# Fixed value: two-digit years at or above this (69-99) are read as 19xx, below as 20xx
+# (the POSIX strptime rule); Spark's own "yy" would read "96" as 2096.
+TWO_DIGIT_YEAR_PIVOT = 69
+
+
+def _two_digit_year(fmt: str) -> bool:
+    return "yy" in fmt and "yyy" not in fmt
+
+
 def update_date(c, formats=UPDATE_DATE_FORMATS) -> Column:
     """Text in any of the known layouts to a date (time of day dropped); anything else gives null.
 
     The layouts do not overlap (each parses only its own shape), so the first
-    that parses wins.
+    that parses wins. Two-digit years follow ``TWO_DIGIT_YEAR_PIVOT``.
     """
     c = as_col(c)
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats]).cast("date")
+    parsed = []
+    for f in formats:
+        d = F.try_to_timestamp(c, F.lit(f)).cast("date")
+        if _two_digit_year(f):
+            d = F.when(F.year(d) >= 2000 + TWO_DIGIT_YEAR_PIVOT, F.add_months(d, -1200)).otherwise(d)
+        parsed.append(d)
+    return F.coalesce(*parsed)
 
 
 def observed_date(c, fmt: str = OBSERVED_DATE_FORMAT) -> Column:
@@ -64,7 +79,7 @@ def parse_header_day(name: str) -> _dt.date | None:
         return None
     month, day, year = (int(p) for p in parts)
     if len(parts[2]) <= 2:
-        year += 2000
+        year += 1900 if year >= TWO_DIGIT_YEAR_PIVOT else 2000
     try:
         return _dt.date(year, month, day)
     except ValueError:

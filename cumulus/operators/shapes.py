@@ -139,15 +139,18 @@ def to_unpacked(
     counts: str,
     start_date: _dt.date,
     n_days: int,
-    label_format: str | None = None,
+    namer=None,
 ) -> DataFrame:
-    """One column per day named by its date label ("Jan 22 '20"); narrow projection.
+    """One column per day named by its date label ("Jan 22 '20", or ``namer(date)``);
+    a narrow projection.
 
     Past the end of a short array, or on a null array, the cell is null.
     """
     if isinstance(start_date, str):
         start_date = _dt.date.fromisoformat(start_date)
     arr = F.col(counts)
-    labels = [day_label(start_date, i) if label_format is None else day_label(start_date, i, label_format)
-              for i in range(n_days)]
+    if namer is None:
+        labels = [day_label(start_date, i) for i in range(n_days)]
+    else:
+        labels = [namer(start_date + _dt.timedelta(days=i)) for i in range(n_days)]
     return horizontal.select(*ids, *[F.get(arr, i).alias(lbl) for i, lbl in enumerate(labels)])

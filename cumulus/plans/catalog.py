@@ -17,7 +17,14 @@ from cumulus.operators.growth import growth_horizontal, growth_vertical
 from cumulus.operators.merge import merge_global, merge_global_vertical, merge_us, merge_us_vertical
 from cumulus.operators.shapes import dense_ordinal, to_horizontal, to_vertical
 from cumulus.plans import fixtures as fx
-from cumulus.plans import quarters, rates, trends
+from cumulus.plans import quarters, rates, rendering, trends
+from cumulus.operators import cleaning
+from cumulus.functions.dates import update_date
+from cumulus.functions.parse import try_long
+from cumulus.functions.text import normalise_country, normalise_region
+from cumulus.session import scratch_path
+from cumulus.sinks.csv import write_csv
+from cumulus.sources.csv import read_lines, read_table_csv, read_wide_csv, tokenised_lines
 from cumulus.schemas import GLOBAL_IDS, US_IDS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,6 +171,68 @@ def q_dense_ordinal(spark, sf_dir):
     return dense_ordinal(orders, "id", order_by=["o_orderdate", "o_orderkey"])
 
 
+# ---- raw text in, cleaning, CSV out ---------------------------------------------
+# These write the derived inputs as raw text first (an action), then return a
+# lazy read of it.
+
+def q_load_wide_csv(spark, sf_dir):
+    wide = read_wide_csv(spark, rendering.render_global(spark, sf_dir, "confirmed"))
+    return _text(cleaning.global_horizontal(wide), "counts")
+
+
+def q_parse_quoted_lines(spark, sf_dir):
+    toks = tokenised_lines(read_lines(spark, rendering.render_global(spark, sf_dir, "confirmed")))
+    t = F.col("tokens")
+    total = F.aggregate(F.slice(t, 5, F.size(t) - 4), F.lit(0).cast("bigint"),
+                        lambda acc, x: acc + F.coalesce(x.try_cast("bigint"), F.lit(0).cast("bigint")))
+    return toks.select(F.size(t).alias("n_fields"), F.get(t, 0).alias("region"), F.get(t, 1).alias("country"),
+                       total.alias("total"))
+
+
+def q_load_us_csv(spark, sf_dir):
+    wide = read_wide_csv(spark, rendering.render_us_deaths(spark, sf_dir))
+    return _text(cleaning.us_horizontal(wide, with_population=True), "counts")
+
+
+def q_clean_place_dim(spark, sf_dir):
+    return cleaning.place_dim(read_table_csv(spark, rendering.render_places(spark, sf_dir)))
+
+
+def _raw_log(spark, sf_dir):
+    return read_table_csv(spark, rendering.render_log(spark, sf_dir))
+
+
+def q_clean_observation_log(spark, sf_dir):
+    return cleaning.observation_log(_raw_log(spark, sf_dir))
+
+
+def q_parse_update_dates(spark, sf_dir):
+    raw = _raw_log(spark, sf_dir)
+    c = raw.columns
+    return raw.select(try_long(F.col(c[0])).alias("id"), F.col(f"`{c[4]}`").alias("last_update_text"),
+                      update_date(F.col(f"`{c[4]}`")).alias("last_updated"))
+
+
+def q_normalise_region(spark, sf_dir):
+    raw = _raw_log(spark, sf_dir)
+    c = [F.col(f"`{n}`") for n in raw.columns]
+    return raw.select(try_long(c[0]).alias("id"), c[2].alias("region_raw"),
+                      normalise_region(c[2], c[3]).alias("region"))
+
+
+def q_normalise_country(spark, sf_dir):
+    raw = _raw_log(spark, sf_dir)
+    c = [F.col(f"`{n}`") for n in raw.columns]
+    return raw.select(try_long(c[0]).alias("id"), c[3].alias("country_raw"),
+                      normalise_country(c[3]).alias("country"))
+
+
+def q_csv_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "query2-csv")
+    write_csv(trends.global_count_vertical(_merged_vertical(spark, sf_dir)), path, include_header=True)
+    return rendering.read_back_vertical(spark, path)
+
+
 QUERIES: dict[str, Query] = {
     "global_percent_by_quarter": q_global_percent_by_quarter,
     "us_percent_by_quarter": q_us_percent_by_quarter,
@@ -186,4 +255,13 @@ QUERIES: dict[str, Query] = {
     "to_vertical_global": q_to_vertical_global,
     "to_vertical_us": q_to_vertical_us,
     "dense_ordinal": q_dense_ordinal,
+    "load_wide_csv": q_load_wide_csv,
+    "parse_quoted_lines": q_parse_quoted_lines,
+    "load_us_csv": q_load_us_csv,
+    "clean_place_dim": q_clean_place_dim,
+    "clean_observation_log": q_clean_observation_log,
+    "parse_update_dates": q_parse_update_dates,
+    "normalise_region": q_normalise_region,
+    "normalise_country": q_normalise_country,
+    "csv_round_trip": q_csv_round_trip,
 }

@@ -327,4 +327,67 @@ SELECT * FROM us_vd"""
 SELECT o_orderkey, o_custkey, o_orderdate,
        row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS id
 FROM orders"""
+    cal2 = "cal2 AS (SELECT CAST(datediff('day', lo, hi) + 1 AS BIGINT) AS n FROM cal)"
+    f = "CAST('{}' AS FLOAT)"
+    q["load_wide_csv"] = _with(PLACES, SERIES, cal2) + f"""
+SELECT region, country, latitude, longitude, {_txt('counts')} AS counts FROM h_confirmed
+UNION ALL SELECT NULL, 'Korea, South', {f.format(36)}, {f.format(128)}, {_txt('range(1, n + 1)')} FROM cal2
+UNION ALL SELECT 'x "y" z', 'EDGE_B', {f.format(2)}, {f.format(3)}, {_txt('range(1, n + 1)')} FROM cal2
+UNION ALL SELECT NULL, 'EDGE_A', {f.format(2)}, {f.format(3)}, {_txt('list_append(range(1, n), NULL)')} FROM cal2
+UNION ALL SELECT NULL, 'EDGE_SHIP', {f.format(0)}, {f.format(0)}, {_txt('range(1, n + 1)')} FROM cal2"""
+    q["parse_quoted_lines"] = _with(PLACES, SERIES, cal2) + """
+SELECT CAST(4 + n AS INTEGER) AS n_fields, region, country, CAST(list_sum(counts) AS BIGINT) AS total
+FROM h_confirmed, cal2
+UNION ALL SELECT CAST(4 + n AS INTEGER), NULL, 'Korea, South', CAST(n * (n + 1) // 2 AS BIGINT) FROM cal2
+UNION ALL SELECT CAST(4 + n AS INTEGER), 'x y z', 'EDGE_B', CAST(n * (n + 1) // 2 AS BIGINT) FROM cal2
+UNION ALL SELECT CAST(4 + n AS INTEGER), NULL, 'EDGE_A', CAST((n - 1) * n // 2 AS BIGINT) FROM cal2
+UNION ALL SELECT CAST(4 + n AS INTEGER), NULL, 'EDGE_SHIP', CAST(n * (n + 1) // 2 AS BIGINT) FROM cal2"""
+    q["load_us_csv"] = _with(PLACES, SERIES, US) + f"""
+SELECT uid, iso2, iso3, code3, FIPS, Admin2, region, country, latitude, longitude, combined_key,
+       {_txt('counts')} AS counts, population FROM us_hd"""
+    q["clean_place_dim"] = _with(PLACES) + f"""
+SELECT * FROM places
+UNION ALL SELECT 9001, 'KR', 'KOR', 410, NULL, NULL, NULL, 'Korea, South', {f.format(36)}, {f.format(128)},
+                 'Korea, South', 51269183
+UNION ALL SELECT 9002, NULL, NULL, NULL, NULL, NULL, NULL, 'EDGE_SHIP', {f.format(0)}, {f.format(0)},
+                 'EDGE_SHIP', NULL
+UNION ALL SELECT 9003, 'US', 'USA', 840, 1001, 'Autauga', 'Alabama', 'US', {f.format(32.5)}, {f.format(-86.6)},
+                 'Autauga, Alabama, US', 55869"""
+    log_edges = """
+UNION ALL SELECT * FROM (VALUES
+  (1, DATE '2020-01-22', 'Diamond Princess', 'Others', DATE '2020-01-22', 12, 1, 0),
+  (2, DATE '2020-01-22', NULL, 'St. Martin', DATE '2020-01-22', 12, 0, 0),
+  (3, DATE '2020-01-23', NULL, 'Bahamas', DATE '2020-01-22', 3, NULL, 1),
+  (4, DATE '2020-01-23', 'Grand Princess', 'Canada', DATE '2020-02-01', 5, 0, 0),
+  (5, DATE '2020-01-24', NULL, 'NATION_3', DATE '2020-03-08', 7, 1, 2),
+  (6, DATE '2020-01-24', 'Hubei', 'Gambia', NULL, 1, 0, 0),
+  (7, DATE '2020-01-24', NULL, 'Spain', DATE '2020-01-22', 2, 0, 0)) e"""
+    q["clean_observation_log"] = _with(LOG) + "SELECT * FROM log" + log_edges
+    q["parse_update_dates"] = _with(LOG) + """
+SELECT id,
+       CASE id % 5 WHEN 0 THEN strftime(ts, '%-m/%-d/%Y %-H:%M')
+                   WHEN 1 THEN strftime(ts, '%-m/%-d/%y %H:%M')
+                   WHEN 2 THEN strftime(ts, '%-m/%-d/%y %-H:%M')
+                   WHEN 3 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
+                   ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS last_update_text,
+       observed_date AS last_updated
+FROM (SELECT *, CAST(observed_date AS TIMESTAMP) + to_hours(CAST(id % 24 AS INTEGER))
+                + to_minutes(CAST(id % 60 AS INTEGER)) AS ts FROM log) t
+UNION ALL SELECT * FROM (VALUES
+  (1, '1/22/2020 17:00', DATE '2020-01-22'), (2, '1/22/20 17:00', DATE '2020-01-22'),
+  (3, '1/22/20 7:00', DATE '2020-01-22'), (4, '2020-02-01T19:53:03', DATE '2020-02-01'),
+  (5, '2020-03-08 05:31:00', DATE '2020-03-08'), (6, 'Jan 22', NULL), (7, '1/22/20 0:30', DATE '2020-01-22')) e"""
+    q["normalise_region"] = _with(LOG) + """
+SELECT id, region AS region_raw, region FROM log
+UNION ALL SELECT * FROM (VALUES
+  (1, 'Diamond Princess cruise ship', 'Diamond Princess'), (2, 'None', NULL), (3, 'Unknown', NULL),
+  (4, 'Grand Princess', 'Grand Princess'), (5, 'NATION_3', NULL), (6, ' Hubei ', 'Hubei'),
+  (7, NULL, NULL)) e"""
+    q["normalise_country"] = _with(LOG) + """
+SELECT id, country AS country_raw, country FROM log
+UNION ALL SELECT * FROM (VALUES
+  (1, 'Others', 'Others'), (2, '(''St. Martin'',)', 'St. Martin'), (3, 'Bahamas, The', 'Bahamas'),
+  (4, 'Canada', 'Canada'), (5, 'NATION_3', 'NATION_3'), (6, 'The Gambia', 'Gambia'),
+  (7, '  Spain ', 'Spain')) e"""
+    q["csv_round_trip"] = q["global_count_vertical"]
     return q
