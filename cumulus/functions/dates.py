@@ -12,12 +12,13 @@ from cumulus.functions._util import as_col
 # The five layouts of the "last updated" field in observation logs,
 # e.g. "1/22/2020 17:00", "1/22/20 17:00", "1/22/20 7:00", "2020-02-01T19:53:03",
 # "2020-03-08 05:31:00". One- and two-digit hours share the "H" pattern, so
-# "1/22/20 0:30" parses too.
+# "1/22/20 0:30" parses too. Each layout is paired with a regex for the shape of
+# its date part, so a value is parsed with one layout only.
 UPDATE_DATE_FORMATS = (
-    "M/d/yyyy H:mm",
-    "M/d/yy H:mm",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss",
+    (r"^\d{1,2}/\d{1,2}/\d{4} ", "M/d/yyyy H:mm"),
+    (r"^\d{1,2}/\d{1,2}/\d{2} ", "M/d/yy H:mm"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}T", "yyyy-MM-dd'T'HH:mm:ss"),
+    (r"^\d{4}-\d{1,2}-\d{1,2} ", "yyyy-MM-dd HH:mm:ss"),
 )
 
 # Fixed value: layout of the observation date column, e.g. "01/22/2020".
@@ -43,17 +44,19 @@ def _two_digit_year(fmt: str) -> bool:
 def update_date(c, formats=UPDATE_DATE_FORMATS) -> Column:
     """Text in any of the known layouts to a date (time of day dropped); anything else gives null.
 
-    The layouts do not overlap (each parses only its own shape), so the first
-    that parses wins. Two-digit years follow ``TWO_DIGIT_YEAR_PIVOT``.
+    The date part's shape picks the one layout to try (a regex test is much
+    cheaper than a failed parse); text of that shape that still does not parse
+    gives null. Two-digit years follow ``TWO_DIGIT_YEAR_PIVOT``.
     """
     c = as_col(c)
-    parsed = []
-    for f in formats:
-        d = F.try_to_timestamp(c, F.lit(f)).cast("date")
-        if _two_digit_year(f):
+    expr = None
+    for shape, fmt in formats:
+        d = F.try_to_timestamp(c, F.lit(fmt)).cast("date")
+        if _two_digit_year(fmt):
             d = F.when(F.year(d) >= 2000 + TWO_DIGIT_YEAR_PIVOT, F.add_months(d, -1200)).otherwise(d)
-        parsed.append(d)
-    return F.coalesce(*parsed)
+        cond = c.rlike(shape)
+        expr = F.when(cond, d) if expr is None else expr.when(cond, d)
+    return expr
 
 
 def observed_date(c, fmt: str = OBSERVED_DATE_FORMAT) -> Column:

@@ -61,36 +61,45 @@ def dense_ordinal(df: DataFrame, name: str = "id", order_by: Sequence[str] | Non
 def to_horizontal(
     vertical: DataFrame,
     keys: Sequence[str],
-    value: str,
+    value,
     start_date,
     n_days=None,
     date_col: str = "date",
-    out: str = "counts",
+    out: str | None = None,
 ) -> DataFrame:
     """Pack a vertical series into one array per place.
 
     Position i of the array holds the value of day ``start_date + i``; days a place
     lacks are null, so gaps never shift later days. ``n_days`` (int or Column)
     fixes the array length; by default it runs to the place's last day.
+    ``value`` may be a list of measures: all are packed in the same pass, one
+    array column each (named after the measure); a single measure gives ``out``
+    (default ``counts``).
 
     One shuffle on ``keys``. Each group holds one entry per day of one place, so
     its size is bounded by the calendar, not by the data volume.
     """
+    values = [value] if isinstance(value, str) else list(value)
+    names = [out or "counts"] if isinstance(value, str) else values
     start = _date_col(start_date)
     offset = F.datediff(F.col(date_col), start)
     grouped = vertical.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct(offset.alias("k"), F.col(value).alias("v")))).alias("_m"),
+        *[F.map_from_entries(F.collect_list(F.struct(offset.alias("k"), F.col(v).alias("v")))).alias(f"_m{i}")
+          for i, v in enumerate(values)],
         F.max(offset).alias("_last"),
     )
     length = F.lit(n_days) if isinstance(n_days, int) else (n_days if n_days is not None else F.col("_last") + 1)
     # The length may be a scalar subquery, which Spark does not allow inside a
     # higher-order function: project it to a column first.
     grouped = grouped.withColumn("_len", length)
-    counts = F.when(
-        F.col("_len") > 0,
-        F.transform(F.sequence(F.lit(0), F.col("_len") - 1), lambda i: F.try_element_at(F.col("_m"), i)),
-    ).otherwise(F.array().cast("array<bigint>"))
-    return grouped.select(*keys, counts.cast("array<bigint>").alias(out))
+
+    def packed(i):
+        return F.when(
+            F.col("_len") > 0,
+            F.transform(F.sequence(F.lit(0), F.col("_len") - 1), lambda d: F.try_element_at(F.col(f"_m{i}"), d)),
+        ).otherwise(F.array().cast("array<bigint>")).cast("array<bigint>")
+
+    return grouped.select(*keys, *[packed(i).alias(n) for i, n in enumerate(names)])
 
 
 def to_vertical(

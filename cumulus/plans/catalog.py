@@ -32,9 +32,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 _PLACE_ORDER = ["country", "region"]
 
 
-def _start_date(spark: SparkSession, sf_dir: str):
-    """ACTION: first day of the derived calendar (needed on the driver to name day columns)."""
-    return fx.daily_events(spark, sf_dir).agg(F.min("date")).first()[0]
+def _calendar(spark: SparkSession, sf_dir: str):
+    """ACTION: first day and length of the derived calendar (the driver names day columns)."""
+    return rendering.calendar_values(spark, sf_dir)
 
 
 def _text(df: DataFrame, *cols: str) -> DataFrame:
@@ -121,11 +121,13 @@ def q_merge_us_vertical(spark, sf_dir):
 
 
 def q_global_count_unpacked(spark, sf_dir):
-    return trends.global_count_unpacked(_merged(spark, sf_dir), "confirmed", _start_date(spark, sf_dir))
+    start, n_days = _calendar(spark, sf_dir)
+    return trends.global_count_unpacked(_merged(spark, sf_dir), "confirmed", start, n_days)
 
 
 def q_growth_unpacked(spark, sf_dir):
-    return trends.growth_unpacked(_merged(spark, sf_dir), "confirmed", _start_date(spark, sf_dir))
+    start, n_days = _calendar(spark, sf_dir)
+    return trends.growth_unpacked(_merged(spark, sf_dir), "confirmed", start, n_days)
 
 
 def q_global_count_vertical(spark, sf_dir):

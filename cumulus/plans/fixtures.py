@@ -22,12 +22,13 @@ than its partial aggregate. Everything after that is one row per place and day.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cumulus.operators.shapes import dense_ordinal, to_horizontal
+from cumulus.operators.shapes import to_horizontal
 from cumulus.schemas import GLOBAL_IDS, US_IDS
 
 # Fixed values of the derivation (documented in FIXTURES.md).
@@ -47,6 +48,13 @@ DAY_INDEX = 30               # 1-based "final day" of the derived series
 DEATH_RATE_COUNTRIES = ("NATION_0", "NATION_1", "NATION_3", "NATION_9", "NATION_10", "NATION_24")
 
 
+# Builders are memoised per (session, folder): DataFrames are immutable and lazy,
+# so sharing the objects caches no data, saves re-planning, and lets Spark see
+# identical subtrees (and reuse their shuffles) when a query uses one twice.
+_memo = functools.lru_cache(maxsize=256)
+
+
+@_memo
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -64,6 +72,7 @@ def _longitude(key: Column) -> Column:
     return (key * 7 - 84).cast("float")
 
 
+@_memo
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place dimension in the lookup-table schema (uid ... population)."""
     nation = table(spark, sf_dir, "nation").select(
@@ -89,7 +98,10 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("country").alias("combined_key"),
         F.when(k == NULL_POPULATION_KEY, F.lit(None)).otherwise(F.col("n") * 1000).cast("bigint").alias("population"),
     )
-    segments = dense_ordinal(per_segment.select("seg").distinct(), "seg_idx", order_by=["seg"])
+    # Rank of the segment among all segments. The window has no partition key, but
+    # its input is the distinct values of a categorical column (five in TPC-H).
+    segments = per_segment.select("seg").distinct().select(
+        "seg", (F.dense_rank().over(Window.orderBy("seg")) - 1).alias("seg_idx"))
     uid = F.lit(1000) + k * 10 + F.col("seg_idx")
     provinces = (
         per_segment.where(k % PROVINCE_EVERY == 0)
@@ -113,6 +125,14 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return countries.unionByName(provinces)
 
 
+@_memo
+def country_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(country, latitude, longitude) of the country rows; depends on ``nation`` only."""
+    k = F.col("n_nationkey").cast("bigint")
+    return table(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("country"), _latitude(k).alias("latitude"), _longitude(k).alias("longitude"))
+
+
 @dataclass
 class Calendar:
     """First day and number of days of the derived series, as lazy scalar subqueries."""
@@ -121,6 +141,7 @@ class Calendar:
     n_days: Column
 
 
+@_memo
 def _event_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     nk = F.col("user_id") % N_COUNTRIES
@@ -133,6 +154,7 @@ def _event_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per (region, country, day): how many events of each measure's type (partial agg map-side)."""
     ev = _event_places(spark, sf_dir)
@@ -141,6 +163,7 @@ def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def calendar(spark: SparkSession, sf_dir: str) -> Calendar:
     daily = daily_events(spark, sf_dir)
     lo = daily.select(F.min("date")).scalar()
@@ -148,6 +171,7 @@ def calendar(spark: SparkSession, sf_dir: str) -> Calendar:
     return Calendar(start=lo, n_days=F.datediff(hi, lo) + 1)
 
 
+@_memo
 def series_vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative counts per place and day, dense over the calendar.
 
@@ -181,8 +205,7 @@ def series_vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
         "region", "country", "date",
         *[F.sum(m).over(running).cast("bigint").alias(m) for m in MEASURE_EVENTS],
     )
-    coords = places(spark, sf_dir).where(F.col("region").isNull()).select("country", "latitude", "longitude")
-    return cumulative.join(coords, "country", "left").select(
+    return cumulative.join(country_coordinates(spark, sf_dir), "country", "left").select(
         "region", "country",
         F.coalesce("latitude", F.lit(0.0).cast("float")).alias("latitude"),
         F.coalesce("longitude", F.lit(0.0).cast("float")).alias("longitude"),
@@ -190,6 +213,7 @@ def series_vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def global_series(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Horizontal (region, country, latitude, longitude, counts) frames per measure.
 
@@ -199,9 +223,11 @@ def global_series(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """
     v = series_vertical(spark, sf_dir)
     cal = calendar(spark, sf_dir)
-    confirmed = to_horizontal(v, GLOBAL_IDS, "confirmed", cal.start, cal.n_days)
-    deaths = to_horizontal(v.where(F.col("country") != DROPPED_FROM_DEATHS), GLOBAL_IDS, "deaths",
-                           cal.start, cal.n_days)
+    # confirmed and deaths come from one packing pass (a shared subtree, so a merge
+    # of the two reuses its shuffle); recovered needs its own grouping.
+    packed = to_horizontal(v, GLOBAL_IDS, ["confirmed", "deaths"], cal.start, cal.n_days)
+    confirmed = packed.select(*GLOBAL_IDS, F.col("confirmed").alias("counts"))
+    deaths = packed.where(F.col("country") != DROPPED_FROM_DEATHS).select(*GLOBAL_IDS, F.col("deaths").alias("counts"))
     collapsed = v.select(
         F.when(F.col("country") == COLLAPSED_IN_RECOVERED, F.lit(None)).otherwise(F.col("region")).alias("region"),
         "country", "latitude", "longitude", "date", "recovered",
@@ -210,6 +236,7 @@ def global_series(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"confirmed": confirmed, "deaths": deaths, "recovered": recovered}
 
 
+@_memo
 def us_series(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Places with a region in the US file layout: ``confirmed`` without and ``deaths``
     with population (the country row's)."""
@@ -226,12 +253,13 @@ def us_series(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.concat_ws(", ", "region", "country").alias("combined_key"),
         "population", "date", "confirmed", "deaths",
     )
-    confirmed = to_horizontal(ided, list(US_IDS), "confirmed", cal.start, cal.n_days)
-    deaths = to_horizontal(ided, [*US_IDS, "population"], "deaths", cal.start, cal.n_days)
-    deaths = deaths.select(*US_IDS, "counts", "population")
+    packed = to_horizontal(ided, [*US_IDS, "population"], ["confirmed", "deaths"], cal.start, cal.n_days)
+    confirmed = packed.select(*US_IDS, F.col("confirmed").alias("counts"))
+    deaths = packed.select(*US_IDS, F.col("deaths").alias("counts"), "population")
     return {"confirmed": confirmed, "deaths": deaths}
 
 
+@_memo
 def observation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observation log: per (segment, nation, order day) the running number of orders
     (confirmed), of status F orders (deaths) and of status P orders (recovered).
