@@ -18,10 +18,17 @@ Everything scans its whole table. The heavy steps are the first aggregation of
 ``events`` and the ``orders``-``customer`` join; both aggregate map-side before
 shuffling, so a place or customer holding a large share of rows costs no more
 than its partial aggregate. Everything after that is one row per place and day.
+
+The three derived tables (places, series, observation log) are written once per
+session as Parquet below ``spark.checkpoint.dir`` and read back (see
+``session.materialize``): each is small next to its source, every query reads
+it, and without this Catalyst would re-derive it per query branch (each branch
+prunes and filters differently, so the scans are not shared).
 """
 
 from __future__ import annotations
 
+import datetime as _dt
 import functools
 from dataclasses import dataclass
 
@@ -29,6 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cumulus.operators.shapes import to_horizontal
+from cumulus.session import materialize
 from cumulus.schemas import GLOBAL_IDS, US_IDS
 
 # Fixed values of the derivation (documented in FIXTURES.md).
@@ -122,7 +130,7 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("n") * 1000).cast("bigint").alias("population"),
         )
     )
-    return countries.unionByName(provinces)
+    return materialize(countries.unionByName(provinces), "places")
 
 
 @_memo
@@ -133,12 +141,20 @@ def country_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("country"), _latitude(k).alias("latitude"), _longitude(k).alias("longitude"))
 
 
-@dataclass
+@dataclass(frozen=True)
 class Calendar:
-    """First day and number of days of the derived series, as lazy scalar subqueries."""
+    """First day and number of days of the derived series."""
+
+    start_date: _dt.date
+    n_days: int
 
-    start: Column
-    n_days: Column
+    @property
+    def start(self) -> Column:
+        return F.lit(self.start_date).cast("date")
+
+    @property
+    def last(self) -> Column:
+        return F.lit(self.start_date + _dt.timedelta(days=self.n_days - 1)).cast("date")
 
 
 @_memo
@@ -165,10 +181,16 @@ def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_memo
 def calendar(spark: SparkSession, sf_dir: str) -> Calendar:
-    daily = daily_events(spark, sf_dir)
-    lo = daily.select(F.min("date")).scalar()
-    hi = daily.select(F.max("date")).scalar()
-    return Calendar(start=lo, n_days=F.datediff(hi, lo) + 1)
+    """ACTION (once per session and folder): first and last event day.
+
+    One global aggregate (partial min/max per task) returning a single row. The
+    bounds then enter every plan as literals, instead of as scalar subqueries
+    that each re-scan ``events``.
+    """
+    row = _event_places(spark, sf_dir).agg(F.min("date").alias("lo"), F.max("date").alias("hi")).first()
+    if row["lo"] is None:
+        return Calendar(_dt.date(1970, 1, 1), 0)
+    return Calendar(row["lo"], (row["hi"] - row["lo"]).days + 1)
 
 
 @_memo
@@ -185,8 +207,8 @@ def series_vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
     cal = calendar(spark, sf_dir)
     grid = daily.select("region", "country").distinct().select(
         "region", "country",
-        F.explode(F.sequence(cal.start, F.date_add(cal.start, cal.n_days - 1))).alias("date"),
-    )
+        F.explode(F.sequence(cal.start, cal.last)).alias("date"),
+    ).where(F.lit(cal.n_days > 0))
     d = daily.alias("d")
     g = grid.alias("g")
     dense = g.join(
@@ -205,12 +227,13 @@ def series_vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
         "region", "country", "date",
         *[F.sum(m).over(running).cast("bigint").alias(m) for m in MEASURE_EVENTS],
     )
-    return cumulative.join(country_coordinates(spark, sf_dir), "country", "left").select(
+    series = cumulative.join(country_coordinates(spark, sf_dir), "country", "left").select(
         "region", "country",
         F.coalesce("latitude", F.lit(0.0).cast("float")).alias("latitude"),
         F.coalesce("longitude", F.lit(0.0).cast("float")).alias("longitude"),
         "date", *MEASURE_EVENTS,
     )
+    return materialize(series, "series")
 
 
 @_memo
@@ -287,10 +310,11 @@ def observation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     running = Window.partitionBy("region", "country").orderBy("observed_date").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    return daily.select(
+    log = daily.select(
         "id", "observed_date", "region", "country",
         F.col("observed_date").alias("last_updated"),
         F.sum("n").over(running).cast("bigint").alias("confirmed"),
         F.sum("f").over(running).cast("bigint").alias("deaths"),
         F.sum("p").over(running).cast("bigint").alias("recovered"),
     )
+    return materialize(log, "observation-log")

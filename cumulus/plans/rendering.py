@@ -32,9 +32,9 @@ UPDATE_RENDER_FORMATS = ("M/d/yyyy H:mm", "M/d/yy HH:mm", "M/d/yy H:mm",
 
 
 def calendar_values(spark: SparkSession, sf_dir: str) -> tuple[_dt.date, int]:
-    """ACTION: first day and number of days of the derived series (one tiny aggregate)."""
-    row = fx.daily_events(spark, sf_dir).agg(F.min("date").alias("lo"), F.max("date").alias("hi")).first()
-    return row["lo"], (row["hi"] - row["lo"]).days + 1
+    """First day and number of days of the derived series (see ``fixtures.calendar``)."""
+    cal = fx.calendar(spark, sf_dir)
+    return cal.start_date, cal.n_days
 
 
 def _write_lines(spark: SparkSession, path: str, header: str, lines: list[str]) -> None:

@@ -67,3 +67,17 @@ def local_path(uri: str) -> str:
         while uri.startswith("//"):
             uri = uri[1:]
     return os.path.abspath(uri)
+
+
+def materialize(df, name: str):
+    """ACTION: write ``df`` as a Parquet table below the shared checkpoint folder and
+    return a scan of it.
+
+    Used for small derived tables that many queries read: it computes them once,
+    cuts their lineage (a lost executor re-reads the files instead of recomputing
+    the scans behind them), and gives later plans real file statistics.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
