@@ -42,10 +42,7 @@ def main() -> None:
     times = {}
     # Derive and write the inputs every query reads (places, series, log): timed and counted.
     t0 = time.perf_counter()
-    fx.calendar(spark, sf_dir)
-    fx.places(spark, sf_dir)
-    fx.series_vertical(spark, sf_dir)
-    fx.observation_log(spark, sf_dir)
+    fx.prepare(spark, sf_dir)
     times["prepare_inputs"] = round(time.perf_counter() - t0, 3)
     for name, key in HEADLINE.items():
         t0 = time.perf_counter()

@@ -191,6 +191,16 @@ def q_parse_quoted_lines(spark, sf_dir):
                        total.alias("total"))
 
 
+def q_load_wide_csv_vertical(spark, sf_dir):
+    wide = read_wide_csv(spark, rendering.render_global(spark, sf_dir, "deaths"))
+    return cleaning.global_vertical(wide, id_order=_PLACE_ORDER)
+
+
+def q_load_us_csv_vertical(spark, sf_dir):
+    wide = read_wide_csv(spark, rendering.render_us_deaths(spark, sf_dir))
+    return cleaning.us_vertical(wide, with_population=True)
+
+
 def q_load_us_csv(spark, sf_dir):
     wide = read_wide_csv(spark, rendering.render_us_deaths(spark, sf_dir))
     return _text(cleaning.us_horizontal(wide, with_population=True), "counts")
@@ -260,6 +270,8 @@ QUERIES: dict[str, Query] = {
     "load_wide_csv": q_load_wide_csv,
     "parse_quoted_lines": q_parse_quoted_lines,
     "load_us_csv": q_load_us_csv,
+    "load_wide_csv_vertical": q_load_wide_csv_vertical,
+    "load_us_csv_vertical": q_load_us_csv_vertical,
     "clean_place_dim": q_clean_place_dim,
     "clean_observation_log": q_clean_observation_log,
     "parse_update_dates": q_parse_update_dates,

@@ -318,3 +318,19 @@ def observation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("p").over(running).cast("bigint").alias("recovered"),
     )
     return materialize(log, "observation-log")
+
+
+def prepare(spark: SparkSession, sf_dir: str) -> None:
+    """ACTION: derive and write the three input tables, as concurrent Spark jobs.
+
+    They are independent, so they are submitted from three driver threads and
+    share the cluster instead of running one after the other. Later calls of the
+    builders return the written tables.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    calendar(spark, sf_dir)  # needed by the series; one tiny aggregate
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        futures = [pool.submit(fn, spark, sf_dir) for fn in (places, series_vertical, observation_log)]
+        for f in futures:
+            f.result()

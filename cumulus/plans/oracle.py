@@ -342,6 +342,27 @@ UNION ALL SELECT CAST(4 + n AS INTEGER), NULL, 'Korea, South', CAST(n * (n + 1)
 UNION ALL SELECT CAST(4 + n AS INTEGER), 'x y z', 'EDGE_B', CAST(n * (n + 1) // 2 AS BIGINT) FROM cal2
 UNION ALL SELECT CAST(4 + n AS INTEGER), NULL, 'EDGE_A', CAST((n - 1) * n // 2 AS BIGINT) FROM cal2
 UNION ALL SELECT CAST(4 + n AS INTEGER), NULL, 'EDGE_SHIP', CAST(n * (n + 1) // 2 AS BIGINT) FROM cal2"""
+    q["load_wide_csv_vertical"] = _with(PLACES, SERIES, cal2) + """
+, edges AS (
+  SELECT * FROM (VALUES (NULL, 'Korea, South', 36.0, 128.0, 0), ('x "y" z', 'EDGE_B', 2.0, 3.0, 0),
+                        (NULL, 'EDGE_A', 2.0, 3.0, 1), (NULL, 'EDGE_SHIP', 0.0, 0.0, 0))
+         e(region, country, lat, lon, short)
+),
+rows_v AS (
+  SELECT region, country, latitude, longitude, date, counts FROM v_deaths
+  UNION ALL
+  SELECT e.region, e.country, CAST(e.lat AS FLOAT), CAST(e.lon AS FLOAT), CAST(cal.lo + CAST(t.i AS INTEGER) AS DATE),
+         CASE WHEN e.short = 1 AND t.i = cal2.n - 1 THEN NULL ELSE CAST(t.i + 1 AS BIGINT) END
+  FROM edges e CROSS JOIN cal CROSS JOIN cal2 CROSS JOIN LATERAL (SELECT unnest(range(0, cal2.n)) AS i) t
+),
+ids AS (
+  SELECT region, country, row_number() OVER (ORDER BY country ASC NULLS FIRST, region ASC NULLS FIRST) - 1 AS id
+  FROM (SELECT DISTINCT region, country FROM rows_v) q
+)
+SELECT i.id, r.region, r.country, r.latitude, r.longitude, r.date, r.counts
+FROM rows_v r JOIN ids i ON i.region IS NOT DISTINCT FROM r.region AND i.country = r.country"""
+    q["load_us_csv_vertical"] = _with(PLACES, SERIES, US) + """
+SELECT * FROM us_vd"""
     q["load_us_csv"] = _with(PLACES, SERIES, US) + f"""
 SELECT uid, iso2, iso3, code3, FIPS, Admin2, region, country, latitude, longitude, combined_key,
        {_txt('counts')} AS counts, population FROM us_hd"""

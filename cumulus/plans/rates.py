@@ -97,4 +97,6 @@ def death_rates(deaths: DataFrame, confirmed: DataFrame, countries: Sequence[str
             F.try_divide(F.col("v.deaths"), F.col("v.cases")).cast("double").alias("death_rate")]
     if with_date:
         cols.insert(1, F.date_add(F.lit(start_date).cast("date"), F.col("day")).alias("date"))
-    return pairs.select(*cols)
+    # Ordered by country then day after the explode (the reference sorted before
+    # exploding, which leaves the final order undefined).
+    return pairs.orderBy("country", "day").select(*cols)

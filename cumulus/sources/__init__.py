@@ -3,3 +3,12 @@
 from cumulus.sources.csv import WideFile, read_lines, read_table_csv, read_wide_csv, tokenised_lines
 
 __all__ = ["WideFile", "read_lines", "read_table_csv", "read_wide_csv", "tokenised_lines"]
+
+
+def __getattr__(name):
+    # catalogue helpers import the cleaning jobs, so load them lazily
+    if name in ("load_all", "register_views", "INPUT_FILES"):
+        from cumulus.sources import catalog
+
+        return getattr(catalog, name)
+    raise AttributeError(name)

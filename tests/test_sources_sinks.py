@@ -98,3 +98,25 @@ def test_wide_sink_then_source(spark, tmp_out):
     write_wide_csv(h, tmp_out + "/w", ["region", "country", "latitude", "longitude"], "counts", START, 3)
     wide = read_wide_csv(spark, tmp_out + "/w")
     assert wide.start_date == START and cleaning.global_horizontal(wide).first().counts == [1, None, 3]
+
+
+def test_load_all_and_views(spark, tmp_out):
+    from cumulus.sources import INPUT_FILES, load_all, register_views
+
+    folder = tmp_out + "/data"
+    places = ("UID,iso2,iso3,code3,FIPS,Admin2,Province_State,Country_Region,Lat,Long_,Combined_Key,Population\n"
+              "410,KR,KOR,410,,,,\"Korea, South\",36.0,128.0,\"Korea, South\",51269183\n")
+    write_text(folder, INPUT_FILES["places"], places)
+    for m in ("confirmed", "deaths", "recovered"):
+        write_text(folder, INPUT_FILES[f"global_{m}"], GLOBAL)
+    us_conf = US_DEATHS.replace("Population,", "").replace(",55869,", ",").replace(",,2,", ",2,")
+    write_text(folder, INPUT_FILES["us_confirmed"], us_conf)
+    write_text(folder, INPUT_FILES["us_deaths"], US_DEATHS)
+    write_text(folder, INPUT_FILES["observation_log"], LOG)
+    frames = load_all(spark, folder)
+    assert frames["global_deaths"].count() == 4 and frames["us_deaths"].where("population = 55869").count() == 1
+    assert frames["us_confirmed"].where("uid = 84001001").first().counts == [0, 1]
+    register_views(frames)
+    got = spark.sql("SELECT g.country, element_at(g.counts, 3) / u.population AS incidence "
+                    "FROM global_confirmed g JOIN places u ON g.country = u.country").collect()
+    assert [(r.country, r.incidence) for r in got] == [("Korea, South", 3 / 51269183)]
