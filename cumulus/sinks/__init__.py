@@ -1,5 +1,5 @@
 """CSV writer (K1-K3)."""
 
-from cumulus.sinks.csv import write_csv, write_wide_csv
+from cumulus.sinks.csv import preview, write_csv, write_wide_csv
 
-__all__ = ["write_csv", "write_wide_csv"]
+__all__ = ["preview", "write_csv", "write_wide_csv"]

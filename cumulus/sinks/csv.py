@@ -34,3 +34,8 @@ def write_wide_csv(horizontal: DataFrame, path: str, ids, counts: str, start_dat
     headed "M/d/yy" (the layout ``read_wide_csv`` reads)."""
     wide = to_unpacked(horizontal, ids, counts, start_date, n_days, namer=header_day_name)
     write_csv(wide, path, include_header=True, mode=mode, quote_all=quote_all)
+
+
+def preview(df: DataFrame, n: int = 20, truncate: bool = True) -> None:
+    """ACTION: print the first ``n`` rows (a limit, not a full scan where the plan allows)."""
+    df.show(n, truncate=truncate)

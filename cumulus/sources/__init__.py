@@ -1,8 +1,15 @@
 """Readers for the wide series files, raw quoted lines, and the input catalogue."""
 
-from cumulus.sources.csv import WideFile, read_lines, read_table_csv, read_wide_csv, tokenised_lines
+from cumulus.sources.csv import (
+    WideFile,
+    malformed_rows,
+    read_lines,
+    read_table_csv,
+    read_wide_csv,
+    tokenised_lines,
+)
 
-__all__ = ["WideFile", "read_lines", "read_table_csv", "read_wide_csv", "tokenised_lines"]
+__all__ = ["WideFile", "malformed_rows", "read_lines", "read_table_csv", "read_wide_csv", "tokenised_lines"]
 
 
 def __getattr__(name):

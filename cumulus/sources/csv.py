@@ -93,3 +93,23 @@ def tokenised_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     """Each raw line split into ``tokens: array<string>`` the way the reference's
     tokenizer does (commas outside quotes, quotes deleted, empty -> null)."""
     return lines.select(split_quoted(col).alias("tokens"))
+
+
+CORRUPT_COLUMN = "_corrupt_record"
+
+
+def malformed_rows(spark: SparkSession, path) -> DataFrame:
+    """Rows of a CSV source whose field count does not match its header (too few,
+    too many, or an unclosed quote), with the raw line in ``_corrupt_record``.
+
+    The normal readers pad or cut such rows silently (PERMISSIVE mode); this
+    re-reads with the header's columns as an explicit schema plus Spark's
+    corrupt-record column, which flags them. Lazy, distributed, one header read.
+    """
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    cols = read_table_csv(spark, path).columns
+    schema = StructType([StructField(c, StringType(), True) for c in cols]
+                        + [StructField(CORRUPT_COLUMN, StringType(), True)])
+    df = (_reader(spark).schema(schema).option("columnNameOfCorruptRecord", CORRUPT_COLUMN).csv(path))
+    return df.where(F.col(CORRUPT_COLUMN).isNotNull())

@@ -120,3 +120,14 @@ def test_load_all_and_views(spark, tmp_out):
     got = spark.sql("SELECT g.country, element_at(g.counts, 3) / u.population AS incidence "
                     "FROM global_confirmed g JOIN places u ON g.country = u.country").collect()
     assert [(r.country, r.incidence) for r in got] == [("Korea, South", 3 / 51269183)]
+
+
+def test_malformed_rows_flagged(spark, tmp_out, capsys):
+    from cumulus.sinks import preview
+    from cumulus.sources import malformed_rows
+
+    write_text(tmp_out + "/m", "a.csv", "a,b,c,d,1/22/20,1/23/20\n,A,1,1,1,2\n,B,1,1,1\n,C,1,1,1,2,3\n")
+    bad = sorted(r["_corrupt_record"] for r in malformed_rows(spark, tmp_out + "/m").collect())
+    assert bad == [",B,1,1,1", ",C,1,1,1,2,3"]
+    preview(read_table_csv(spark, tmp_out + "/m"), 2)
+    assert "A" in capsys.readouterr().out
