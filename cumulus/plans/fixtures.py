@@ -157,25 +157,24 @@ class Calendar:
         return F.lit(self.start_date + _dt.timedelta(days=self.n_days - 1)).cast("date")
 
 
-@_memo
-def _event_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
-    nk = F.col("user_id") % N_COUNTRIES
-    region = F.when(nk % PROVINCE_EVERY == 0, F.concat(F.lit("R"), (F.col("user_id") % N_REGIONS).cast("string")))
-    return ev.select(
-        region.alias("region"),
-        F.concat(F.lit("NATION_"), nk.cast("string")).alias("country"),
-        F.to_date("ts").alias("date"),
-        "event_type",
-    )
-
-
 @_memo
 def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per (region, country, day): how many events of each measure's type (partial agg map-side)."""
-    ev = _event_places(spark, sf_dir)
-    return ev.groupBy("region", "country", "date").agg(
-        *[F.count_if(F.col("event_type") == t).alias(m) for m, t in MEASURE_EVENTS.items()]
+    """Per (region, country, day): how many events of each measure's type.
+
+    Grouped on the integer place keys (nation and region number) with map-side
+    partial aggregation; the region and country names are built afterwards, on
+    one row per place and day rather than on every event.
+    """
+    uid = F.col("user_id")
+    nk = (uid % N_COUNTRIES).cast("int")
+    rk = F.when(nk % PROVINCE_EVERY == 0, (uid % N_REGIONS).cast("int"))
+    daily = table(spark, sf_dir, "events").groupBy(
+        nk.alias("nk"), rk.alias("rk"), F.to_date("ts").alias("date")
+    ).agg(*[F.count_if(F.col("event_type") == t).alias(m) for m, t in MEASURE_EVENTS.items()])
+    return daily.select(
+        F.when(F.col("rk").isNotNull(), F.concat(F.lit("R"), F.col("rk").cast("string"))).alias("region"),
+        F.concat(F.lit("NATION_"), F.col("nk").cast("string")).alias("country"),
+        "date", *MEASURE_EVENTS,
     )
 
 
@@ -183,11 +182,12 @@ def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def calendar(spark: SparkSession, sf_dir: str) -> Calendar:
     """ACTION (once per session and folder): first and last event day.
 
-    One global aggregate (partial min/max per task) returning a single row. The
-    bounds then enter every plan as literals, instead of as scalar subqueries
-    that each re-scan ``events``.
+    One global aggregate (partial min/max per task, reading only ``ts``) returning
+    a single row. The bounds then enter every plan as literals, instead of as
+    scalar subqueries that each re-scan ``events``.
     """
-    row = _event_places(spark, sf_dir).agg(F.min("date").alias("lo"), F.max("date").alias("hi")).first()
+    day = F.to_date("ts")
+    row = table(spark, sf_dir, "events").agg(F.min(day).alias("lo"), F.max(day).alias("hi")).first()
     if row["lo"] is None:
         return Calendar(_dt.date(1970, 1, 1), 0)
     return Calendar(row["lo"], (row["hi"] - row["lo"]).days + 1)
