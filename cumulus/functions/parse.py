@@ -41,5 +41,6 @@ def coordinate(c) -> Column:
 
 
 def code_or_zero(c, dtype: str = "bigint") -> Column:
-    """A numeric code (code3, FIPS) that may be written as float text; null becomes 0."""
-    return F.coalesce(float_text_long(c), F.lit(0)).cast(dtype)
+    """A numeric code (code3, FIPS) that may be written as float text; null (or a value
+    out of ``dtype``'s range) becomes 0."""
+    return F.coalesce(float_text_long(c).try_cast(dtype), F.lit(0).cast(dtype))

@@ -83,7 +83,7 @@ def place_dim(df: DataFrame) -> DataFrame:
     """
     return df.select(
         try_long(_pos(df, 0)).alias("uid"), _pos(df, 1).alias("iso2"), _pos(df, 2).alias("iso3"),
-        float_text_long(_pos(df, 3)).cast("int").alias("code3"), float_text_long(_pos(df, 4)).alias("FIPS"),
+        float_text_long(_pos(df, 3)).try_cast("int").alias("code3"), float_text_long(_pos(df, 4)).alias("FIPS"),
         _pos(df, 5).alias("Admin2"), _pos(df, 6).alias("region"), _pos(df, 7).alias("country"),
         coordinate(_pos(df, 8)).alias("latitude"), coordinate(_pos(df, 9)).alias("longitude"),
         _pos(df, 10).alias("combined_key"), try_long(_pos(df, 11)).alias("population"),

@@ -43,7 +43,8 @@ def tropical_vs_non_tropical(confirmed: DataFrame, places: DataFrame, day_index:
     one row per key value (sum of values, row count), and the pair sums are
     sum(values) x count(other side) per key. A key shared by many rows (every
     place with unknown coordinates has latitude 0) therefore costs one row, not
-    the product of its counts.
+    the product of its counts. Totals are bigint: as with a plain SUM over the
+    pairs under ANSI mode, a total past 2**63 raises rather than wrapping.
     """
     s = confirmed.groupBy(on).agg(
         F.sum(day_value("counts", day_index)).alias("s_sum"),
