@@ -88,6 +88,17 @@ def q_incidence(spark, sf_dir):
     return rates.incidence(gs["confirmed"], fx.places(spark, sf_dir), day_index=fx.DAY_INDEX)
 
 
+def q_incidence_with_counts(spark, sf_dir):
+    gs = fx.global_series(spark, sf_dir)
+    return rates.incidence(gs["confirmed"], fx.places(spark, sf_dir), day_index=fx.DAY_INDEX, include_counts=True)
+
+
+def q_tropical_vs_non_tropical_by_country(spark, sf_dir):
+    gs = fx.global_series(spark, sf_dir)
+    return rates.tropical_vs_non_tropical(gs["confirmed"], fx.places(spark, sf_dir), day_index=fx.DAY_INDEX,
+                                          on="country")
+
+
 def q_tropical_vs_non_tropical(spark, sf_dir):
     gs = fx.global_series(spark, sf_dir)
     return rates.tropical_vs_non_tropical(gs["confirmed"], fx.places(spark, sf_dir), day_index=fx.DAY_INDEX)
@@ -148,6 +159,11 @@ def q_growth_vertical(spark, sf_dir):
     return growth_vertical(_merged_vertical(spark, sf_dir), "confirmed", ["region", "country"])
 
 
+def q_growth_vertical_us(spark, sf_dir):
+    v = _us_vertical(spark, sf_dir)
+    return growth_vertical(merge_us_vertical(v["confirmed"], v["deaths"]), "deaths", "uid")
+
+
 def q_to_horizontal_global(spark, sf_dir):
     v = fx.series_vertical(spark, sf_dir)
     cal = fx.calendar(spark, sf_dir)
@@ -251,6 +267,8 @@ QUERIES: dict[str, Query] = {
     "us_all_percent_by_quarter": q_us_all_percent_by_quarter,
     "incidence": q_incidence,
     "tropical_vs_non_tropical": q_tropical_vs_non_tropical,
+    "incidence_with_counts": q_incidence_with_counts,
+    "tropical_vs_non_tropical_by_country": q_tropical_vs_non_tropical_by_country,
     "death_rates": q_death_rates,
     "merge_global": q_merge_global,
     "merge_us": q_merge_us,
@@ -262,6 +280,7 @@ QUERIES: dict[str, Query] = {
     "growth_horizontal": q_growth_horizontal,
     "growth_vertical": q_growth_vertical,
     "growth_unpacked": q_growth_unpacked,
+    "growth_vertical_us": q_growth_vertical_us,
     "to_horizontal_global": q_to_horizontal_global,
     "to_horizontal_us": q_to_horizontal_us,
     "to_vertical_global": q_to_vertical_global,

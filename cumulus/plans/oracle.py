@@ -251,6 +251,22 @@ WHERE u.region IS NULL"""
 SELECT s.climate, CAST(sum(p.c) AS BIGINT) AS sum_confirmed, CAST(sum(p.pop) AS BIGINT) AS sum_population,
        CAST(sum(p.c) AS DOUBLE) / nullif(sum(p.pop), 0) AS incidence
 FROM (VALUES ('tropical'), ('non-tropical')) s(climate) LEFT JOIN pairs p ON p.climate = s.climate
+GROUP BY s.climate"""
+    q["incidence_with_counts"] = _with(PLACES, SERIES) + """
+SELECT g.country, CAST(g.counts[30] AS DOUBLE) / nullif(u.population, 0) AS incidence,
+       g.counts[30] AS confirmed, u.population
+FROM h_confirmed g JOIN places u ON g.country = u.country
+WHERE u.region IS NULL"""
+    q["tropical_vs_non_tropical_by_country"] = _with(PLACES, SERIES) + """
+, pairs AS (
+  SELECT CASE WHEN u.latitude < 23.5 AND u.latitude > -23.5 THEN 'tropical'
+              WHEN u.latitude > 23.5 OR u.latitude < -23.5 THEN 'non-tropical' END AS climate,
+         g.counts[30] AS c, u.population AS pop
+  FROM h_confirmed g JOIN places u ON g.country = u.country
+)
+SELECT s.climate, CAST(sum(p.c) AS BIGINT) AS sum_confirmed, CAST(sum(p.pop) AS BIGINT) AS sum_population,
+       CAST(sum(p.c) AS DOUBLE) / nullif(sum(p.pop), 0) AS incidence
+FROM (VALUES ('tropical'), ('non-tropical')) s(climate) LEFT JOIN pairs p ON p.climate = s.climate
 GROUP BY s.climate"""
     q["death_rates"] = _with(PLACES, SERIES) + """
 SELECT d.country, d.date, d.counts AS deaths, c.counts AS cases,
@@ -282,6 +298,8 @@ SELECT coalesce(c.uid, d.uid) AS uid, coalesce(c.iso2, d.iso2) AS iso2, coalesce
 FROM us_vc c FULL OUTER JOIN us_vd d ON c.uid IS NOT DISTINCT FROM d.uid AND c.date = d.date"""
     q["merge_us_vertical"] = _with(PLACES, SERIES, US) + us_mv
     q["us_count_vertical"] = _with(PLACES, SERIES, US) + f"SELECT * EXCLUDE (country) FROM ({us_mv}) x"
+    q["growth_vertical_us"] = _with(PLACES, SERIES, US) + f"""
+SELECT *, deaths - lag(deaths) OVER (PARTITION BY uid ORDER BY date) AS deaths_growth FROM ({us_mv}) x"""
     q["global_count_vertical"] = _with(PLACES, SERIES, MERGED_VERTICAL) + """
 SELECT id, country, latitude, longitude, date, confirmed FROM merged_v WHERE region IS NULL"""
     q["global_count_unpacked"] = _with(PLACES, SERIES) + """
