@@ -35,7 +35,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cumulus.operators.shapes import to_horizontal
+from cumulus.operators.shapes import dense_ordinal, to_horizontal
 from cumulus.session import materialize
 from cumulus.schemas import GLOBAL_IDS, US_IDS
 
@@ -106,10 +106,9 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("country").alias("combined_key"),
         F.when(k == NULL_POPULATION_KEY, F.lit(None)).otherwise(F.col("n") * 1000).cast("bigint").alias("population"),
     )
-    # Rank of the segment among all segments. The window has no partition key, but
-    # its input is the distinct values of a categorical column (five in TPC-H).
-    segments = per_segment.select("seg").distinct().select(
-        "seg", (F.dense_rank().over(Window.orderBy("seg")) - 1).alias("seg_idx"))
+    # Rank of the segment among all distinct segments, computed distributed (no
+    # single-partition window over the values, however many there are).
+    segments = dense_ordinal(per_segment.select("seg").distinct(), "seg_idx", order_by=["seg"])
     uid = F.lit(1000) + k * 10 + F.col("seg_idx")
     provinces = (
         per_segment.where(k % PROVINCE_EVERY == 0)
