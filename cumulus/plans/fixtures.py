@@ -19,11 +19,12 @@ Everything scans its whole table. The heavy steps are the first aggregation of
 shuffling, so a place or customer holding a large share of rows costs no more
 than its partial aggregate. Everything after that is one row per place and day.
 
-The three derived tables (places, series, observation log) are written once per
-session as Parquet below ``spark.checkpoint.dir`` and read back (see
-``session.materialize``): each is small next to its source, every query reads
-it, and without this Catalyst would re-derive it per query branch (each branch
-prunes and filters differently, so the scans are not shared).
+The derived tables (daily event counts, places, series, observation log) are
+written once per session as Parquet below ``spark.checkpoint.dir`` and read back
+(see ``session.materialize``): each is small next to its source, every query
+reads it, and without this Catalyst would re-derive it per query branch (each
+branch prunes and filters differently, so the scans are not shared). ``events``
+and ``orders`` are each scanned once per session.
 """
 
 from __future__ import annotations
@@ -170,23 +171,25 @@ def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = table(spark, sf_dir, "events").groupBy(
         nk.alias("nk"), rk.alias("rk"), F.to_date("ts").alias("date")
     ).agg(*[F.count_if(F.col("event_type") == t).alias(m) for m, t in MEASURE_EVENTS.items()])
-    return daily.select(
+    named = daily.select(
         F.when(F.col("rk").isNotNull(), F.concat(F.lit("R"), F.col("rk").cast("string"))).alias("region"),
         F.concat(F.lit("NATION_"), F.col("nk").cast("string")).alias("country"),
         "date", *MEASURE_EVENTS,
     )
+    # Written once: the calendar and the series both read it, so ``events`` is
+    # scanned exactly once.
+    return materialize(named, "daily-events")
 
 
 @_memo
 def calendar(spark: SparkSession, sf_dir: str) -> Calendar:
     """ACTION (once per session and folder): first and last event day.
 
-    One global aggregate (partial min/max per task, reading only ``ts``) returning
-    a single row. The bounds then enter every plan as literals, instead of as
-    scalar subqueries that each re-scan ``events``.
+    One global aggregate over the written daily table (not over ``events``)
+    returning a single row. The bounds then enter every plan as literals, instead
+    of as scalar subqueries that each re-scan the source.
     """
-    day = F.to_date("ts")
-    row = table(spark, sf_dir, "events").agg(F.min(day).alias("lo"), F.max(day).alias("hi")).first()
+    row = daily_events(spark, sf_dir).agg(F.min("date").alias("lo"), F.max("date").alias("hi")).first()
     if row["lo"] is None:
         return Calendar(_dt.date(1970, 1, 1), 0)
     return Calendar(row["lo"], (row["hi"] - row["lo"]).days + 1)
