@@ -105,3 +105,18 @@ def test_growth_sum_equals_last_minus_first(spark):
     v = to_vertical(h, ["region", "country", "latitude", "longitude"], START)
     gv = growth_vertical(v, "counts", ["region", "country"]).orderBy("date").collect()
     assert [r.counts_growth for r in gv] == g
+
+
+def test_dense_ordinal_with_hot_tied_key(spark):
+    # a third of the rows share one sort key: ids must still be exactly 0..n-1
+    df = spark.range(0, 3000, numPartitions=6).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id")
+    ids = sorted(r.ord for r in dense_ordinal(df, "ord", order_by=["k"]).collect())
+    assert ids == list(range(3000))
+    # and rows with a smaller key always get smaller ids
+    rows = dense_ordinal(df, "ord", order_by=["k"]).collect()
+    by_key = {}
+    for r in rows:
+        by_key.setdefault(r.k, []).append(r.ord)
+    keys = sorted(by_key)
+    assert all(max(by_key[a]) < min(by_key[b]) for a, b in zip(keys, keys[1:]))

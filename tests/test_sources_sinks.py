@@ -131,3 +131,20 @@ def test_malformed_rows_flagged(spark, tmp_out, capsys):
     assert bad == [",B,1,1,1", ",C,1,1,1,2,3"]
     preview(read_table_csv(spark, tmp_out + "/m"), 2)
     assert "A" in capsys.readouterr().out
+
+
+def test_headerless_dates_need_start(spark, tmp_out):
+    write_text(tmp_out + "/nd", "a.csv", "r,c,lat,lon,d0,d1\n,A,1,2,5,6\n")
+    wide = read_wide_csv(spark, tmp_out + "/nd", n_ids=4, start_date=START)
+    assert wide.day_columns == ["d0", "d1"] and wide.start_date == START
+    v = cleaning.global_vertical(wide).orderBy("date").collect()
+    assert [(r.date, r.counts) for r in v] == [(START, 5), (START + dt.timedelta(1), 6)]
+
+
+def test_materialize_under_checkpoint_dir(spark):
+    from cumulus.session import ensure_checkpoint_dir, local_path, materialize
+
+    df = materialize(spark.range(5), "unit")
+    files = [local_path(f) for f in df.inputFiles()]
+    base = local_path(ensure_checkpoint_dir(spark))
+    assert files and all(f.startswith(base + "/") for f in files) and df.count() == 5
