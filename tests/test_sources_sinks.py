@@ -116,6 +116,14 @@ def test_load_all_and_views(spark, tmp_out):
     frames = load_all(spark, folder)
     assert frames["global_deaths"].count() == 4 and frames["us_deaths"].where("population = 55869").count() == 1
     assert frames["us_confirmed"].where("uid = 84001001").first().counts == [0, 1]
+    from cumulus.plans.menu import menu_query, series_start
+
+    start = series_start(spark, folder)
+    assert start == START
+    for n in range(1, 10):
+        opts = {"day_index": 3} if n in (4, 5) else {}
+        menu_query(n, frames, start, **opts).collect()
+    assert menu_query(1, frames, start).columns[3:] == ["Jan 22 '20", "Jan 23 '20", "Jan 24 '20"]
     register_views(frames)
     got = spark.sql("SELECT g.country, element_at(g.counts, 3) / u.population AS incidence "
                     "FROM global_confirmed g JOIN places u ON g.country = u.country").collect()
