@@ -12,21 +12,26 @@ from cumulus.operators.shapes import series_width, to_unpacked
 
 
 def global_count_unpacked(merged: DataFrame, which: str, start_date: _dt.date,
-                          n_days: int | None = None) -> DataFrame:
+                          n_days: int | None = None, label_format: str | None = None) -> DataFrame:
     """Query 1: country-level rows, one column per day of measure ``which``.
 
-    The width is ``n_days`` or, if not given, learned with one small aggregate
-    (see :func:`series_width`). The filter is applied before the projection.
+    Day columns are named "Jan 22 '20", or by the ``strftime`` pattern
+    ``label_format``. The width is ``n_days`` or, if not given, learned with one
+    small aggregate (see :func:`series_width`). The filter is applied before the
+    projection.
     """
     countries = merged.where(F.col("region").isNull())
     if n_days is None:
         n_days = series_width(countries, which)
-    return to_unpacked(countries, ["country", "latitude", "longitude"], which, start_date, n_days)
+    namer = (lambda d: d.strftime(label_format)) if label_format else None
+    return to_unpacked(countries, ["country", "latitude", "longitude"], which, start_date, n_days, namer=namer)
 
 
-def growth_unpacked(merged: DataFrame, which: str, start_date: _dt.date, n_days: int | None = None) -> DataFrame:
+def growth_unpacked(merged: DataFrame, which: str, start_date: _dt.date, n_days: int | None = None,
+                    label_format: str | None = None) -> DataFrame:
     """Query 3: daily growth of ``which``, unpacked (first day null)."""
-    return global_count_unpacked(growth_horizontal(merged, which), f"{which}_growth", start_date, n_days)
+    return global_count_unpacked(growth_horizontal(merged, which), f"{which}_growth", start_date, n_days,
+                                 label_format)
 
 
 def global_count_vertical(merged_vertical: DataFrame, keep: tuple[str, ...] | None = ("confirmed",)) -> DataFrame:
