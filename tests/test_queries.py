@@ -1,8 +1,5 @@
 import datetime as dt
 
-import pytest
-from pyspark.sql import functions as F
-
 from cumulus.plans import quarters, rates
 
 PL = ("uid bigint, region string, country string, latitude float, population bigint")
