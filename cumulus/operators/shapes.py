@@ -41,6 +41,7 @@ def dense_ordinal(df: DataFrame, name: str = "id", order_by: Sequence[str] | Non
     counts rows per partition, and a running sum over those counts (one row per
     partition, so bounded by the partition count, not the data) gives each
     partition's offset, which is broadcast back. No row goes through the driver.
+    A partition may hold up to 2**33 rows (the position part of the generated id).
     """
     src = df.orderBy(*order_by) if order_by else df
     tagged = src.select(
@@ -77,7 +78,9 @@ def to_horizontal(
     (default ``counts``).
 
     One shuffle on ``keys``. Each group holds one entry per day of one place, so
-    its size is bounded by the calendar, not by the data volume.
+    its size is bounded by the calendar, not by the data volume. Two values for
+    the same place and day raise (Spark's duplicate-map-key error) rather than
+    silently keeping one.
     """
     values = [value] if isinstance(value, str) else list(value)
     names = [out or "counts"] if isinstance(value, str) else values
