@@ -331,8 +331,9 @@ def prepare(spark: SparkSession, sf_dir: str) -> None:
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    calendar(spark, sf_dir)  # needed by the series; one tiny aggregate
+    # places and the log start at once; the series waits for the daily counts and
+    # the calendar, which it is built from.
     with ThreadPoolExecutor(max_workers=3) as pool:
-        futures = [pool.submit(fn, spark, sf_dir) for fn in (places, series_vertical, observation_log)]
+        futures = [pool.submit(fn, spark, sf_dir) for fn in (series_vertical, places, observation_log)]
         for f in futures:
             f.result()
