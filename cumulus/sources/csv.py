@@ -49,15 +49,22 @@ class WideFile:
         return len(self.day_columns)
 
 
-def read_wide_csv(spark: SparkSession, path: str, n_ids: int | None = None,
-                  start_date: _dt.date | None = None) -> WideFile:
+def read_wide_csv(spark: SparkSession, path, n_ids: int | None = None,
+                  start_date: _dt.date | None = None, check_headers: bool = False) -> WideFile:
     """Read a wide series file; the header splits identifier columns from day columns.
 
     Day columns are the header names that parse as ``M/d/yy``; they must be
     consecutive days with no gap (otherwise every later day would be misdated).
     With ``n_ids`` the first ``n_ids`` columns are identifiers and the rest are
     days whatever their names (a header without dates then needs ``start_date``).
+    The reader maps every file by position onto the first file's header; with
+    ``check_headers`` (an action returning one row per distinct header) files
+    whose headers differ are rejected instead of being silently misaligned.
     """
+    if check_headers:
+        distinct = header_lines(spark, path).select("header").distinct().limit(2).collect()
+        if len(distinct) > 1:
+            raise ValueError("files under the path have different headers (day columns would not line up)")
     df = read_table_csv(spark, path)
     cols = df.columns
     if n_ids is None:
@@ -74,19 +81,37 @@ def read_wide_csv(spark: SparkSession, path: str, n_ids: int | None = None,
     return WideFile(df=df, id_columns=ids, day_columns=days, start_date=start)
 
 
-def read_lines(spark: SparkSession, path: str, drop_header: bool = True) -> DataFrame:
-    """Raw lines (column ``value``). With ``drop_header`` every line equal to the
-    first line read is dropped, i.e. the header of every file that shares it.
+def _numbered_lines(spark: SparkSession, path) -> DataFrame:
+    """Raw lines with their file, whether their split starts the file, and an id that
+    increases with the line's position inside its split."""
+    return spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        (F.col("_metadata.file_block_start") == 0).alias("_starts_file"),
+        F.monotonically_increasing_id().alias("_line"),
+    )
+
+
+def header_lines(spark: SparkSession, path) -> DataFrame:
+    """(file, header): the first line of every file under ``path``; one row per file.
 
-    Reading the header is a one-row action.
+    The split that starts a file holds its first line at its smallest line id;
+    ``min_by`` keeps one candidate per task, so no file's lines are gathered.
     """
-    lines = spark.read.text(path)
+    lines = _numbered_lines(spark, path)
+    return lines.where("_starts_file").groupBy(F.col("_file").alias("file")).agg(
+        F.min_by("value", "_line").alias("header"))
+
+
+def read_lines(spark: SparkSession, path, drop_header: bool = True) -> DataFrame:
+    """Raw lines (column ``value``); with ``drop_header`` the first line of every file
+    is dropped, whatever its text (the reference dropped it from the first
+    partition only). Lazy: an anti join with one row per file."""
     if not drop_header:
-        return lines
-    first = lines.limit(1).collect()
-    if not first:
-        return lines
-    return lines.where(F.col("value") != F.lit(first[0][0]))
+        return spark.read.text(path)
+    lines = _numbered_lines(spark, path)
+    firsts = lines.where("_starts_file").groupBy("_file").agg(F.min("_line").alias("_line"))
+    return lines.join(firsts, ["_file", "_line"], "left_anti").select("value")
 
 
 def tokenised_lines(lines: DataFrame, col: str = "value") -> DataFrame:

@@ -45,8 +45,23 @@ def test_non_consecutive_days_rejected(spark, tmp_out):
 
 def test_raw_lines_tokeniser(spark, tmp_out):
     write_text(tmp_out + "/t", "a.csv", GLOBAL)
+    # a second file whose header differs: its first line must still be dropped
+    write_text(tmp_out + "/t", "b.csv", "other,header\n,Late,1,1,9,9,9\n")
     toks = [r.tokens for r in tokenised_lines(read_lines(spark, tmp_out + "/t")).collect()]
-    assert len(toks) == 4 and [None, "Korea, South", "36.0", "128.0", "1", "2", "3"] in toks
+    assert len(toks) == 5 and [None, "Korea, South", "36.0", "128.0", "1", "2", "3"] in toks
+    assert not any(t[0] in ("Province/State", "other") for t in toks)
+
+
+def test_header_check(spark, tmp_out):
+    from cumulus.sources import header_lines
+
+    write_text(tmp_out + "/h", "a.csv", GLOBAL)
+    write_text(tmp_out + "/h", "b.csv", GLOBAL.splitlines()[0] + "\n,Late,1,1,9,9,9\n")
+    assert read_wide_csv(spark, tmp_out + "/h", check_headers=True).n_days == 3
+    write_text(tmp_out + "/h", "c.csv", "a,b,c,d,1/23/20,1/24/20,1/25/20\n,X,1,1,1,1,1\n")
+    assert header_lines(spark, tmp_out + "/h").count() == 3
+    with pytest.raises(ValueError):
+        read_wide_csv(spark, tmp_out + "/h", check_headers=True)
 
 
 US_DEATHS = ("UID,iso2,iso3,code3,FIPS,Admin2,Province_State,Country_Region,Lat,Long_,Combined_Key,Population,1/22/20,1/23/20\n"
