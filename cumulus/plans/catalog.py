@@ -13,19 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cumulus.functions.arrays import array_text
+from cumulus.functions.dates import update_date
+from cumulus.functions.parse import try_long
+from cumulus.functions.text import normalise_country, normalise_region
+from cumulus.operators import cleaning
 from cumulus.operators.growth import growth_horizontal, growth_vertical
 from cumulus.operators.merge import merge_global, merge_global_vertical, merge_us, merge_us_vertical
 from cumulus.operators.shapes import dense_ordinal, to_horizontal, to_vertical
 from cumulus.plans import fixtures as fx
 from cumulus.plans import quarters, rates, rendering, trends
-from cumulus.operators import cleaning
-from cumulus.functions.dates import update_date
-from cumulus.functions.parse import try_long
-from cumulus.functions.text import normalise_country, normalise_region
+from cumulus.schemas import GLOBAL_IDS, US_IDS
 from cumulus.session import scratch_path
 from cumulus.sinks.csv import write_csv
 from cumulus.sources.csv import read_lines, read_table_csv, read_wide_csv, tokenised_lines
-from cumulus.schemas import GLOBAL_IDS, US_IDS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,7 +33,8 @@ _PLACE_ORDER = ["country", "region"]
 
 
 def _calendar(spark: SparkSession, sf_dir: str):
-    """ACTION: first day and length of the derived calendar (the driver names day columns)."""
+    """First day and length of the derived calendar (the driver names day columns);
+    one small aggregate the first time per session and folder."""
     return rendering.calendar_values(spark, sf_dir)
 
 
