@@ -30,25 +30,35 @@ def _date_col(value) -> Column:
 
 
 def dense_ordinal(df: DataFrame, name: str = "id", order_by: Sequence[str] | None = None) -> DataFrame:
-    """Append a 0-based, gap-free row number (what ``RDD.zipWithIndex`` gives).
+    """ACTION: append a 0-based, gap-free row number (what ``RDD.zipWithIndex`` gives).
 
     Without ``order_by`` the numbering follows the input's partition order (file
     order for a single-file scan); with it, rows are first range-sorted, so the
     number is the rank in that order (nulls first, as Spark sorts ascending).
+    Rows tied on ``order_by`` are broken by input position, so the sort can
+    spread even a key held by a third of all rows over many tasks.
 
     Distributed: each row gets (partition index, position in partition) from
-    ``spark_partition_id`` / ``monotonically_increasing_id``; a second small job
-    counts rows per partition, and a running sum over those counts (one row per
-    partition, so bounded by the partition count, not the data) gives each
-    partition's offset, which is broadcast back. No row goes through the driver.
-    A partition may hold up to 2**33 rows (the position part of the generated id).
+    ``spark_partition_id`` / ``monotonically_increasing_id``. That tagged frame is
+    written once to the shared checkpoint folder, so the numbering comes from
+    exactly one evaluation. Otherwise the count pass and the numbering pass are
+    planned separately: they are pruned differently, are not shared, and under
+    AQE may be split into different partitions. A running sum over the
+    per-partition counts (one row per partition) gives each partition's offset,
+    which is broadcast back. No row goes through the driver. A partition may hold
+    up to 2**33 rows (the position part of the generated id).
     """
-    src = df.orderBy(*order_by) if order_by else df
-    tagged = src.select(
-        "*",
+    from cumulus.session import materialize
+
+    if order_by:
+        src = df.select("*", F.monotonically_increasing_id().alias("_tie")).orderBy(*order_by, "_tie")
+    else:
+        src = df
+    tagged = materialize(src.select(
+        *[F.col(c) for c in df.columns],
         F.spark_partition_id().alias("_pid"),
         F.monotonically_increasing_id().alias("_mid"),
-    )
+    ), "ordinal")
     per_part = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
