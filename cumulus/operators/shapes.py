@@ -6,8 +6,8 @@
   of columns defeat whole-stage codegen, so no query works on it)
 
 All jobs here are narrow except ``to_horizontal`` (one shuffle on the place key,
-with map-side partial aggregation) and ``dense_ordinal`` with ``order_by`` (one
-range-partitioned sort).
+with map-side partial aggregation) and ``dense_ordinal`` (a write of the tagged
+input, after one range-partitioned sort when ``order_by`` is given).
 """
 
 from __future__ import annotations
@@ -129,7 +129,9 @@ def to_vertical(
 
     Null elements are kept (a null count is a row with a null value); a null or
     empty array gives no rows. With ``id_col``, every place gets a dense ordinal
-    (see :func:`dense_ordinal`; ``id_order`` sorts first) carried onto its rows.
+    (see :func:`dense_ordinal`, which writes the places once: an action;
+    ``id_order`` sorts first) carried onto its rows. With ``id_col=None`` the
+    job is lazy and narrow.
     """
     src = horizontal
     lead = []
