@@ -37,8 +37,9 @@ def global_horizontal(wide: WideFile) -> DataFrame:
 
 
 def global_vertical(wide: WideFile, id_order=None) -> DataFrame:
-    """Global series file to one row per place and day, with a row-ordinal ``id``
-    (file order, or the rank in ``id_order``). Null counts are kept."""
+    """ACTION (writes the places once): global series file to one row per place and
+    day, with a row-ordinal ``id`` -- file order for one file (partition order
+    across several), or the rank in ``id_order``. Null counts are kept."""
     return to_vertical(global_horizontal(wide), GLOBAL_IDS, wide.start_date, id_order=id_order)
 
 
