@@ -82,7 +82,8 @@ def to_horizontal(
 
     Position i of the array holds the value of day ``start_date + i``; days a place
     lacks are null, so gaps never shift later days. ``n_days`` (int or Column)
-    fixes the array length; by default it runs to the place's last day.
+    fixes the array length (days past it are not kept); by default it runs to
+    the place's last day.
     ``value`` may be a list of measures: all are packed in the same pass, one
     array column each (named after the measure); a single measure gives ``out``
     (default ``counts``).

@@ -31,8 +31,10 @@ def period_totals(log: DataFrame, keys: Sequence[str], measures: Sequence[str],
 
 
 def _scalar_population(places: DataFrame, uid) -> "F.Column":
-    # One-row lookup as a scalar subquery: no driver round trip; no such uid gives null.
-    return places.where(F.col("uid") == F.lit(uid)).select("population").scalar()
+    # One-row lookup as a scalar subquery: no driver round trip; no such uid gives
+    # null, and a repeated uid takes one row (as the reference's ``first``) instead
+    # of failing the subquery.
+    return places.where(F.col("uid") == F.lit(uid)).agg(F.first("population")).scalar()
 
 
 def us_percent_by_quarter(log: DataFrame, places: DataFrame, country: str = "US", uid: int = 840,
