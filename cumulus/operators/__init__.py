@@ -8,9 +8,10 @@ from cumulus.operators.shapes import (
     to_horizontal,
     to_unpacked,
     to_vertical,
+    to_vertical_many,
 )
 
 __all__ = [
     "dense_ordinal", "growth_horizontal", "growth_vertical", "merge_global", "merge_global_vertical",
-    "merge_us", "merge_us_vertical", "series_width", "to_horizontal", "to_unpacked", "to_vertical",
+    "merge_us", "merge_us_vertical", "series_width", "to_horizontal", "to_unpacked", "to_vertical", "to_vertical_many",
 ]

@@ -29,12 +29,16 @@ def _date_col(value) -> Column:
     return F.lit(value).cast("date")
 
 
-def dense_ordinal(df: DataFrame, name: str = "id", order_by: Sequence[str] | None = None) -> DataFrame:
+def dense_ordinal(df: DataFrame, name: str = "id", order_by: Sequence[str] | None = None,
+                  within: Sequence[str] | None = None) -> DataFrame:
     """ACTION: append a 0-based, gap-free row number (what ``RDD.zipWithIndex`` gives).
 
     Without ``order_by`` the numbering follows the input's partition order (file
     order for a single-file scan); with it, rows are first range-sorted, so the
     number is the rank in that order (nulls first, as Spark sorts ascending).
+    With ``within``, numbering restarts at 0 in every group of those columns
+    (e.g. a row number per file): rows are sorted by the group first, and each
+    group's first number (one row per group, null-safe join) is subtracted.
     Rows tied on ``order_by`` are broken by input position, so the sort can
     spread even a key held by a third of all rows over many tasks.
 
@@ -50,8 +54,9 @@ def dense_ordinal(df: DataFrame, name: str = "id", order_by: Sequence[str] | Non
     """
     from cumulus.session import materialize
 
-    if order_by:
-        src = df.select("*", F.monotonically_increasing_id().alias("_tie")).orderBy(*order_by, "_tie")
+    sort_keys = [*(within or []), *(order_by or [])]
+    if sort_keys:
+        src = df.select("*", F.monotonically_increasing_id().alias("_tie")).orderBy(*sort_keys, "_tie")
     else:
         src = df
     tagged = materialize(src.select(
@@ -63,10 +68,18 @@ def dense_ordinal(df: DataFrame, name: str = "id", order_by: Sequence[str] | Non
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     position = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    return (
-        tagged.join(F.broadcast(offsets), "_pid")
-        .select(*[F.col(c) for c in df.columns], (F.col("_off") + position).alias(name))
-    )
+    numbered = tagged.join(F.broadcast(offsets), "_pid").select(
+        *[F.col(c) for c in df.columns], (F.col("_off") + position).alias(name))
+    if not within:
+        return numbered
+    firsts = numbered.groupBy(*within).agg(F.min(name).alias("_first")).alias("_g")
+    n = numbered.alias("_n")
+    cond = None
+    for k in within:
+        e = F.col(f"_n.{k}").eqNullSafe(F.col(f"_g.{k}"))
+        cond = e if cond is None else cond & e
+    return n.join(firsts, cond).select(
+        *[F.col(f"_n.{c}") for c in df.columns], (F.col(f"_n.{name}") - F.col("_g._first")).alias(name))
 
 
 def to_horizontal(
@@ -148,6 +161,36 @@ def to_vertical(
     )
 
 
+def to_vertical_many(
+    frames: dict[str, DataFrame],
+    ids: Sequence[str],
+    start_date,
+    id_order: Sequence[str] | None = None,
+    counts: str = "counts",
+    value: str = "counts",
+    date_col: str = "date",
+    id_col: str = "id",
+) -> dict[str, DataFrame]:
+    """:func:`to_vertical` with ids for several files of the same layout at once.
+
+    Each file's places are numbered from 0 as ``to_vertical`` would, but in one
+    ordinal pass (one sort, one written table) over all files together, tagged
+    by file, instead of one pass per file.
+    """
+    names = list(frames)
+    tagged = None
+    for i, k in enumerate(names):
+        f = frames[k].select(F.lit(i).alias("_file"), *ids, counts)
+        tagged = f if tagged is None else tagged.unionByName(f)
+    numbered = dense_ordinal(tagged, id_col, id_order, within=["_file"])
+    out = {}
+    for i, k in enumerate(names):
+        one = numbered.where(F.col("_file") == i).drop("_file")
+        out[k] = to_vertical(one, [id_col, *ids], start_date, counts=counts, value=value, date_col=date_col,
+                             id_col=None)
+    return out
+
+
 def series_width(df: DataFrame, counts: str = "counts") -> int:
     """ACTION: the longest array in ``counts`` (0 for no rows).
 

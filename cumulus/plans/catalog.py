@@ -19,7 +19,7 @@ from cumulus.functions.text import normalise_country, normalise_region
 from cumulus.operators import cleaning
 from cumulus.operators.growth import growth_horizontal, growth_vertical
 from cumulus.operators.merge import merge_global, merge_global_vertical, merge_us, merge_us_vertical
-from cumulus.operators.shapes import dense_ordinal, to_horizontal, to_vertical
+from cumulus.operators.shapes import dense_ordinal, to_horizontal, to_vertical, to_vertical_many
 from cumulus.plans import fixtures as fx
 from cumulus.plans import quarters, rates, rendering, trends
 from cumulus.schemas import GLOBAL_IDS, US_IDS
@@ -50,7 +50,7 @@ def _merged(spark, sf_dir) -> DataFrame:
 def _merged_vertical(spark, sf_dir) -> DataFrame:
     gs = fx.global_series(spark, sf_dir)
     cal = fx.calendar(spark, sf_dir)
-    v = {m: to_vertical(df, GLOBAL_IDS, cal.start, id_order=_PLACE_ORDER) for m, df in gs.items()}
+    v = to_vertical_many(gs, GLOBAL_IDS, cal.start, id_order=_PLACE_ORDER)
     return merge_global_vertical(v["confirmed"], v["deaths"], v["recovered"])
 
 

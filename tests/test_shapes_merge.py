@@ -120,3 +120,23 @@ def test_dense_ordinal_with_hot_tied_key(spark):
         by_key.setdefault(r.k, []).append(r.ord)
     keys = sorted(by_key)
     assert all(max(by_key[a]) < min(by_key[b]) for a, b in zip(keys, keys[1:]))
+
+
+def test_dense_ordinal_within_groups(spark):
+    df = spark.createDataFrame([(g, k) for g in (None, "a", "b") for k in range(50, 0, -7)], "g string, k int")
+    got = dense_ordinal(df, "ord", order_by=["k"], within=["g"]).collect()
+    for g in (None, "a", "b"):
+        rows = sorted((r.k, r.ord) for r in got if r.g == g)
+        assert [o for _, o in rows] == list(range(len(rows)))
+
+
+def test_to_vertical_many_matches_single(spark):
+    from cumulus.operators import to_vertical_many
+
+    a = spark.createDataFrame([(None, "B", 0.0, 0.0, [1, 2]), ("R", "A", 0.0, 0.0, [3])], H)
+    b = spark.createDataFrame([(None, "C", 0.0, 0.0, [5])], H)
+    ids = ["region", "country", "latitude", "longitude"]
+    many = to_vertical_many({"a": a, "b": b}, ids, START, id_order=["country", "region"])
+    for k, f in (("a", a), ("b", b)):
+        single = to_vertical(f, ids, START, id_order=["country", "region"])
+        assert sorted(many[k].select(*single.columns).collect()) == sorted(single.collect())
