@@ -16,8 +16,9 @@ NULL_REGION_CONTAINS = ("Unknown",)
 COUNTRY_EXACT_FIXES = {"('St. Martin',)": "St. Martin"}
 COUNTRY_CONTAINS_FIXES = ("Bahamas", "Gambia")
 
-# A comma outside double quotes: followed by an even number of quotes up to the end.
-_SPLIT_OUTSIDE_QUOTES = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# Fixed value: the raw-line field separator, a comma outside double quotes (one
+# followed by an even number of quotes up to the end of the line).
+SPLIT_OUTSIDE_QUOTES = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
 def normalise_region(region="region", country="country") -> Column:
@@ -56,5 +57,5 @@ def normalise_country(country="country") -> Column:
 def split_quoted(line) -> Column:
     """Split a raw CSV line on commas outside double quotes, keep trailing empty fields,
     delete every double quote, and turn empty fields into null. Gives array<string>."""
-    parts = F.split(as_col(line), _SPLIT_OUTSIDE_QUOTES, -1)
+    parts = F.split(as_col(line), SPLIT_OUTSIDE_QUOTES, -1)
     return F.transform(parts, lambda p: F.nullif(F.regexp_replace(p, '"', ""), F.lit("")))
