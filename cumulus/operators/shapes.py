@@ -111,7 +111,7 @@ def to_horizontal(
     start = _date_col(start_date)
     offset = F.datediff(F.col(date_col), start)
     grouped = vertical.groupBy(*keys).agg(
-        *[F.map_from_entries(F.collect_list(F.struct(offset.alias("k"), F.col(v).alias("v")))).alias(f"_m{i}")
+        *[F.array_sort(F.collect_list(F.struct(offset.alias("k"), F.col(v).alias("v")))).alias(f"_e{i}")
           for i, v in enumerate(values)],
         F.max(offset).alias("_last"),
     )
@@ -120,11 +120,27 @@ def to_horizontal(
     # higher-order function: project it to a column first.
     grouped = grouped.withColumn("_len", length)
 
+    def complete(i):
+        # Sorted entries with offsets exactly 0.._len-1, each once.
+        e = F.col(f"_e{i}")
+        ks = F.transform(e, lambda x: x["k"])
+        return ((F.size(e) == F.col("_len")) & (F.size(F.array_distinct(ks)) == F.size(e))
+                & (F.get(ks, 0) == 0) & (F.get(ks, F.col("_len") - 1) == F.col("_len") - 1))
+
+    # Complete series are read straight off the sorted entries (linear). Others
+    # (gaps, duplicates, days past _len) get a day -> value map, built once per
+    # row and only for them: gaps become null, duplicate days raise.
+    for i in range(len(values)):
+        grouped = grouped.withColumn(f"_c{i}", F.coalesce(complete(i), F.lit(False)))
+        grouped = grouped.withColumn(f"_m{i}", F.when(~F.col(f"_c{i}") & (F.col("_len") > 0),
+                                                      F.map_from_entries(F.col(f"_e{i}"))))
+
     def packed(i):
-        return F.when(
-            F.col("_len") > 0,
-            F.transform(F.sequence(F.lit(0), F.col("_len") - 1), lambda d: F.try_element_at(F.col(f"_m{i}"), d)),
-        ).otherwise(F.array().cast("array<bigint>")).cast("array<bigint>")
+        direct = F.transform(F.col(f"_e{i}"), lambda x: x["v"])
+        by_day = F.transform(F.sequence(F.lit(0), F.col("_len") - 1),
+                             lambda d: F.try_element_at(F.col(f"_m{i}"), d))
+        return (F.when(F.col("_len") <= 0, F.array().cast("array<bigint>"))
+                .when(F.col(f"_c{i}"), direct).otherwise(by_day).cast("array<bigint>"))
 
     return grouped.select(*keys, *[packed(i).alias(n) for i, n in enumerate(names)])
 

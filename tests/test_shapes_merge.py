@@ -140,3 +140,20 @@ def test_to_vertical_many_matches_single(spark):
     for k, f in (("a", a), ("b", b)):
         single = to_vertical(f, ids, START, id_order=["country", "region"])
         assert sorted(many[k].select(*single.columns).collect()) == sorted(single.collect())
+
+
+def test_to_horizontal_duplicate_day_raises(spark):
+    import pytest
+
+    v = spark.createDataFrame([("A", START, 1), ("A", START, 2), ("A", START + dt.timedelta(1), 3)],
+                              "country string, date date, c bigint")
+    with pytest.raises(Exception):
+        to_horizontal(v, ["country"], "c", START, 2).collect()
+
+
+def test_to_horizontal_complete_and_truncated(spark):
+    v = spark.createDataFrame([("A", START + dt.timedelta(i), i) for i in range(4)],
+                              "country string, date date, c bigint")
+    assert to_horizontal(v, ["country"], "c", START).first().counts == [0, 1, 2, 3]
+    assert to_horizontal(v, ["country"], "c", START, 2).first().counts == [0, 1]
+    assert to_horizontal(v, ["country"], "c", START, 0).first().counts == []
