@@ -4,15 +4,17 @@ derived inputs at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``.
 An untimed warm-up pass over the smallest tables (``$BENCH_WARM_DIR``, default
 sf0.001) comes first, so the numbers are steady-state rather than JVM/codegen
 start-up. Then the derived inputs are computed and written once
-(``prepare_inputs``, timed and included in the total), and each query runs to
-completion with the ``noop`` sink (every row computed, nothing collected).
-Prints one JSON line.
+(``prepare_inputs``, timed once and included in the total), and each query runs
+to completion with the ``noop`` sink (every row computed, nothing collected)
+``$BENCH_REPEATS`` times (default 3); its time is the median, since single runs
+at this size vary by ±30 %. Prints one JSON line.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -22,6 +24,8 @@ from cumulus.plans import fixtures as fx  # noqa: E402
 from cumulus.plans.catalog import QUERIES  # noqa: E402
 from cumulus.session import local_session  # noqa: E402
 
+REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))  # each query's time is the median of these runs
+
 HEADLINE = {
     "q1_global_count_unpacked": "global_count_unpacked",
     "q2_global_count_vertical": "global_count_vertical",
@@ -55,9 +59,12 @@ def main() -> None:
     fx.prepare(spark, sf_dir)
     times["prepare_inputs"] = round(time.perf_counter() - t0, 3)
     for name, key in HEADLINE.items():
-        t0 = time.perf_counter()
-        QUERIES[key](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+        runs = []
+        for _ in range(REPEATS):
+            t0 = time.perf_counter()
+            QUERIES[key](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - t0)
+        times[name] = round(statistics.median(runs), 3)
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({
         "metric": "total_query_seconds",
