@@ -81,7 +81,8 @@ def death_rates(deaths: DataFrame, confirmed: DataFrame, countries: Sequence[str
     only, which is the same for its six single-row countries but pairs every
     province with every other province elsewhere.) ``arrays_zip`` pads the
     shorter array with nulls; ``posexplode`` keeps the day so ``with_date`` can
-    add it.
+    add it. ``keys`` must identify one row per place in each frame (e.g. ``uid``
+    for US files); a coarser key would pair places with each other.
     """
     d = deaths.where(F.col("country").isin(*countries)).alias("d")
     c = confirmed.where(F.col("country").isin(*countries)).alias("c")

@@ -24,12 +24,15 @@ INPUT_FILES = {
 }
 
 
-def load_all(spark: SparkSession, folder: str, files: dict[str, str] | None = None) -> dict[str, DataFrame]:
+def load_all(spark: SparkSession, folder: str, files: dict[str, str] | None = None,
+             check_headers: bool = False) -> dict[str, DataFrame]:
     """Typed frames of every input found under ``folder`` (a name may map to a file or folder).
 
     Keys: ``places``, ``global_confirmed`` / ``global_deaths`` / ``global_recovered``
     (horizontal), ``us_confirmed`` / ``us_deaths`` (horizontal; deaths with
     population), ``observation_log``. Series start dates come from the headers.
+    With ``check_headers``, an input stored as several files whose headers differ
+    is rejected (see ``read_wide_csv``).
     """
     names = {**INPUT_FILES, **(files or {})}
     path = {k: f"{folder.rstrip('/')}/{v}" for k, v in names.items()}
@@ -37,10 +40,13 @@ def load_all(spark: SparkSession, folder: str, files: dict[str, str] | None = No
         "places": cleaning.place_dim(read_table_csv(spark, path["places"])),
         "observation_log": cleaning.observation_log(read_table_csv(spark, path["observation_log"])),
     }
+    def wide(key):
+        return read_wide_csv(spark, path[key], check_headers=check_headers)
+
     for m in ("confirmed", "deaths", "recovered"):
-        out[f"global_{m}"] = cleaning.global_horizontal(read_wide_csv(spark, path[f"global_{m}"]))
-    out["us_confirmed"] = cleaning.us_horizontal(read_wide_csv(spark, path["us_confirmed"]))
-    out["us_deaths"] = cleaning.us_horizontal(read_wide_csv(spark, path["us_deaths"]), with_population=True)
+        out[f"global_{m}"] = cleaning.global_horizontal(wide(f"global_{m}"))
+    out["us_confirmed"] = cleaning.us_horizontal(wide("us_confirmed"))
+    out["us_deaths"] = cleaning.us_horizontal(wide("us_deaths"), with_population=True)
     return out
 
 

@@ -128,7 +128,7 @@ def test_load_all_and_views(spark, tmp_out):
     write_text(folder, INPUT_FILES["us_confirmed"], us_conf)
     write_text(folder, INPUT_FILES["us_deaths"], US_DEATHS)
     write_text(folder, INPUT_FILES["observation_log"], LOG)
-    frames = load_all(spark, folder)
+    frames = load_all(spark, folder, check_headers=True)
     assert frames["global_deaths"].count() == 4 and frames["us_deaths"].where("population = 55869").count() == 1
     assert frames["us_confirmed"].where("uid = 84001001").first().counts == [0, 1]
     from cumulus.plans.menu import menu_query, series_start
