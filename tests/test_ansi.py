@@ -41,3 +41,18 @@ def test_hostile_text(spark):
     out = df.select(try_long("v"), measure_long("v"), float_text_long("v"), code_or_zero("v", "int"),
                     update_date("v")).collect()
     assert len(out) == len(vals)
+
+
+def test_dates_independent_of_session_zone_and_ansi(spark):
+    vals = ["1/22/2020 17:00", "1/22/20 0:30", "2020-03-08 02:30:00", "2020-02-01T23:59:59", "3/8/20 2:30"]
+    want = [dt.date(2020, 1, 22), dt.date(2020, 1, 22), dt.date(2020, 3, 8), dt.date(2020, 2, 1), dt.date(2020, 3, 8)]
+    old_tz, old_ansi = spark.conf.get("spark.sql.session.timeZone"), spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for tz, ansi in (("America/Los_Angeles", "false"), ("Asia/Kolkata", "true"), ("UTC", "true")):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            spark.conf.set("spark.sql.ansi.enabled", ansi)
+            got = [r[0] for r in spark.createDataFrame([(v,) for v in vals], "v string").select(update_date("v")).collect()]
+            assert got == want, (tz, ansi, got)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old_tz)
+        spark.conf.set("spark.sql.ansi.enabled", old_ansi)
