@@ -130,12 +130,14 @@ def to_horizontal(
     # Complete series are read straight off the sorted entries (linear). Others
     # (gaps, duplicates, days past _len) get a day -> value map, built once per
     # row and only for them: gaps become null, duplicate days raise.
-    flags = [F.coalesce(complete(i), F.lit(False)) for i in range(len(values))]
+    n = len(values)
     grouped = grouped.select(
-        *keys, "_len", *[f"_e{i}" for i in range(len(values))],
-        *[flags[i].alias(f"_c{i}") for i in range(len(values))],
-        *[F.when(~flags[i] & (F.col("_len") > 0), F.map_from_entries(F.col(f"_e{i}"))).alias(f"_m{i}")
-          for i in range(len(values))],
+        *keys, "_len", *[f"_e{i}" for i in range(n)],
+        *[F.coalesce(complete(i), F.lit(False)).alias(f"_c{i}") for i in range(n)],
+    ).select(
+        *keys, "_len", *[f"_e{i}" for i in range(n)], *[f"_c{i}" for i in range(n)],
+        *[F.when(~F.col(f"_c{i}") & (F.col("_len") > 0), F.map_from_entries(F.col(f"_e{i}"))).alias(f"_m{i}")
+          for i in range(n)],
     )
 
     def packed(i):
