@@ -26,8 +26,15 @@ def _counts(wide: WideFile, first_day: int = 0):
     return F.array(*[try_long(F.col(f"`{c}`")) for c in wide.day_columns[first_day:]]).alias("counts")
 
 
+def _require_ids(wide: WideFile, n: int, what: str) -> None:
+    if len(wide.id_columns) < n:
+        raise ValueError(f"{what} needs {n} identifier columns before the day columns, "
+                         f"found {len(wide.id_columns)}: {wide.id_columns}")
+
+
 def global_horizontal(wide: WideFile) -> DataFrame:
     """Global series file to (region, country, latitude, longitude, counts)."""
+    _require_ids(wide, 4, "a global series file")
     df = wide.df
     return df.select(
         _pos(df, 0).alias("region"), _pos(df, 1).alias("country"),
@@ -59,6 +66,8 @@ def us_horizontal(wide: WideFile, with_population: bool = False) -> DataFrame:
     Read with ``read_wide_csv``, the population column is an identifier column
     (its header is not a date), so the day columns are the same either way.
     """
+    _require_ids(wide, 12 if with_population else 11,
+                 "a US series file" + (" with population" if with_population else ""))
     df = wide.df
     pop = (try_long(_pos(df, 11)) if with_population else F.lit(None).cast("bigint")).alias("population")
     return df.select(*_us_ids(df), _counts(wide), pop)

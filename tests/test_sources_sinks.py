@@ -171,3 +171,12 @@ def test_materialize_under_checkpoint_dir(spark):
     files = [local_path(f) for f in df.inputFiles()]
     base = local_path(ensure_checkpoint_dir(spark))
     assert files and all(f.startswith(base + "/") for f in files) and df.count() == 5
+
+
+def test_layout_mismatch_rejected(spark, tmp_out):
+    us_conf = US_DEATHS.replace("Population,", "").replace(",55869,", ",").replace(",,2,", ",2,")
+    write_text(tmp_out + "/usc", "a.csv", us_conf)
+    wide = read_wide_csv(spark, tmp_out + "/usc")
+    with pytest.raises(ValueError):
+        cleaning.us_horizontal(wide, with_population=True)  # no population column in this file
+    assert cleaning.us_horizontal(wide).count() == 2
