@@ -192,7 +192,8 @@ def to_vertical_many(
     date_col: str = "date",
     id_col: str = "id",
 ) -> dict[str, DataFrame]:
-    """:func:`to_vertical` with ids for several files of the same layout at once.
+    """ACTION (one ordinal write): :func:`to_vertical` with ids for several files of the
+    same layout at once.
 
     Each file's places are numbered from 0 as ``to_vertical`` would, but in one
     ordinal pass (one sort, one written table) over all files together, tagged

@@ -1,5 +1,7 @@
-"""Registered queries: each takes (spark, sf_dir) and returns a lazy DataFrame over the
-whole Parquet tables of ``sf_dir`` (via the derived inputs of ``fixtures``).
+"""Registered queries: each takes (spark, sf_dir) and returns a DataFrame over the
+whole Parquet tables of ``sf_dir`` (via the derived inputs of ``fixtures``, which
+are written once per session; the raw-text queries also write their input text
+first, and row ordinals write their tagged rows once).
 
 Array columns are returned as delimited text (``array_text``) so that results
 can be compared value by value with a SQL engine.

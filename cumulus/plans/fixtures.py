@@ -83,7 +83,8 @@ def _longitude(key: Column) -> Column:
 
 @_memo
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Place dimension in the lookup-table schema (uid ... population)."""
+    """ACTION (once per session and folder): the place dimension in the lookup-table
+    schema (uid ... population), written below the checkpoint folder."""
     nation = table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").cast("bigint").alias("k"), F.col("n_name").alias("country"))
     per_segment = (
@@ -159,7 +160,8 @@ class Calendar:
 
 @_memo
 def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per (region, country, day): how many events of each measure's type.
+    """ACTION (once per session and folder): per (region, country, day), how many
+    events of each measure's type.
 
     Grouped on the integer place keys (nation and region number) with map-side
     partial aggregation; the region and country names are built afterwards, on
@@ -197,7 +199,8 @@ def calendar(spark: SparkSession, sf_dir: str) -> Calendar:
 
 @_memo
 def series_vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cumulative counts per place and day, dense over the calendar.
+    """ACTION (once per session and folder): cumulative counts per place and day,
+    dense over the calendar.
 
     Columns: region, country, latitude, longitude, date, confirmed, deaths, recovered.
     The calendar is every day from the first to the last event day; each place
@@ -286,7 +289,8 @@ def us_series(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 @_memo
 def observation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observation log: per (segment, nation, order day) the running number of orders
+    """ACTION (once per session and folder): observation log. Per (segment, nation,
+    order day), the running number of orders
     (confirmed), of status F orders (deaths) and of status P orders (recovered).
 
     Columns: id (smallest order key of the day), observed_date, region, country,
