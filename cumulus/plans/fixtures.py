@@ -290,8 +290,8 @@ def us_series(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 @_memo
 def observation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ACTION (once per session and folder): observation log. Per (segment, nation,
-    order day), the running number of orders
-    (confirmed), of status F orders (deaths) and of status P orders (recovered).
+    order day): the running number of orders (confirmed), of status F orders
+    (deaths) and of status P orders (recovered).
 
     Columns: id (smallest order key of the day), observed_date, region, country,
     last_updated, confirmed, deaths, recovered.
