@@ -6,6 +6,8 @@ provides (nation, customer, orders, events):
 
 * ``places``           -- place dimension: one country row per nation, province
                           rows for every fifth nation (one per market segment).
+                          (The series' own provinces, one per user, come from
+                          ``events``; they share their nation's coordinates.)
 * ``series_vertical``  -- cumulative daily counts per place from ``events``:
                           confirmed / deaths / recovered = running count of
                           view / error / purchase events, dense over the calendar.
@@ -43,7 +45,8 @@ from cumulus.session import materialize
 # Fixed values of the derivation (documented in FIXTURES.md).
 N_COUNTRIES = 25            # country = NATION_(user_id mod 25)
 PROVINCE_EVERY = 5          # nations whose key is a multiple of 5 have regions
-N_REGIONS = 3               # region = R(user_id mod 3) on those nations
+# On those nations every user is a province: region = R(user_id div 25), so the
+# number of places grows with the number of users (15 / 50 / 320 at sf 0.001 / 0.01 / 0.1).
 NULL_LATITUDE_KEYS = (3, 9)  # latitude unknown (cleaned to 0.0)
 BOUNDARY_LATITUDE_KEY = 24   # latitude exactly 23.5: in neither climate class
 NULL_POPULATION_KEY = 7
@@ -169,7 +172,7 @@ def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     uid = F.col("user_id")
     nk = (uid % N_COUNTRIES).cast("int")
-    rk = F.when(nk % PROVINCE_EVERY == 0, (uid % N_REGIONS).cast("int"))
+    rk = F.when(nk % PROVINCE_EVERY == 0, F.expr(f"user_id div {N_COUNTRIES}"))
     daily = table(spark, sf_dir, "events").groupBy(
         nk.alias("nk"), rk.alias("rk"), F.to_date("ts").alias("date")
     ).agg(*[F.count_if(F.col("event_type") == t).alias(m) for m, t in MEASURE_EVENTS.items()])
@@ -270,9 +273,10 @@ def us_series(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     with population (the country row's)."""
     v = series_vertical(spark, sf_dir).where(F.col("region").isNotNull())
     cal = calendar(spark, sf_dir)
-    nk = F.substring(F.col("country"), 8, 10).cast("bigint")
-    rk = F.substring(F.col("region"), 2, 10).cast("bigint")
-    uid = (F.lit(2000) + nk * 10 + rk).cast("bigint")
+    # uid = 1,000,000 + the user's id (each province is one user): unique at any size.
+    nk = F.substring(F.col("country"), 8, 64).cast("bigint")
+    rk = F.substring(F.col("region"), 2, 64).cast("bigint")
+    uid = (F.lit(1_000_000) + nk + rk * N_COUNTRIES).cast("bigint")
     country_rows = places(spark, sf_dir).where(F.col("region").isNull()).select(
         "country", "iso2", "iso3", "code3", F.col("population"))
     ided = v.join(country_rows, "country", "left").select(

@@ -56,7 +56,7 @@ places AS (
 
 SERIES = """
 ev AS (
-  SELECT CASE WHEN (user_id % 25) % 5 = 0 THEN 'R' || CAST(user_id % 3 AS VARCHAR) END AS region,
+  SELECT CASE WHEN (user_id % 25) % 5 = 0 THEN 'R' || CAST(user_id // 25 AS VARCHAR) END AS region,
          'NATION_' || CAST(user_id % 25 AS VARCHAR) AS country,
          CAST(ts AS DATE) AS date, event_type
   FROM events
@@ -152,9 +152,9 @@ merged_v AS (
 
 US = """
 us_v AS (
-  SELECT CAST(2000 + CAST(substr(s.country, 8) AS BIGINT) * 10 + CAST(substr(s.region, 2) AS BIGINT) AS BIGINT) AS uid,
+  SELECT CAST(1000000 + CAST(substr(s.country, 8) AS BIGINT) + 25 * CAST(substr(s.region, 2) AS BIGINT) AS BIGINT) AS uid,
          p.iso2, p.iso3, p.code3,
-         CAST(2000 + CAST(substr(s.country, 8) AS BIGINT) * 10 + CAST(substr(s.region, 2) AS BIGINT) AS BIGINT) AS FIPS,
+         CAST(1000000 + CAST(substr(s.country, 8) AS BIGINT) + 25 * CAST(substr(s.region, 2) AS BIGINT) AS BIGINT) AS FIPS,
          s.region AS Admin2, s.region, s.country, s.latitude, s.longitude,
          s.region || ', ' || s.country AS combined_key,
          p.population, s.date, s.confirmed, s.deaths
