@@ -20,19 +20,24 @@ from cumulus.functions.dates import parse_header_day
 from cumulus.functions.text import split_quoted
 
 
-def _reader(spark: SparkSession, header: bool = True):
+def _reader(spark: SparkSession, header: bool = True, multi_line: bool = False):
     return (
         spark.read.option("header", header)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("inferSchema", False)
+        .option("multiLine", multi_line)
     )
 
 
-def read_table_csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """A comma-separated file (or folder of files) as text columns, header dropped in every file."""
-    return _reader(spark, header).csv(path)
+def read_table_csv(spark: SparkSession, path, header: bool = True, multi_line: bool = False) -> DataFrame:
+    """A comma-separated file (or folder of files) as text columns, header dropped in every file.
+
+    ``multi_line`` allows line breaks inside quoted fields; such files cannot be
+    split, so each is read by one task.
+    """
+    return _reader(spark, header, multi_line).csv(path)
 
 
 @dataclass
@@ -50,7 +55,8 @@ class WideFile:
 
 
 def read_wide_csv(spark: SparkSession, path, n_ids: int | None = None,
-                  start_date: _dt.date | None = None, check_headers: bool = False) -> WideFile:
+                  start_date: _dt.date | None = None, check_headers: bool = False,
+                  multi_line: bool = False) -> WideFile:
     """Read a wide series file; the header splits identifier columns from day columns.
 
     Day columns are the header names that parse as ``M/d/yy``; they must be
@@ -65,7 +71,7 @@ def read_wide_csv(spark: SparkSession, path, n_ids: int | None = None,
         distinct = header_lines(spark, path).select("header").distinct().limit(2).collect()
         if len(distinct) > 1:
             raise ValueError("files under the path have different headers (day columns would not line up)")
-    df = read_table_csv(spark, path)
+    df = read_table_csv(spark, path, multi_line=multi_line)
     cols = df.columns
     if n_ids is None:
         n_ids = next((i for i, c in enumerate(cols) if parse_header_day(c) is not None), len(cols))

@@ -180,3 +180,10 @@ def test_layout_mismatch_rejected(spark, tmp_out):
     with pytest.raises(ValueError):
         cleaning.us_horizontal(wide, with_population=True)  # no population column in this file
     assert cleaning.us_horizontal(wide).count() == 2
+
+
+def test_multi_line_fields(spark, tmp_out):
+    write_text(tmp_out + "/ml", "a.csv", 'a,b,c,d,1/22/20\n"two\nlines",A,1,1,5\n,B,1,1,6\n')
+    wide = read_wide_csv(spark, tmp_out + "/ml", multi_line=True)
+    got = {r.country: (r.region, r.counts) for r in cleaning.global_horizontal(wide).collect()}
+    assert got == {"A": ("two\nlines", [5]), "B": (None, [6])}
