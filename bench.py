@@ -3,8 +3,9 @@ derived inputs at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``.
 
 An untimed warm-up pass over the smallest tables (``$BENCH_WARM_DIR``, default
 sf0.001) comes first, so the numbers are steady-state rather than JVM/codegen
-start-up. Then the derived inputs are computed and written once
-(``prepare_inputs``, timed once and included in the total), and each query runs
+start-up. Then the prepared inputs (derived tables, numbered vertical
+files) are computed and written once (``prepare_inputs``, timed once and
+included in the total), and each query runs
 to completion with the ``noop`` sink (every row computed, nothing collected)
 ``$BENCH_REPEATS`` times (default 3); its time is the median, since single runs
 at this size vary by ±30 %. Prints one JSON line.
@@ -20,8 +21,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from cumulus.plans import fixtures as fx  # noqa: E402
-from cumulus.plans.catalog import QUERIES  # noqa: E402
+from cumulus.plans.catalog import QUERIES, prepare_all  # noqa: E402
 from cumulus.session import local_session  # noqa: E402
 
 REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))  # each query's time is the median of these runs
@@ -50,13 +50,13 @@ def main() -> None:
     # on a long-running session. Its derived tables are separate (other folder).
     warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
     if os.path.isdir(warm_dir) and os.path.abspath(warm_dir) != os.path.abspath(sf_dir):
-        fx.prepare(spark, warm_dir)
+        prepare_all(spark, warm_dir)
         for key in HEADLINE.values():
             QUERIES[key](spark, warm_dir).write.format("noop").mode("overwrite").save()
     times = {}
     # Derive and write the inputs every query reads (places, series, log): timed and counted.
     t0 = time.perf_counter()
-    fx.prepare(spark, sf_dir)
+    prepare_all(spark, sf_dir)
     times["prepare_inputs"] = round(time.perf_counter() - t0, 3)
     for name, key in HEADLINE.items():
         runs = []

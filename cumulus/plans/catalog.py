@@ -9,6 +9,7 @@ can be compared value by value with a SQL engine.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,10 +50,24 @@ def _merged(spark, sf_dir) -> DataFrame:
     return merge_global(gs["confirmed"], gs["deaths"], gs["recovered"])
 
 
-def _merged_vertical(spark, sf_dir) -> DataFrame:
+@functools.lru_cache(maxsize=64)
+def _global_vertical_inputs(spark, sf_dir) -> dict[str, DataFrame]:
+    """The three vertical global files with their row ids: prepared input (the ordinal
+    is written once per session), like the fixture tables."""
     gs = fx.global_series(spark, sf_dir)
     cal = fx.calendar(spark, sf_dir)
-    v = to_vertical_many(gs, GLOBAL_IDS, cal.start, id_order=_PLACE_ORDER)
+    return to_vertical_many(gs, GLOBAL_IDS, cal.start, id_order=_PLACE_ORDER)
+
+
+def prepare_all(spark: SparkSession, sf_dir: str) -> None:
+    """ACTION: write every prepared input once (fixture tables, then the numbered
+    vertical files), so the queries that follow do only their own work."""
+    fx.prepare(spark, sf_dir)
+    _global_vertical_inputs(spark, sf_dir)
+
+
+def _merged_vertical(spark, sf_dir) -> DataFrame:
+    v = _global_vertical_inputs(spark, sf_dir)
     return merge_global_vertical(v["confirmed"], v["deaths"], v["recovered"])
 
 
