@@ -51,3 +51,19 @@ def test_observation_log(spark):
     assert log.select("id").distinct().count() == log.count()
     assert log.where("observed_date != last_updated").count() == 0
     assert log.where("deaths > confirmed OR recovered > confirmed").count() == 0
+
+
+def test_prepare_all_then_queries_write_nothing(spark):
+    import glob
+    import os
+
+    import __spark_entry__ as entry
+    from cumulus.plans.catalog import prepare_all
+    from cumulus.session import ensure_checkpoint_dir, local_path
+
+    prepare_all(spark, SF_SMALL)
+    scratch = os.path.join(local_path(ensure_checkpoint_dir(spark)), "cumulus-scratch")
+    before = set(glob.glob(scratch + "/*"))
+    for key in ("global_count_vertical", "merge_global", "incidence", "global_percent_by_quarter"):
+        entry.queries()[key](spark, SF_SMALL).collect()
+    assert set(glob.glob(scratch + "/*")) == before
