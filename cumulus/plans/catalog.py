@@ -60,10 +60,13 @@ def _global_vertical_inputs(spark, sf_dir) -> dict[str, DataFrame]:
 
 
 def prepare_all(spark: SparkSession, sf_dir: str) -> None:
-    """ACTION: write every prepared input once (fixture tables, then the numbered
-    vertical files), so the queries that follow do only their own work."""
+    """ACTION: write the prepared inputs once: the fixture tables, the numbered
+    vertical files, and the raw observation-log text the CSV load queries read.
+    The queries that follow then do only their own work. (The other raw files
+    are rendered on first use, also once per session.)"""
     fx.prepare(spark, sf_dir)
     _global_vertical_inputs(spark, sf_dir)
+    rendering.render_log(spark, sf_dir)
 
 
 def _merged_vertical(spark, sf_dir) -> DataFrame:

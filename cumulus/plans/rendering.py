@@ -6,11 +6,16 @@ part files written in parallel, and a small file of hand-written edge rows
 (quoted commas, escaped quotes, trailing empty fields, empty coordinates,
 every date layout, odd place names). Reading these back through ``sources``
 and ``operators.cleaning`` must give the typed frames again.
+
+The rendered files stand for the raw inputs the reference finds on disk, so each
+is written once per session and folder (memoised, like the derived tables); the
+queries then read and clean them.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import functools
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +24,8 @@ from cumulus.plans import fixtures as fx
 from cumulus.session import scratch_path
 from cumulus.sinks.csv import write_csv, write_wide_csv
 
+_once = functools.lru_cache(maxsize=64)
+
 GLOBAL_HEADER = ["Province/State", "Country/Region", "Lat", "Long"]
 US_HEADER = ["UID", "iso2", "iso3", "code3", "FIPS", "Admin2", "Province_State", "Country_Region",
              "Lat", "Long_", "Combined_Key"]
@@ -62,8 +69,10 @@ def global_edge_lines(n_days: int) -> list[str]:
     ]
 
 
+@_once
 def render_global(spark: SparkSession, sf_dir: str, measure: str = "confirmed") -> list[str]:
-    """ACTION: the global series of ``measure`` as a wide file, plus edge rows. Returns paths."""
+    """ACTION (once per session): the global series of ``measure`` as a wide file, plus
+    edge rows. Returns the paths."""
     start, n_days = calendar_values(spark, sf_dir)
     h = fx.global_series(spark, sf_dir)[measure]
     raw = h.select(
@@ -78,6 +87,7 @@ def render_global(spark: SparkSession, sf_dir: str, measure: str = "confirmed")
     return [main, edges]
 
 
+@_once
 def render_us_deaths(spark: SparkSession, sf_dir: str) -> list[str]:
     """ACTION: the US-layout deaths series (with population, FIPS as float text)."""
     start, n_days = calendar_values(spark, sf_dir)
@@ -103,6 +113,7 @@ PLACE_EDGE_LINES = [
 ]
 
 
+@_once
 def render_places(spark: SparkSession, sf_dir: str) -> list[str]:
     """ACTION: the place dimension as a lookup file (unknown latitudes empty), plus edge rows."""
     p = fx.places(spark, sf_dir)
@@ -143,6 +154,7 @@ def update_text(observed: Column, id_col: Column) -> Column:
     return expr
 
 
+@_once
 def render_log(spark: SparkSession, sf_dir: str) -> list[str]:
     """ACTION: the observation log as text (every field quoted, measures as "N.0"), plus edge rows."""
     log = fx.observation_log(spark, sf_dir)
