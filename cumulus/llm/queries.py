@@ -2,8 +2,43 @@
 
 from __future__ import annotations
 
-from cumulus.llm.common import table
+from pyspark.sql import functions as F
+
+from cumulus.llm import language_id
+from cumulus.llm.common import SPACES, table, text_key
 from cumulus.llm.exact_dedup import exact_duplicates
+from cumulus.llm.line_dedup import apply_bitmaps, line_bitmaps
+from cumulus.llm.mixing import mix, word_count
+from cumulus.llm.packing import pack_documents
+from cumulus.session import materialize
+
+
+def op3_mix_sources(spark, sf_dir):
+    """All documents mixed to source weights 1, 2, 3 in turn, at most three times each."""
+    sized = materialize(table(spark, sf_dir, "documents").select(
+        "doc_id", "source", text_key().alias("key"), word_count().alias("size")), "mix-sizes")
+    return mix(sized, ["doc_id", "key"]).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_language_id(spark, sf_dir):
+    """The language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(language_id.train_rows(docs))
+    return language_id.predict(docs, model).select(
+        "doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_pack(spark, sf_dir):
+    """All documents in sequences of at most 2048 ids."""
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark, sf_dir):
+    """Lines found in ten documents or more go from all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = apply_bitmaps(docs, line_bitmaps(docs, min_docs=10, min_chars=1))
+    return kept.select("doc_id", "n_lines", "n_dropped",
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op10_exact_dedup(spark, sf_dir):
@@ -12,10 +47,25 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_mix_sources": op3_mix_sources,
+    "op4_language_id": op4_language_id,
+    "op7_pack": op7_pack,
+    "op8_line_dedup": op8_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+_SPACES_SQL = " || ".join(f"chr({ord(c)})" for c in SPACES)
+
 ORACLE_SQL = {
+    "op8_line_dedup": f"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
+        k AS (SELECT *, translate(trim(line, {_SPACES_SQL}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                  'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        c AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
+        FROM k LEFT JOIN c ON k.key = c.key GROUP BY doc_id""",
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
