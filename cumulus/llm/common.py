@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,3 +36,31 @@ def uniform(*parts: Column | int | str) -> Column:
 def text_key(text: str = "text") -> Column:
     """64-bit hash of a text; with ``doc_id`` it names a row apart from rows that repeat its id."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this library's modules to the executors, once per application (Spark's own file
+    distribution), so that functions run there can import them without an installation."""
+    context = spark.sparkContext
+    if getattr(context, "_cumulus_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="cumulus-ship-"), "cumulus.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._cumulus_shipped = True
+
+
+def shipped(query):
+    """A query or stage (spark, ...) that first sends the modules its tasks import."""
+    @functools.wraps(query)
+    def run(spark, *args):
+        ship(spark)
+        return query(spark, *args)
+
+    return run
