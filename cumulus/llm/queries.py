@@ -5,14 +5,31 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cumulus.llm import language_id
-from cumulus.llm.common import SPACES, table, text_key
+from cumulus.llm.common import SPACES, shipped, table, text_key
 from cumulus.llm.exact_dedup import exact_duplicates
 from cumulus.llm.line_dedup import apply_bitmaps, line_bitmaps
 from cumulus.llm.mixing import mix, word_count
+from cumulus.llm.near_dedup import near_duplicates
 from cumulus.llm.packing import pack_documents
+from cumulus.llm.secret_scan import candidates, scan
+from cumulus.llm.substring_dedup import repeated_passages
+from cumulus.llm.topk_search import integer_vectors, top_k
+from cumulus.llm.url_filter import asof_verdicts, url_host, url_path, validity_intervals
 from cumulus.session import materialize
 
 
+def op1_topk_search(spark, sf_dir):
+    """The ten highest inner products of every hundredth vector against all others."""
+    vectors = integer_vectors(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+def op2_substring_dedup(spark, sf_dir):
+    """Words of every document covered by a 20-word window that also starts earlier."""
+    return repeated_passages(table(spark, sf_dir, "documents"), window=20).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_mix_sources(spark, sf_dir):
     """All documents mixed to source weights 1, 2, 3 in turn, at most three times each."""
     sized = materialize(table(spark, sf_dir, "documents").select(
@@ -28,6 +45,49 @@ def op4_language_id(spark, sf_dir):
         "doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def _hash_number(text):
+    """A repeatable number from a text that SQL can compute too."""
+    return F.conv(F.left(F.md5(text), F.lit(7)), 16, 10).cast("int")
+
+
+def _list_entries(pages):
+    """Dated list entries derived from the pages' own hosts, domains and first path segments."""
+    urls = pages.select(url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path")).where("host IS NOT NULL")
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n)
+
+    def entries(values, kind, list_name, share, since, until):
+        n = values.distinct().withColumn("n", _hash_number(F.col("value"))).where(share)
+        entry = lambda action, at: n.select(
+            F.lit(list_name).alias("list"), F.lit(kind).alias("kind"), "value", F.lit(action).alias("action"), day(at).alias("at"))
+        return entry("add", F.expr(since)).union(entry("remove", F.expr(until)))
+
+    segment = F.regexp_extract("path", "^/([^/]+)", 1)
+    return (entries(urls.select(F.col("host").alias("value")), "host", "malware", "n % 3 = 0", "n % 200", "n % 200 + 30 + n % 90")
+            .union(entries(urls.select(F.substring_index("host", ".", -3).alias("value")), "domain", "adult", "n % 5 = 1",
+                           "n % 250", "n % 250 + 60"))
+            .union(entries(urls.where(segment != "").select(F.concat("host", F.lit("/"), segment).alias("value")), "path", "allow",
+                           "n % 4 = 0", "n % 150", "n % 150 + 100")))
+
+
+def op5_url_filter(spark, sf_dir):
+    """Every page judged by the list entries active on the day it was fetched."""
+    pages = table(spark, sf_dir, "pages")
+    entries = materialize(_list_entries(pages), "url-entries")
+    captures = pages.select("page_id", "url", F.date_add(
+        F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 365).cast("int")).alias("fetched_at"))
+    return asof_verdicts(captures, validity_intervals(entries))
+
+
+def op6_secret_scan(spark, sf_dir):
+    """Every candidate key of every document, scored by a forest trained on findings labelled by their form:
+    hexadecimal keys of 32 or more digits assigned in quotes are secrets, runs of letters or of digits are not."""
+    docs = table(spark, sf_dir, "documents")
+    found = candidates(docs)
+    key = F.col("candidate").rlike("^([0-9a-f]{32,}|[0-9A-F]{32,})$") & F.col("quoted") & F.col("before").rlike("[=:]")
+    plain = F.col("candidate").rlike(r"^([A-Za-z/+_\-]+|[0-9/+_\-]+)$")
+    return scan(docs, found.withColumn("label", F.when(key, 1).when(plain, 0)))
+
+
 def op7_pack(spark, sf_dir):
     """All documents in sequences of at most 2048 ids."""
     return pack_documents(table(spark, sf_dir, "documents"))
@@ -41,18 +101,19 @@ def op8_line_dedup(spark, sf_dir):
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_near_dedup(spark, sf_dir):
+    """Components of documents whose sets of 4-word shingles have a similarity of 0.8 or more."""
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op10_exact_dedup(spark, sf_dir):
     """Groups of identical texts; the row with the largest doc_id stays."""
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {
-    "op3_mix_sources": op3_mix_sources,
-    "op4_language_id": op4_language_id,
-    "op7_pack": op7_pack,
-    "op8_line_dedup": op8_line_dedup,
-    "op10_exact_dedup": op10_exact_dedup,
-}
+QUERIES = {f.__name__: shipped(f) for f in (
+    op1_topk_search, op2_substring_dedup, op3_mix_sources, op4_language_id, op5_url_filter, op6_secret_scan, op7_pack,
+    op8_line_dedup, op9_near_dedup, op10_exact_dedup)}
 
 _SPACES_SQL = " || ".join(f"chr({ord(c)})" for c in SPACES)
 
