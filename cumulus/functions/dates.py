@@ -25,35 +25,27 @@ UPDATE_DATE_FORMATS = (
 OBSERVED_DATE_FORMAT = "MM/dd/yyyy"
 
 # Fixed value: label of an unpacked day column, e.g. "Jan 22 '20".
-DAY_LABEL_FORMAT = "MMM dd ''yy"
 _DAY_LABEL_PY = "%b %d '%y"
 
-# Fixed value: header label of a day column in the wide series files, e.g. "1/22/20".
-HEADER_DAY_FORMAT = "M/d/yy"
-
-
-# Fixed value: two-digit years at or above this (69-99) are read as 19xx, below as 20xx
-# (the POSIX strptime rule); Spark's own "yy" would read "96" as 2096.
-TWO_DIGIT_YEAR_PIVOT = 69
-
 
 def _two_digit_year(fmt: str) -> bool:
     return "yy" in fmt and "yyy" not in fmt
 
 
-def update_date(c, formats=UPDATE_DATE_FORMATS) -> Column:
+def update_date(c, formats=UPDATE_DATE_FORMATS, pivot: int | None = None) -> Column:
     """Text in any of the known layouts to a date (time of day dropped); anything else gives null.
 
     The date part's shape picks the one layout to try (a regex test is much
     cheaper than a failed parse); text of that shape that still does not parse
-    gives null. Two-digit years follow ``TWO_DIGIT_YEAR_PIVOT``.
+    gives null. Two-digit years are 2000-2099 (reference rule); with ``pivot`` those
+    at or above it are 19xx.
     """
     c = as_col(c)
     expr = None
     for shape, fmt in formats:
         d = F.try_to_timestamp(c, F.lit(fmt)).cast("date")
-        if _two_digit_year(fmt):
-            d = F.when(F.year(d) >= 2000 + TWO_DIGIT_YEAR_PIVOT, F.add_months(d, -1200)).otherwise(d)
+        if pivot is not None and _two_digit_year(fmt):
+            d = F.when(F.year(d) >= 2000 + pivot, F.add_months(d, -1200)).otherwise(d)
         cond = c.rlike(shape)
         expr = F.when(cond, d) if expr is None else expr.when(cond, d)
     return expr
@@ -75,14 +67,16 @@ def day_label(start: _dt.date, offset: int, fmt: str = _DAY_LABEL_PY) -> str:
     return (start + _dt.timedelta(days=offset)).strftime(fmt)
 
 
-def parse_header_day(name: str) -> _dt.date | None:
-    """A wide-file header label such as "1/22/20" to a date; None if it is not a day column."""
+def parse_header_day(name: str, pivot: int | None = None) -> _dt.date | None:
+    """A wide-file header label such as "1/22/20" to a date; None if it is not a day column.
+
+    Two-digit years are 2000-2099; with ``pivot`` those at or above it are 19xx."""
     parts = name.strip().split("/")
     if len(parts) != 3 or not all(p.isdigit() for p in parts):
         return None
     month, day, year = (int(p) for p in parts)
     if len(parts[2]) <= 2:
-        year += 1900 if year >= TWO_DIGIT_YEAR_PIVOT else 2000
+        year += 1900 if pivot is not None and year >= pivot else 2000
     try:
         return _dt.date(year, month, day)
     except ValueError:

@@ -36,11 +36,14 @@ def measure_long(c) -> Column:
 
 
 def coordinate(c) -> Column:
-    """Latitude/longitude text to float; null or unparsable becomes 0.0 (reference rule)."""
-    return F.coalesce(as_col(c).try_cast("float"), F.lit(0.0).cast("float"))
+    """Latitude/longitude text to float; null becomes 0.0 (reference rule), text that
+    is no number becomes null (see the bad-row frames of ``operators.cleaning``)."""
+    c = as_col(c)
+    return F.when(c.isNull(), F.lit(0.0).cast("float")).otherwise(c.try_cast("float"))
 
 
 def code_or_zero(c, dtype: str = "bigint") -> Column:
-    """A numeric code (code3, FIPS) that may be written as float text; null (or a value
-    out of ``dtype``'s range) becomes 0."""
-    return F.coalesce(float_text_long(c).try_cast(dtype), F.lit(0).cast(dtype))
+    """A numeric code (code3, FIPS) that may be written as float text; null becomes 0
+    (reference rule), text that is no number of ``dtype`` becomes null."""
+    c = as_col(c)
+    return F.when(c.isNull(), F.lit(0).cast(dtype)).otherwise(float_text_long(c).try_cast(dtype))

@@ -17,22 +17,21 @@ COUNTRY_EXACT_FIXES = {"('St. Martin',)": "St. Martin"}
 COUNTRY_CONTAINS_FIXES = ("Bahamas", "Gambia")
 
 # Fixed value: one field of a raw line. A field starts at the line start or right
-# after a comma and is either a double-quoted run (commas inside it are data) with
-# anything up to the next comma, or plain text up to the next comma. Fields are
-# found left to right in one pass; splitting on "a comma followed by an even
-# number of quotes" instead rescans the rest of the line at every comma, which
-# is quadratic in the line length (25x slower on 500-field lines).
-FIELD_PATTERN = r'(?:^|(?<=,))("(?:[^"]|"")*"[^,]*|[^,]*)'
+# after a comma and runs to the next comma outside quotes; quoted runs may stand
+# anywhere in it. Possessive, so one linear pass without recursion finds the fields;
+# splitting on "a comma followed by an even number of quotes" instead rescans
+# the rest of the line at every comma, which is quadratic in the line length.
+FIELD_PATTERN = r'(?:^|(?<=,))([^,"]*+(?:"[^"]*+"[^,"]*+)*+)'
 
 
 def normalise_region(region="region", country="country") -> Column:
     """Clean a region name.
 
     A region that mentions a ship becomes the ship's name; "None", anything
-    containing "Unknown", and a region equal to its country become null (a
-    country-level row); everything else is trimmed. (The reference compared the
-    region with itself, which nulled every region; comparing with the country is
-    the repair.)
+    containing "Unknown", and a region equal to its country (repaired by
+    :func:`normalise_country`) become null (a country-level row); everything else
+    is trimmed. (The reference compared the region with itself, which nulled every
+    region; comparing with the country is the repair.)
     """
     r = as_col(region)
     c = as_col(country)
@@ -40,7 +39,7 @@ def normalise_region(region="region", country="country") -> Column:
     for ship in SHIP_REGIONS:
         cond = r.contains(ship)
         expr = F.when(cond, F.lit(ship)) if expr is None else expr.when(cond, F.lit(ship))
-    null_cond = r.isin(*NULL_REGION_EXACT) | (F.trim(r) == F.trim(c))
+    null_cond = r.isin(*NULL_REGION_EXACT) | (F.trim(r) == F.trim(c)) | (F.trim(r) == normalise_country(c))
     for part in NULL_REGION_CONTAINS:
         null_cond = null_cond | r.contains(part)
     return expr.when(null_cond, F.lit(None).cast("string")).otherwise(F.trim(r))
@@ -62,7 +61,16 @@ def split_quoted(line) -> Column:
     """Split a raw CSV line on commas outside double quotes, keep trailing empty fields,
     delete every double quote, and turn empty fields into null. Gives array<string>.
 
-    One linear regex pass per line (``regexp_extract_all``), built-in and JVM-side.
+    A line with an odd number of quotes has no defined fields: it gives null, and
+    ``sources.bad_lines`` reports it. One linear regex pass per line
+    (``regexp_extract_all``), built-in and JVM-side.
     """
     parts = F.regexp_extract_all(as_col(line), F.lit(FIELD_PATTERN), 1)
-    return F.transform(parts, lambda p: F.nullif(F.regexp_replace(p, '"', ""), F.lit("")))
+    fields = F.transform(parts, lambda p: F.nullif(F.regexp_replace(p, '"', ""), F.lit("")))
+    return F.when(balanced_quotes(line), fields)
+
+
+def balanced_quotes(line) -> Column:
+    """Whether a raw line has an even number of double quotes."""
+    c = as_col(line)
+    return (F.length(c) - F.length(F.translate(c, '"', ""))) % 2 == 0

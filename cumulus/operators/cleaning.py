@@ -15,7 +15,7 @@ from cumulus.functions.parse import code_or_zero, coordinate, float_text_long, m
 from cumulus.functions.text import normalise_country, normalise_region
 from cumulus.operators.shapes import to_vertical
 from cumulus.schemas import GLOBAL_IDS, US_IDS
-from cumulus.sources.csv import WideFile
+from cumulus.sources.csv import CORRUPT_COLUMN, WideFile
 
 
 def _pos(df: DataFrame, i: int):
@@ -100,9 +100,10 @@ def place_dim(df: DataFrame) -> DataFrame:
     )
 
 
-def observation_log(df: DataFrame) -> DataFrame:
+def observation_log(df: DataFrame, pivot: int | None = None) -> DataFrame:
     """Observation log file (8 columns) to the typed log, with region and country repaired.
 
+    ``pivot`` is the two-digit-year rule of :func:`cumulus.functions.dates.update_date`.
     Unparsable dates become null rather than failing the job; see
     :func:`bad_log_rows` for the rows that lost a value.
     """
@@ -110,7 +111,7 @@ def observation_log(df: DataFrame) -> DataFrame:
         try_long(_pos(df, 0)).alias("id"),
         observed_date(_pos(df, 1)).alias("observed_date"),
         _pos(df, 2).alias("region"), _pos(df, 3).alias("country"),
-        update_date(_pos(df, 4)).alias("last_updated"),
+        update_date(_pos(df, 4), pivot=pivot).alias("last_updated"),
         measure_long(_pos(df, 5)).alias("confirmed"),
         measure_long(_pos(df, 6)).alias("deaths"),
         measure_long(_pos(df, 7)).alias("recovered"),
@@ -123,16 +124,41 @@ def observation_log(df: DataFrame) -> DataFrame:
     )
 
 
+def _unparsed(df: DataFrame, checks) -> DataFrame:
+    bad = F.col(CORRUPT_COLUMN).isNotNull() if CORRUPT_COLUMN in df.columns else F.lit(False)
+    for raw, parsed in checks:
+        bad = bad | (raw.isNotNull() & parsed.isNull())
+    return df.where(bad)
+
+
 def bad_log_rows(df: DataFrame) -> DataFrame:
-    """Raw log rows where a non-empty field did not parse (the corrupt-row report)."""
-    checks = [
+    """Raw log rows where a non-empty field did not parse, and rows with the wrong number of
+    fields if ``df`` was read with ``flag_malformed``."""
+    return _unparsed(df, [
         (_pos(df, 0), try_long(_pos(df, 0))),
         (_pos(df, 1), observed_date(_pos(df, 1))),
         (_pos(df, 4), update_date(_pos(df, 4))),
         *[(_pos(df, i), measure_long(_pos(df, i))) for i in (5, 6, 7)],
-    ]
-    bad = None
-    for raw, parsed in checks:
-        cond = raw.isNotNull() & parsed.isNull()
-        bad = cond if bad is None else bad | cond
-    return df.where(bad)
+    ])
+
+
+def bad_series_rows(wide: WideFile, us: bool = False) -> DataFrame:
+    """Raw rows of a series file where a coordinate, a code or a count that is not empty did
+    not parse, and rows with the wrong number of fields if read with ``flag_malformed``."""
+    df = wide.df
+    at = {i: (_pos(df, i), _pos(df, i).try_cast("float")) for i in ((8, 9) if us else (2, 3))}
+    if us:
+        at[0] = (_pos(df, 0), try_long(_pos(df, 0)))
+        at |= {i: (_pos(df, i), float_text_long(_pos(df, i))) for i in (3, 4)}
+    days = [F.col(f"`{c}`") for c in wide.day_columns]
+    # One test over the array of days, however many there are.
+    lost = F.exists(F.array(*days), lambda v: v.isNotNull() & v.try_cast("bigint").isNull()) if days else F.lit(False)
+    return _unparsed(df, [*at.values(), (F.lit(True), F.when(~lost, True))])
+
+
+def bad_place_rows(df: DataFrame) -> DataFrame:
+    """Raw rows of the place file where a number that is not empty did not parse, and rows with
+    the wrong number of fields if read with ``flag_malformed``."""
+    return _unparsed(df, [*[(_pos(df, i), try_long(_pos(df, i))) for i in (0, 11)],
+                          *[(_pos(df, i), float_text_long(_pos(df, i))) for i in (3, 4)],
+                          *[(_pos(df, i), _pos(df, i).try_cast("float")) for i in (8, 9)]])

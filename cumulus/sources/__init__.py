@@ -2,7 +2,7 @@
 
 from cumulus.sources.csv import (
     WideFile,
-    header_lines,
+    bad_lines,
     malformed_rows,
     read_lines,
     read_table_csv,
@@ -10,7 +10,7 @@ from cumulus.sources.csv import (
     tokenised_lines,
 )
 
-__all__ = ["WideFile", "header_lines", "malformed_rows", "read_lines", "read_table_csv", "read_wide_csv", "tokenised_lines"]
+__all__ = ["WideFile", "bad_lines", "malformed_rows", "read_lines", "read_table_csv", "read_wide_csv", "tokenised_lines"]
 
 
 def __getattr__(name):

@@ -25,7 +25,7 @@ INPUT_FILES = {
 
 
 def load_all(spark: SparkSession, folder: str, files: dict[str, str] | None = None,
-             check_headers: bool = False) -> dict[str, DataFrame]:
+             check_headers: bool = True) -> dict[str, DataFrame]:
     """Typed frames of every input found under ``folder`` (a name may map to a file or folder).
 
     Keys: ``places``, ``global_confirmed`` / ``global_deaths`` / ``global_recovered``

@@ -15,9 +15,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cumulus.functions.dates import parse_header_day
-from cumulus.functions.text import split_quoted
+from cumulus.functions.text import balanced_quotes, split_quoted
+
+
+CORRUPT_COLUMN = "_corrupt_record"
 
 
 def _reader(spark: SparkSession, header: bool = True, multi_line: bool = False):
@@ -31,13 +35,26 @@ def _reader(spark: SparkSession, header: bool = True, multi_line: bool = False):
     )
 
 
-def read_table_csv(spark: SparkSession, path, header: bool = True, multi_line: bool = False) -> DataFrame:
+def read_table_csv(spark: SparkSession, path, header: bool = True, multi_line: bool = False,
+                   check_headers: bool = True, flag_malformed: bool = False) -> DataFrame:
     """A comma-separated file (or folder of files) as text columns, header dropped in every file.
 
-    ``multi_line`` allows line breaks inside quoted fields; such files cannot be
-    split, so each is read by one task.
+    Columns are named by the first file's header. Spark compares every file's own
+    header with it while reading and fails on a difference (no extra scan), unless
+    ``check_headers`` is off: files are then mapped by position. ``flag_malformed`` appends
+    ``_corrupt_record``, the raw line of a row with too few or too many fields (null
+    for the others); without it Spark pads or cuts such rows, and :func:`malformed_rows`
+    gives them. ``multi_line`` allows line breaks inside quoted fields; such files
+    cannot be split, so each is read by one task.
     """
-    return _reader(spark, header, multi_line).csv(path)
+    first = _reader(spark, header, multi_line).csv(path)
+    schema = StructType([StructField(c, StringType(), True) for c in first.columns]
+                        + ([StructField(CORRUPT_COLUMN, StringType(), True)] if flag_malformed else []))
+    return (_reader(spark, header, multi_line).schema(schema)
+            .option("enforceSchema", not (header and check_headers))
+            .option("columnNameOfCorruptRecord", CORRUPT_COLUMN)
+            # The parser counts a row's fields only when it reads all of them.
+            .option("columnPruning", not flag_malformed).csv(path))
 
 
 @dataclass
@@ -55,24 +72,19 @@ class WideFile:
 
 
 def read_wide_csv(spark: SparkSession, path, n_ids: int | None = None,
-                  start_date: _dt.date | None = None, check_headers: bool = False,
-                  multi_line: bool = False) -> WideFile:
+                  start_date: _dt.date | None = None, check_headers: bool = True,
+                  multi_line: bool = False, flag_malformed: bool = False) -> WideFile:
     """Read a wide series file; the header splits identifier columns from day columns.
 
     Day columns are the header names that parse as ``M/d/yy``; they must be
     consecutive days with no gap (otherwise every later day would be misdated).
     With ``n_ids`` the first ``n_ids`` columns are identifiers and the rest are
     days whatever their names (a header without dates then needs ``start_date``).
-    The reader maps every file by position onto the first file's header; with
-    ``check_headers`` (an action returning one row per distinct header) files
-    whose headers differ are rejected instead of being silently misaligned.
+    ``check_headers`` and ``flag_malformed`` are those of :func:`read_table_csv`: files
+    whose day columns differ fail while they are read.
     """
-    if check_headers:
-        distinct = header_lines(spark, path).select("header").distinct().limit(2).collect()
-        if len(distinct) > 1:
-            raise ValueError("files under the path have different headers (day columns would not line up)")
-    df = read_table_csv(spark, path, multi_line=multi_line)
-    cols = df.columns
+    df = read_table_csv(spark, path, multi_line=multi_line, check_headers=check_headers, flag_malformed=flag_malformed)
+    cols = [c for c in df.columns if c != CORRUPT_COLUMN]
     if n_ids is None:
         n_ids = next((i for i, c in enumerate(cols) if parse_header_day(c) is not None), len(cols))
     ids, days = cols[:n_ids], cols[n_ids:]
@@ -87,37 +99,19 @@ def read_wide_csv(spark: SparkSession, path, n_ids: int | None = None,
     return WideFile(df=df, id_columns=ids, day_columns=days, start_date=start)
 
 
-def _numbered_lines(spark: SparkSession, path) -> DataFrame:
-    """Raw lines with their file, whether their split starts the file, and an id that
-    increases with the line's position inside its split."""
-    return spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("_file"),
-        (F.col("_metadata.file_block_start") == 0).alias("_starts_file"),
-        F.monotonically_increasing_id().alias("_line"),
-    )
-
-
-def header_lines(spark: SparkSession, path) -> DataFrame:
-    """(file, header): the first line of every file under ``path``; one row per file.
-
-    The split that starts a file holds its first line at its smallest line id;
-    ``min_by`` keeps one candidate per task, so no file's lines are gathered.
-    """
-    lines = _numbered_lines(spark, path)
-    return lines.where("_starts_file").groupBy(F.col("_file").alias("file")).agg(
-        F.min_by("value", "_line").alias("header"))
-
-
 def read_lines(spark: SparkSession, path, drop_header: bool = True) -> DataFrame:
     """Raw lines (column ``value``); with ``drop_header`` the first line of every file
     is dropped, whatever its text (the reference dropped it from the first
-    partition only). Lazy: an anti join with one row per file."""
-    if not drop_header:
-        return spark.read.text(path)
-    lines = _numbered_lines(spark, path)
-    firsts = lines.where("_starts_file").groupBy("_file").agg(F.min("_line").alias("_line"))
-    return lines.join(firsts, ["_file", "_line"], "left_anti").select("value")
+    partition only). One narrow scan: the CSV reader with a separator that no text has and
+    without quotes leaves each line whole. Blank lines hold no record and are passed over."""
+    lines = (spark.read.schema("value string").option("header", drop_header).option("sep", "\u0001")
+             .option("quote", "").option("escape", "").csv(path))
+    return lines.where(F.col("value").isNotNull())
+
+
+def bad_lines(lines: DataFrame, col: str = "value") -> DataFrame:
+    """Raw lines without defined fields: an odd number of quotes."""
+    return lines.where(~balanced_quotes(col))
 
 
 def tokenised_lines(lines: DataFrame, col: str = "value") -> DataFrame:
@@ -126,21 +120,7 @@ def tokenised_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     return lines.select(split_quoted(col).alias("tokens"))
 
 
-CORRUPT_COLUMN = "_corrupt_record"
-
-
 def malformed_rows(spark: SparkSession, path) -> DataFrame:
     """Rows of a CSV source whose field count does not match its header (too few,
-    too many, or an unclosed quote), with the raw line in ``_corrupt_record``.
-
-    The normal readers pad or cut such rows silently (PERMISSIVE mode); this
-    re-reads with the header's columns as an explicit schema plus Spark's
-    corrupt-record column, which flags them. Lazy, distributed, one header read.
-    """
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    cols = read_table_csv(spark, path).columns
-    schema = StructType([StructField(c, StringType(), True) for c in cols]
-                        + [StructField(CORRUPT_COLUMN, StringType(), True)])
-    df = (_reader(spark).schema(schema).option("columnNameOfCorruptRecord", CORRUPT_COLUMN).csv(path))
-    return df.where(F.col(CORRUPT_COLUMN).isNotNull())
+    too many, or an unclosed quote), with the raw line in ``_corrupt_record``."""
+    return read_table_csv(spark, path, flag_malformed=True).where(F.col(CORRUPT_COLUMN).isNotNull())

@@ -31,7 +31,7 @@ def test_update_date_all_layouts(spark):
             "2020-03-08 05:31:00", "Jan 22", "1/22/20 0:30", None, "", "5/7/96 3:00", "13/45/2020 1:00"]
     got = one(spark, [(v,) for v in vals], "v string", update_date("v"))
     assert got == [D(2020, 1, 22), D(2020, 1, 22), D(2020, 1, 22), D(2020, 2, 1), D(2020, 3, 8),
-                   None, D(2020, 1, 22), None, None, D(1996, 5, 7), None]
+                   None, D(2020, 1, 22), None, None, D(2096, 5, 7), None]
 
 
 def test_observed_date_strict(spark):
@@ -49,7 +49,7 @@ def test_number_parsing(spark):
 
 def test_coordinate_defaults_to_zero(spark):
     got = one(spark, [("36.0",), (None,), ("x",), ("-86.6",)], "v string", coordinate("v"))
-    assert got[:3] == [36.0, 0.0, 0.0] and abs(got[3] + 86.6) < 1e-5
+    assert got[:3] == [36.0, 0.0, None] and abs(got[3] + 86.6) < 1e-5
 
 
 def test_normalise_region(spark):
@@ -97,3 +97,52 @@ def test_labels():
     assert header_day_name(D(2020, 1, 22)) == "1/22/20"
     assert parse_header_day("1/22/20") == D(2020, 1, 22)
     assert parse_header_day("Lat") is None
+
+
+def _plain_split(line):
+    """Commas outside quotes split; quotes go; empty is null; an odd number of quotes has no fields."""
+    if line.count('"') % 2:
+        return None
+    fields, field, inside = [], "", False
+    for ch in line:
+        if ch == '"':
+            inside = not inside
+        elif ch == "," and not inside:
+            fields.append(field or None)
+            field = ""
+        else:
+            field += ch
+    return [*fields, field or None]
+
+
+def test_split_quoted_against_plain_splitter(spark):
+    import random
+
+    from cumulus.functions import split_quoted
+
+    rng = random.Random(5)
+    lines = ["".join(rng.choice('ab ,"') for _ in range(rng.randrange(25))) for _ in range(3000)]
+    lines += [' "Korea, South",1,2', 'abc "x, y",3', '"a"b"c,d",e', '"' + "x," * 50_000 + '",1', "a" * 100_000 + ',"' + '""' * 5_000 + '"']
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
+    got = {r.i: r.t for r in df.select("i", split_quoted("line").alias("t")).collect()}
+    for i, line in enumerate(lines):
+        assert got[i] == _plain_split(line), line[:80]
+
+
+def test_region_equal_to_the_repaired_country(spark):
+    from cumulus.functions import normalise_region
+
+    df = spark.createDataFrame([("Bahamas", "Bahamas, The"), ("Hubei", "China"), ("X", "X")], "region string, country string")
+    assert [r[0] for r in df.select(normalise_region("region", "country")).collect()] == [None, "Hubei", None]
+
+
+def test_two_digit_years_and_garbage(spark):
+    from cumulus.functions import update_date
+    from cumulus.functions.dates import parse_header_day
+    from cumulus.functions.parse import code_or_zero, coordinate
+
+    df = spark.createDataFrame([("1/2/96 3:04",)], "t string")
+    assert [str(x) for x in df.select(update_date("t"), update_date("t", pivot=69)).first()] == ["2096-01-02", "1996-01-02"]
+    assert parse_header_day("1/2/96").year == 2096 and parse_header_day("1/2/96", pivot=69).year == 1996
+    df = spark.createDataFrame([(None,), ("abc",), ("7.0",)], "t string")
+    assert [tuple(r) for r in df.select(coordinate("t"), code_or_zero("t")).collect()] == [(0.0, 0), (None, None), (7.0, 7)]
