@@ -1,16 +1,18 @@
 """Merging separately loaded measures of the same places.
 
 Each merge is a full outer join with null-safe equality on the place key (a
-null region is a real key value: the country-level row). After every join the
-key and identity columns are coalesced from both sides, so rows present only on
-the right keep their identity and can still match in the next join. (The
-reference kept only the left side's columns, which blanked right-only rows.)
+null region is a real key value: the country-level row), of two or three files
+that hold a key once. It is written as one union grouped by the key: one
+shuffle, partial before it, whatever the number of files, and a filter on the key goes
+below it to every file's scan. Identity columns come from the first file that
+has them, so a row present in one file only keeps its identity. (The reference kept
+only the left side's columns, which blanked right-only rows.) A key that a file
+holds twice raises instead of multiplying rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,39 +20,33 @@ from pyspark.sql import functions as F
 from cumulus.schemas import GLOBAL_KEYS, US_IDS
 
 
-def _outer_merge(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    shared: Sequence[str],
-    take: dict[str, str],
-    right_first: Sequence[str] = (),
-) -> DataFrame:
-    """Full outer, null-safe on ``keys``; ``shared`` columns coalesced (left first,
-    or right first for names in ``right_first``); every other left column kept as
-    is; ``take`` maps right columns to output names."""
-    l, r = left.alias("_l"), right.alias("_r")
-    cond = reduce(lambda a, b: a & b, [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in keys])
-    joined = l.join(r, cond, "full_outer")
-    out = []
-    for c in left.columns:
-        if c in keys or (c in shared and c in right.columns):
-            pair = [F.col(f"_l.{c}"), F.col(f"_r.{c}")]
-            out.append(F.coalesce(*(pair[::-1] if c in right_first else pair)).alias(c))
-        elif c not in take.values():
-            out.append(F.col(f"_l.{c}"))
-    for src, name in take.items():
-        out.append(F.col(f"_r.{src}").alias(name))
-    return joined.select(*out)
+def _outer_merge(files: Sequence[DataFrame], measures: Sequence[str], keys: Sequence[str], identity: Sequence[str],
+                 counts: str, last_first: Sequence[str] = ()) -> DataFrame:
+    """Full outer merge of ``files`` on ``keys``: file i's ``counts`` becomes ``measures[i]``; the
+    ``identity`` columns come from the first file (the last for names in ``last_first``) that has a value."""
+    types = {f.name: f.dataType for df in reversed(files) for f in df.schema.fields}
+    tagged = None
+    for i, df in enumerate(files):
+        one = df.select(*keys, *[(F.col(c) if c in df.columns else F.lit(None)).cast(types[c]).alias(c) for c in identity],
+                        F.col(counts).alias("_v"), F.lit(i).alias("_f"))
+        tagged = one if tagged is None else tagged.unionByName(one)
+    n = range(len(files))
+    of = lambda c, i: F.max(F.when(F.col("_f") == i, F.col(c)))
+    grouped = tagged.groupBy(*keys).agg(
+        *[F.coalesce(*[of(c, i) for i in (reversed(n) if c in last_first else n)]).alias(c) for c in identity],
+        *[of("_v", i).alias(m) for i, m in enumerate(measures)],
+        F.greatest(*[F.count_if(F.col("_f") == i) for i in n]).alias("_times") if len(files) > 1
+        else F.count(F.lit(1)).alias("_times"))
+    twice = F.raise_error(F.lit("a file holds a place key twice")).cast("boolean")
+    return grouped.where(F.when(F.col("_times") > 1, twice).otherwise(True)).drop("_times")
 
 
 def merge_global(confirmed: DataFrame, deaths: DataFrame, recovered: DataFrame,
                  keys: Sequence[str] = GLOBAL_KEYS, counts: str = "counts") -> DataFrame:
     """Three horizontal global series to one frame with ``confirmed``, ``deaths``, ``recovered`` arrays."""
-    shared = ("latitude", "longitude")
-    first = _outer_merge(confirmed.withColumnRenamed(counts, "confirmed"), deaths, keys, shared,
-                         {counts: "deaths"})
-    return _outer_merge(first, recovered, keys, shared, {counts: "recovered"})
+    merged = _outer_merge((confirmed, deaths, recovered), ("confirmed", "deaths", "recovered"), keys,
+                          ("latitude", "longitude"), counts)
+    return merged.select(*[c for c in confirmed.columns if c != counts], "confirmed", "deaths", "recovered")
 
 
 def merge_us(confirmed: DataFrame, deaths: DataFrame, key: str = "uid", counts: str = "counts") -> DataFrame:
@@ -59,13 +55,9 @@ def merge_us(confirmed: DataFrame, deaths: DataFrame, key: str = "uid", counts:
     Gives the identity columns, ``confirmed``, ``deaths`` and one ``population``
     (from the deaths file, else from confirmed).
     """
-    left = confirmed.withColumnRenamed(counts, "confirmed")
-    if "population" not in left.columns:
-        left = left.withColumn("population", F.lit(None).cast("bigint"))
-    shared = [c for c in US_IDS if c != key] + ["population"]
-    merged = _outer_merge(left, deaths, [key], shared, {counts: "deaths"}, right_first=("population",))
-    cols = [c for c in merged.columns if c != "population"]
-    return merged.select(*cols, "population")
+    identity = [c for c in US_IDS if c != key] + ["population"]
+    merged = _outer_merge((confirmed, deaths), ("confirmed", "deaths"), [key], identity, counts, ("population",))
+    return merged.select(*US_IDS, "confirmed", "deaths", "population")
 
 
 def merge_global_vertical(confirmed: DataFrame, deaths: DataFrame, recovered: DataFrame,
@@ -77,21 +69,14 @@ def merge_global_vertical(confirmed: DataFrame, deaths: DataFrame, recovered: Da
     when the files' rows differ; the place key is used instead and ``id`` is
     still returned (the first file's ordinal where the row exists there).
     """
-    k = [*keys, date_col]
-    shared = ("id", "latitude", "longitude")
-    first = _outer_merge(confirmed.withColumnRenamed(counts, "confirmed"), deaths, k, shared,
-                         {counts: "deaths"})
-    return _outer_merge(first, recovered, k, shared, {counts: "recovered"})
+    merged = _outer_merge((confirmed, deaths, recovered), ("confirmed", "deaths", "recovered"), [*keys, date_col],
+                          ("id", "latitude", "longitude"), counts)
+    return merged.select(*[c for c in confirmed.columns if c != counts], "confirmed", "deaths", "recovered")
 
 
 def merge_us_vertical(confirmed: DataFrame, deaths: DataFrame, key: str = "uid",
                       date_col: str = "date", counts: str = "counts") -> DataFrame:
     """Vertical US series merged on (uid, date)."""
-    left = confirmed.withColumnRenamed(counts, "confirmed")
-    if "population" not in left.columns:
-        left = left.withColumn("population", F.lit(None).cast("bigint"))
-    shared = [c for c in US_IDS if c != key] + ["population"]
-    merged = _outer_merge(left, deaths, [key, date_col], shared, {counts: "deaths"},
-                          right_first=("population",))
-    cols = [c for c in merged.columns if c != "population"]
-    return merged.select(*cols, "population")
+    identity = [c for c in US_IDS if c != key] + ["population"]
+    merged = _outer_merge((confirmed, deaths), ("confirmed", "deaths"), [key, date_col], identity, counts, ("population",))
+    return merged.select(*US_IDS, date_col, "confirmed", "deaths", "population")

@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from cumulus.functions.dates import day_label
 
+#: Offsets (one row per partition and group) up to which they are broadcast.
+MAX_BROADCAST_ROWS = 500_000
+
 
 def _date_col(value) -> Column:
     if isinstance(value, Column):
@@ -37,8 +40,7 @@ def dense_ordinal(df: DataFrame, name: str = "id", order_by: Sequence[str] | Non
     order for a single-file scan); with it, rows are first range-sorted, so the
     number is the rank in that order (nulls first, as Spark sorts ascending).
     With ``within``, numbering restarts at 0 in every group of those columns
-    (e.g. a row number per file): rows are sorted by the group first, and each
-    group's first number (one row per group, null-safe join) is subtracted.
+    (e.g. a row number per file): rows are sorted by the group first.
     Rows tied on ``order_by`` are broken by input position, so the sort can
     spread even a key held by a third of all rows over many tasks.
 
@@ -47,9 +49,10 @@ def dense_ordinal(df: DataFrame, name: str = "id", order_by: Sequence[str] | Non
     written once to the shared checkpoint folder, so the numbering comes from
     exactly one evaluation. Otherwise the count pass and the numbering pass are
     planned separately: they are pruned differently, are not shared, and under
-    AQE may be split into different partitions. A running sum over the
-    per-partition counts (one row per partition) gives each partition's offset,
-    which is broadcast back. No row goes through the driver. A partition may hold
+    AQE may be split into different partitions. A running sum over the counts
+    per partition and group gives the offsets; they are broadcast back if there are at
+    most ``MAX_BROADCAST_ROWS``, else joined on partition and group. No row goes through the
+    driver. ``session.releasing`` deletes the written frame after use. A partition may hold
     up to 2**33 rows (the position part of the generated id).
     """
     from cumulus.session import materialize
@@ -64,22 +67,18 @@ def dense_ordinal(df: DataFrame, name: str = "id", order_by: Sequence[str] | Non
         F.spark_partition_id().alias("_pid"),
         F.monotonically_increasing_id().alias("_mid"),
     ), "ordinal")
-    per_part = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    position = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    numbered = tagged.join(F.broadcast(offsets), "_pid").select(
-        *[F.col(c) for c in df.columns], (F.col("_off") + position).alias(name))
-    if not within:
-        return numbered
-    firsts = numbered.groupBy(*within).agg(F.min(name).alias("_first")).alias("_g")
-    n = numbered.alias("_n")
-    cond = None
-    for k in within:
-        e = F.col(f"_n.{k}").eqNullSafe(F.col(f"_g.{k}"))
-        cond = e if cond is None else cond & e
-    return n.join(firsts, cond).select(
-        *[F.col(f"_n.{c}") for c in df.columns], (F.col(f"_n.{name}") - F.col("_g._first")).alias(name))
+    # Rows lie sorted by group, so a group's rows in one partition are consecutive: their number is
+    # their distance from the first one there plus the group's rows in earlier partitions.
+    groups = list(within or [])
+    per_part = materialize(tagged.groupBy("_pid", *groups).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_from")), "ordinal-counts")
+    before = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.select("_pid", *groups, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_from")).alias("_off"))
+    t, o = tagged.alias("_t"), (F.broadcast(offsets) if per_part.count() <= MAX_BROADCAST_ROWS else offsets).alias("_o")
+    cond = F.col("_t._pid") == F.col("_o._pid")
+    for k in groups:
+        cond = cond & F.col(f"_t.{k}").eqNullSafe(F.col(f"_o.{k}"))
+    return t.join(o, cond).select(*[F.col(f"_t.{c}") for c in df.columns], (F.col("_t._mid") + F.col("_o._off")).alias(name))
 
 
 def to_horizontal(
@@ -95,8 +94,8 @@ def to_horizontal(
 
     Position i of the array holds the value of day ``start_date + i``; days a place
     lacks are null, so gaps never shift later days. ``n_days`` (int or Column)
-    fixes the array length (days past it are not kept); by default it runs to
-    the place's last day.
+    fixes the array length; by default it runs to the place's last day. A day before
+    ``start_date`` or past a fixed length raises: no value is dropped.
     ``value`` may be a list of measures: all are packed in the same pass, one
     array column each (named after the measure); a single measure gives ``out``
     (default ``counts``).
@@ -111,18 +110,23 @@ def to_horizontal(
     start = _date_col(start_date)
     offset = F.datediff(F.col(date_col), start)
     grouped = vertical.groupBy(*keys).agg(
-        *[F.array_sort(F.collect_list(F.struct(offset.alias("k"), F.col(v).alias("v")))).alias(f"_e{i}")
-          for i, v in enumerate(values)],
-        F.max(offset).alias("_last"),
+        # One list for all measures, so the day is shuffled and sorted once.
+        F.array_sort(F.collect_list(F.struct(offset.alias("k"), *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)]))
+                     ).alias("_e"),
+        F.min(offset).alias("_first"), F.max(offset).alias("_last"),
     )
     length = F.lit(n_days) if isinstance(n_days, int) else (n_days if n_days is not None else F.col("_last") + 1)
     # The length may be a scalar subquery, which Spark does not allow inside a
     # higher-order function: project it to a column first.
     grouped = grouped.withColumn("_len", length)
+    outside = F.raise_error(F.concat(F.lit("a day lies outside the array: offsets "), F.col("_first"), F.lit(" to "),
+                                     F.col("_last"), F.lit(", length "), F.col("_len"))).cast("int")
+    grouped = grouped.withColumn("_len", F.when((F.col("_first") < 0) | (F.col("_last") >= F.col("_len")), outside)
+                                 .otherwise(F.col("_len")))
 
-    def complete(i):
+    def complete():
         # Sorted entries with offsets exactly 0.._len-1, each once.
-        e = F.col(f"_e{i}")
+        e = F.col("_e")
         ks = F.transform(e, lambda x: x["k"])
         return ((F.size(e) == F.col("_len")) & (F.size(F.array_distinct(ks)) == F.size(e))
                 & (F.get(ks, 0) == 0) & (F.get(ks, F.col("_len") - 1) == F.col("_len") - 1))
@@ -131,21 +135,23 @@ def to_horizontal(
     # (gaps, duplicates, days past _len) get a day -> value map, built once per
     # row and only for them: gaps become null, duplicate days raise.
     n = len(values)
+    def pair(i):
+        return lambda x: F.struct(x["k"], x[f"v{i}"])
+
     grouped = grouped.select(
-        *keys, "_len", *[f"_e{i}" for i in range(n)],
-        *[F.coalesce(complete(i), F.lit(False)).alias(f"_c{i}") for i in range(n)],
+        *keys, "_len", "_e", F.coalesce(complete(), F.lit(False)).alias("_c"),
     ).select(
-        *keys, "_len", *[f"_e{i}" for i in range(n)], *[f"_c{i}" for i in range(n)],
-        *[F.when(~F.col(f"_c{i}") & (F.col("_len") > 0), F.map_from_entries(F.col(f"_e{i}"))).alias(f"_m{i}")
-          for i in range(n)],
+        *keys, "_len", "_e", "_c",
+        *[F.when(~F.col("_c") & (F.col("_len") > 0), F.map_from_entries(
+            F.transform("_e", pair(i)))).alias(f"_m{i}") for i in range(n)],
     )
 
     def packed(i):
-        direct = F.transform(F.col(f"_e{i}"), lambda x: x["v"])
+        direct = F.transform(F.col("_e"), lambda x: x[f"v{i}"])
         by_day = F.transform(F.sequence(F.lit(0), F.col("_len") - 1),
                              lambda d: F.try_element_at(F.col(f"_m{i}"), d))
         return (F.when(F.col("_len") <= 0, F.array().cast("array<bigint>"))
-                .when(F.col(f"_c{i}"), direct).otherwise(by_day).cast("array<bigint>"))
+                .when(F.col("_c"), direct).otherwise(by_day).cast("array<bigint>"))
 
     return grouped.select(*keys, *[packed(i).alias(n) for i, n in enumerate(names)])
 
@@ -234,7 +240,8 @@ def to_unpacked(
     """One column per day named by its date label ("Jan 22 '20", or ``namer(date)``);
     a narrow projection.
 
-    Past the end of a short array, or on a null array, the cell is null.
+    Past the end of a short array, or on a null array, the cell is null. An array
+    longer than ``n_days`` raises.
     """
     if isinstance(start_date, str):
         start_date = _dt.date.fromisoformat(start_date)
@@ -243,4 +250,6 @@ def to_unpacked(
         labels = [day_label(start_date, i) for i in range(n_days)]
     else:
         labels = [namer(start_date + _dt.timedelta(days=i)) for i in range(n_days)]
-    return horizontal.select(*ids, *[F.get(arr, i).alias(lbl) for i, lbl in enumerate(labels)])
+    too_long = F.raise_error(F.concat(F.lit("a series is longer than the columns: "), F.size(arr))).cast("boolean")
+    whole = horizontal.where(F.when(F.size(arr) > n_days, too_long).otherwise(True))
+    return whole.select(*ids, *[F.get(arr, i).alias(lbl) for i, lbl in enumerate(labels)])

@@ -7,6 +7,7 @@ from ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -55,10 +56,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or folder
 
 
+#: Scratch tables handed out and not yet released.
+_HELD: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/cumulus-scratch/{name}-{uuid.uuid4().hex}"
+    path = f"{base}/cumulus-scratch/{name}-{uuid.uuid4().hex}"
+    _HELD.append(path)
+    return path
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """ACTION: delete scratch tables (all still held, by default) through the file system that
+    holds them. Frames that read them can no longer be evaluated."""
+    gone = list(_HELD if paths is None else paths)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in gone:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        if path in _HELD:
+            _HELD.remove(path)
+
+
+@contextlib.contextmanager
+def releasing(spark: SparkSession):
+    """Delete on leaving the block what was written to scratch inside it; write or collect
+    the results before."""
+    before = set(_HELD)
+    try:
+        yield
+    finally:
+        release(spark, [p for p in _HELD if p not in before])
 
 
 def local_path(uri: str) -> str:

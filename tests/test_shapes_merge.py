@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -79,13 +81,6 @@ def test_merge_global_outer_cases(spark):
     assert m[(None, "C")].deaths is None and m[("R1", "B")].recovered == [200]
 
 
-def test_merge_duplicate_key_fans_out(spark):
-    c = spark.createDataFrame([(None, "A", 1.0, 1.0, [1]), (None, "A", 1.0, 1.0, [2])], H)
-    d = spark.createDataFrame([(None, "A", 1.0, 1.0, [10])], H)
-    r = spark.createDataFrame([], H)
-    assert merge_global(c, d, r).count() == 2
-
-
 def test_merge_us_population_from_deaths(spark):
     ids = ("uid bigint, iso2 string, iso3 string, code3 int, FIPS bigint, Admin2 string, region string, "
            "country string, latitude float, longitude float, combined_key string")
@@ -155,5 +150,63 @@ def test_to_horizontal_complete_and_truncated(spark):
     v = spark.createDataFrame([("A", START + dt.timedelta(i), i) for i in range(4)],
                               "country string, date date, c bigint")
     assert to_horizontal(v, ["country"], "c", START).first().counts == [0, 1, 2, 3]
-    assert to_horizontal(v, ["country"], "c", START, 2).first().counts == [0, 1]
-    assert to_horizontal(v, ["country"], "c", START, 0).first().counts == []
+    assert to_horizontal(v, ["country"], "c", START, 5).first().counts == [0, 1, 2, 3, None]
+
+
+@pytest.mark.parametrize("start, n_days", [(START, 2), (START, 0), (START + dt.timedelta(1), None), (START + dt.timedelta(1), 9)])
+def test_to_horizontal_drops_no_day(spark, start, n_days):
+    v = spark.createDataFrame([("A", START + dt.timedelta(i), i) for i in range(4)],
+                              "country string, date date, c bigint")
+    with pytest.raises(Exception, match="lies outside"):
+        to_horizontal(v, ["country"], "c", start, n_days).collect()
+
+
+def test_to_unpacked_drops_no_day(spark):
+    from cumulus.operators import to_unpacked
+
+    h = spark.createDataFrame([("A", [1, 2, 3])], "country string, counts array<bigint>")
+    with pytest.raises(Exception, match="longer than"):
+        to_unpacked(h, ["country"], "counts", START, 2).collect()
+    assert to_unpacked(h, ["country"], "counts", START, 4).first()[1:] == (1, 2, 3, None)
+
+
+def test_merge_raises_on_a_repeated_key_and_filters_below(spark):
+    from cumulus.operators import merge_global
+
+    one = spark.createDataFrame([(None, "A", 1.0, 2.0, [1]), ("R", "B", 1.0, 2.0, [2])], H)
+    twice = one.union(one)
+    empty = one.limit(0)
+    with pytest.raises(Exception, match="twice"):
+        merge_global(one, twice, empty).collect()
+    got = {(r.region, r.country): r for r in merge_global(empty, one, empty).collect()}
+    assert got[None, "A"].latitude == 1.0 and got[None, "A"].deaths == [1] and got[None, "A"].confirmed is None
+    plan = merge_global(one, one, one).where("region IS NULL")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("isnull(region") and "FullOuter" not in plan
+
+
+def test_ordinal_without_group_exchange(spark):
+    df = spark.createDataFrame([(i % 3, i) for i in range(60)], "g int, k int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    from cumulus.operators import shapes
+    limit, shapes.MAX_BROADCAST_ROWS = shapes.MAX_BROADCAST_ROWS, 0
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = dense_ordinal(df, "ord", order_by=["k"], within=["g"])
+        assert sorted(out.collect()) == sorted((i % 3, i, i // 3) for i in range(60))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "_pid" in plan[plan.index("hashpartitioning"):plan.index("hashpartitioning") + 60]
+    finally:
+        shapes.MAX_BROADCAST_ROWS = limit
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_release_deletes_what_was_written(spark):
+    import os
+
+    from cumulus import session
+
+    df = spark.createDataFrame([(1,)], "k int")
+    with session.releasing(spark):
+        path = session.materialize(df, "t").inputFiles()[0]
+        assert os.path.exists(session.local_path(path))
+    assert not os.path.exists(session.local_path(path))
