@@ -25,9 +25,11 @@ from cumulus.operators.merge import merge_global, merge_global_vertical, merge_u
 from cumulus.operators.shapes import dense_ordinal, to_horizontal, to_vertical, to_vertical_many
 from cumulus.plans import fixtures as fx
 from cumulus.plans import quarters, rates, rendering, trends
+from cumulus.plans.menu import menu_query
 from cumulus.schemas import GLOBAL_IDS, US_IDS
-from cumulus.session import scratch_path
+from cumulus.session import release, scratch_path
 from cumulus.sinks.csv import write_csv
+from cumulus.sources.catalog import load_all, register_views
 from cumulus.sources.csv import read_lines, read_table_csv, read_wide_csv, tokenised_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +61,16 @@ def _global_vertical_inputs(spark, sf_dir) -> dict[str, DataFrame]:
     return to_vertical_many(gs, GLOBAL_IDS, cal.start, id_order=_PLACE_ORDER)
 
 
+def reset(spark: SparkSession | None = None) -> None:
+    """Forget every prepared input, so the next query derives it from the tables anew; with a
+    session, also delete what this one has written to scratch (ACTION)."""
+    fx.reset()
+    rendering.reset()
+    _global_vertical_inputs.cache_clear()
+    if spark is not None:
+        release(spark)
+
+
 def prepare_all(spark: SparkSession, sf_dir: str) -> None:
     """ACTION: write the prepared inputs once: the fixture tables, the numbered
     vertical files, and the raw observation-log text the CSV load queries read.
@@ -220,7 +232,7 @@ def q_load_wide_csv(spark, sf_dir):
 
 
 def q_parse_quoted_lines(spark, sf_dir):
-    toks = tokenised_lines(read_lines(spark, rendering.render_global(spark, sf_dir, "confirmed")))
+    toks = tokenised_lines(read_lines(spark, rendering.render_quoted(spark, sf_dir)))
     t = F.col("tokens")
     total = F.aggregate(F.slice(t, 5, F.size(t) - 4), F.lit(0).cast("bigint"),
                         lambda acc, x: acc + F.coalesce(x.try_cast("bigint"), F.lit(0).cast("bigint")))
@@ -252,14 +264,14 @@ def _raw_log(spark, sf_dir):
 
 
 def q_clean_observation_log(spark, sf_dir):
-    return cleaning.observation_log(_raw_log(spark, sf_dir))
+    return cleaning.observation_log(_raw_log(spark, sf_dir), pivot=fx.TWO_DIGIT_YEAR_PIVOT)
 
 
 def q_parse_update_dates(spark, sf_dir):
     raw = _raw_log(spark, sf_dir)
     c = raw.columns
     return raw.select(try_long(F.col(c[0])).alias("id"), F.col(f"`{c[4]}`").alias("last_update_text"),
-                      update_date(F.col(f"`{c[4]}`")).alias("last_updated"))
+                      update_date(F.col(f"`{c[4]}`"), pivot=fx.TWO_DIGIT_YEAR_PIVOT).alias("last_updated"))
 
 
 def q_normalise_region(spark, sf_dir):
@@ -282,6 +294,61 @@ def q_csv_round_trip(spark, sf_dir):
     return rendering.read_back_vertical(spark, path)
 
 
+# ---- the raw files end to end, and the variants a user can ask for -----------------
+
+def q_global_count_unpacked_learned(spark, sf_dir):
+    start, _ = _calendar(spark, sf_dir)
+    return trends.global_count_unpacked(_merged(spark, sf_dir), "deaths", start)
+
+
+def q_to_horizontal_sparse(spark, sf_dir):
+    daily = fx.daily_events(spark, sf_dir).where("confirmed > 0")
+    cal = fx.calendar(spark, sf_dir)
+    return _text(to_horizontal(daily, ["region", "country"], "confirmed", cal.start, cal.n_days), "counts")
+
+
+def q_ordinal_file_order(spark, sf_dir):
+    return dense_ordinal(fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "id")
+
+
+def q_load_us_confirmed_csv(spark, sf_dir):
+    wide = read_wide_csv(spark, rendering.render_us_confirmed(spark, sf_dir))
+    return _text(cleaning.us_horizontal(wide), "counts")
+
+
+def q_load_us_confirmed_csv_vertical(spark, sf_dir):
+    return cleaning.us_vertical(read_wide_csv(spark, rendering.render_us_confirmed(spark, sf_dir)))
+
+
+def q_bad_series_rows(spark, sf_dir):
+    wide = read_wide_csv(spark, rendering.render_global_bad(spark, sf_dir), flag_malformed=True)
+    bad = cleaning.bad_series_rows(wide)
+    return bad.select(F.col(f"`{bad.columns[1]}`").alias("country"), F.col("_corrupt_record").isNotNull().alias("malformed"))
+
+
+def q_menu_4_from_raw(spark, sf_dir):
+    frames = load_all(spark, rendering.render_folder(spark, sf_dir))
+    return menu_query(4, frames, fx.calendar(spark, sf_dir).start_date, day_index=fx.DAY_INDEX)
+
+
+def q_sql_over_views(spark, sf_dir):
+    frames = load_all(spark, rendering.render_folder(spark, sf_dir))
+    register_views({f"cumulus_{k}": v for k, v in frames.items()})
+    return spark.sql(f"""
+        SELECT c.country, count(*) AS n_places, sum(element_at(c.counts, {fx.DAY_INDEX})) AS confirmed,
+               max(p.population) AS population
+        FROM cumulus_global_confirmed c JOIN cumulus_places p ON p.country = c.country AND p.region IS NULL
+        GROUP BY c.country""")
+
+
+def q_csv_without_header(spark, sf_dir):
+    path = scratch_path(spark, "no-header-csv")
+    write_csv(fx.series_vertical(spark, sf_dir).select("country", "region", "date", "confirmed"), path)
+    raw = read_table_csv(spark, path, header=False)
+    c = [F.col(x) for x in raw.columns]
+    return raw.select(c[0].alias("country"), c[1].alias("region"), c[2].try_cast("date").alias("date"), try_long(c[3]).alias("confirmed"))
+
+
 QUERIES: dict[str, Query] = {
     "global_percent_by_quarter": q_global_percent_by_quarter,
     "us_percent_by_quarter": q_us_percent_by_quarter,
@@ -318,4 +385,13 @@ QUERIES: dict[str, Query] = {
     "normalise_region": q_normalise_region,
     "normalise_country": q_normalise_country,
     "csv_round_trip": q_csv_round_trip,
+    "global_count_unpacked_learned": q_global_count_unpacked_learned,
+    "to_horizontal_sparse": q_to_horizontal_sparse,
+    "ordinal_file_order": q_ordinal_file_order,
+    "load_us_confirmed_csv": q_load_us_confirmed_csv,
+    "load_us_confirmed_csv_vertical": q_load_us_confirmed_csv_vertical,
+    "bad_series_rows": q_bad_series_rows,
+    "menu_4_from_raw": q_menu_4_from_raw,
+    "sql_over_views": q_sql_over_views,
+    "csv_without_header": q_csv_without_header,
 }

@@ -56,8 +56,9 @@ COLLAPSED_IN_RECOVERED = "NATION_0"
 FOCUS_COUNTRY = "NATION_0"   # stands in for "US"
 FOCUS_UID = 0                # stands in for uid 840
 LOG_BASE_YEAR = 1995
+TWO_DIGIT_YEAR_PIVOT = 69     # the derived log starts in 1995: 69-99 are 19xx
 DAY_INDEX = 30               # 1-based "final day" of the derived series
-DEATH_RATE_COUNTRIES = ("NATION_0", "NATION_1", "NATION_3", "NATION_9", "NATION_10", "NATION_24")
+DEATH_RATE_COUNTRIES = ("NATION_0", "NATION_2", "NATION_3", "NATION_9", "NATION_10", "NATION_24")
 
 
 # Builders are memoised per (session, folder): DataFrames are immutable and lazy,
@@ -66,6 +67,14 @@ DEATH_RATE_COUNTRIES = ("NATION_0", "NATION_1", "NATION_3", "NATION_9", "NATION_
 _memo = functools.lru_cache(maxsize=256)
 
 
+def reset() -> None:
+    """Forget every memoised frame and value of this module (see ``catalog.reset``)."""
+    for f in list(globals().values()):
+        if hasattr(f, "cache_clear"):
+            f.cache_clear()
+
+
+
 @_memo
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

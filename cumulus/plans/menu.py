@@ -13,7 +13,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 
 from cumulus.operators.merge import merge_global, merge_global_vertical
-from cumulus.operators.shapes import to_vertical
+from cumulus.operators.shapes import to_vertical_many
 from cumulus.plans import quarters, rates, trends
 from cumulus.schemas import GLOBAL_IDS
 from cumulus.sources.catalog import INPUT_FILES
@@ -40,18 +40,18 @@ def series_start(spark: SparkSession, folder: str) -> _dt.date:
 def menu_query(number: int, frames: dict[str, DataFrame], start_date: _dt.date, **options) -> DataFrame:
     """Menu option ``number`` (1-9) over the frames of ``sources.load_all``.
 
-    ``options`` go to the underlying query (``day_index``, ``countries``,
-    ``country``, ``uid``, ``base_year``, ...).
+    ``options`` go to the underlying query (``n_days``, ``label_format``, ``keep``, ``id_order``,
+    ``day_index``, ``countries``, ``country``, ``uid``, ``base_year``, ...); one it does not know raises.
     """
     c, d, r = frames["global_confirmed"], frames["global_deaths"], frames["global_recovered"]
     places, log = frames["places"], frames["observation_log"]
     if number in (1, 3):
         merged = merge_global(c, d, r)
         fn = trends.global_count_unpacked if number == 1 else trends.growth_unpacked
-        return fn(merged, "confirmed", start_date, options.get("n_days"))
+        return fn(merged, "confirmed", start_date, **options)
     if number == 2:
-        v = [to_vertical(x, GLOBAL_IDS, start_date) for x in (c, d, r)]
-        return trends.global_count_vertical(merge_global_vertical(*v))
+        v = to_vertical_many({"c": c, "d": d, "r": r}, GLOBAL_IDS, start_date, id_order=options.pop("id_order", None))
+        return trends.global_count_vertical(merge_global_vertical(*v.values()), **options)
     if number == 4:
         return rates.incidence(c, places, **options)
     if number == 5:

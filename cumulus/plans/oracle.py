@@ -8,6 +8,8 @@ on the same Parquet tables (registered as views) and compares values.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 
 def _lat(k: str) -> str:
     return (f"CAST(CASE WHEN {k} IN (3, 9) THEN 0.0 WHEN {k} = 24 THEN 23.5 "
@@ -208,15 +210,15 @@ bd AS (SELECT {k}observed_date, {sums} FROM log {where} GROUP BY ALL),
 tot AS (SELECT {k}{_quarter('observed_date')} AS quarter, {tots} FROM bd GROUP BY ALL)"""
 
 
-def _unpacked(source: str) -> str:
-    # Dynamic day columns with DuckDB's PIVOT; labels like "Jan 01 '24".
-    return f"""
-PIVOT (
-  SELECT u.country, u.latitude, u.longitude, strftime(g.date, '%b %d ''%y') AS label, u.v
-  FROM (SELECT DISTINCT date FROM series_v) g
-  JOIN ({source}) u ON TRUE
-  WHERE u.date IS NULL OR u.date = g.date
-) ON label USING first(v) GROUP BY country, latitude, longitude"""
+# The calendar of the given events, the same at every size.
+FIRST_DAY, N_DAYS = _dt.date(2024, 1, 1), 30
+
+
+def _unpacked() -> str:
+    # One column per day, labelled like "Jan 01 '24".
+    days = [FIRST_DAY + _dt.timedelta(days=i) for i in range(N_DAYS)]
+    cols = ", ".join(f"max(v) FILTER (WHERE date = DATE '{d}') AS \"{d.strftime('%b %d')} '{d:%y}\"" for d in days)
+    return f"SELECT country, latitude, longitude, {cols} FROM src GROUP BY country, latitude, longitude"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -273,7 +275,7 @@ SELECT d.country, d.date, d.counts AS deaths, c.counts AS cases,
        CAST(d.counts AS DOUBLE) / nullif(c.counts, 0) AS death_rate
 FROM v_deaths d JOIN v_confirmed c
   ON d.region IS NOT DISTINCT FROM c.region AND d.country = c.country AND d.date = c.date
-WHERE d.country IN ('NATION_0', 'NATION_1', 'NATION_3', 'NATION_9', 'NATION_10', 'NATION_24')"""
+WHERE d.country IN ('NATION_0', 'NATION_2', 'NATION_3', 'NATION_9', 'NATION_10', 'NATION_24')"""
     q["merge_global"] = _with(PLACES, SERIES) + f"""
 SELECT region, country, latitude, longitude, {_txt('confirmed')} AS confirmed, {_txt('deaths')} AS deaths,
        {_txt('recovered')} AS recovered
@@ -308,7 +310,7 @@ SELECT id, country, latitude, longitude, date, confirmed FROM merged_v WHERE reg
   FROM merged m LEFT JOIN v_confirmed v ON v.region IS NULL AND v.country = m.country
   WHERE m.region IS NULL
 )
-""" + _unpacked("SELECT * FROM src")
+""" + _unpacked()
     q["growth_unpacked"] = _with(PLACES, SERIES) + """
 , src AS (
   SELECT m.country, m.latitude, m.longitude, v.date,
@@ -316,7 +318,7 @@ SELECT id, country, latitude, longitude, date, confirmed FROM merged_v WHERE reg
   FROM merged m LEFT JOIN v_confirmed v ON v.region IS NULL AND v.country = m.country
   WHERE m.region IS NULL
 )
-""" + _unpacked("SELECT * FROM src")
+""" + _unpacked()
     q["growth_horizontal"] = _with(PLACES, SERIES) + f"""
 , g AS (
   SELECT region, country, date,
@@ -359,7 +361,11 @@ FROM h_confirmed, cal2
 UNION ALL SELECT CAST(4 + n AS INTEGER), NULL, 'Korea, South', CAST(n * (n + 1) // 2 AS BIGINT) FROM cal2
 UNION ALL SELECT CAST(4 + n AS INTEGER), 'x y z', 'EDGE_B', CAST(n * (n + 1) // 2 AS BIGINT) FROM cal2
 UNION ALL SELECT CAST(4 + n AS INTEGER), NULL, 'EDGE_A', CAST((n - 1) * n // 2 AS BIGINT) FROM cal2
-UNION ALL SELECT CAST(4 + n AS INTEGER), NULL, 'EDGE_SHIP', CAST(n * (n + 1) // 2 AS BIGINT) FROM cal2"""
+UNION ALL SELECT CAST(4 + n AS INTEGER), NULL, 'EDGE_SHIP', CAST(n * (n + 1) // 2 AS BIGINT) FROM cal2
+UNION ALL SELECT CAST(4 + n AS INTEGER), NULL, ' Blank, Before', CAST(n * (n + 1) // 2 AS BIGINT) FROM cal2
+UNION ALL SELECT CAST(4 + n AS INTEGER), 'abc x, y', 'INSIDE', CAST(n * (n + 1) // 2 AS BIGINT) FROM cal2
+UNION ALL SELECT CAST(4 + n AS INTEGER), 'abc,d', 'TWICE', CAST(n * (n + 1) // 2 AS BIGINT) FROM cal2
+UNION ALL SELECT CAST(4 + n AS INTEGER), repeat('x,', 50000), 'LONG', CAST(n * (n + 1) // 2 AS BIGINT) FROM cal2"""
     q["load_wide_csv_vertical"] = _with(PLACES, SERIES, cal2) + """
 , edges AS (
   SELECT * FROM (VALUES (NULL, 'Korea, South', 36.0, 128.0, 0), ('x "y" z', 'EDGE_B', 2.0, 3.0, 0),
@@ -429,4 +435,39 @@ UNION ALL SELECT * FROM (VALUES
   (4, 'Canada', 'Canada'), (5, 'NATION_3', 'NATION_3'), (6, 'The Gambia', 'Gambia'),
   (7, '  Spain ', 'Spain')) e"""
     q["csv_round_trip"] = q["global_count_vertical"]
+    q["global_count_unpacked_learned"] = _with(PLACES, SERIES) + """
+, src AS (
+  SELECT m.country, m.latitude, m.longitude, v.date, v.counts AS v
+  FROM merged m LEFT JOIN v_deaths v ON v.region IS NULL AND v.country = m.country
+  WHERE m.region IS NULL
+)
+""" + _unpacked()
+    q["to_horizontal_sparse"] = _with(PLACES, SERIES) + f"""
+SELECT g.region, g.country, {_txt('list(d.confirmed ORDER BY g.date)')} AS counts
+FROM grid g JOIN (SELECT DISTINCT region, country FROM daily WHERE confirmed > 0) p
+    ON p.region IS NOT DISTINCT FROM g.region AND p.country = g.country
+  LEFT JOIN daily d ON d.region IS NOT DISTINCT FROM g.region AND d.country = g.country AND d.date = g.date
+    AND d.confirmed > 0
+GROUP BY g.region, g.country"""
+    q["ordinal_file_order"] = "SELECT o_orderkey, o_orderdate, row_number() OVER () - 1 AS id FROM orders"
+    us_edge = "9900001, 'EE', 'EDG', 0, 0, 'Edge, Town', 'EDGE_R', 'EDGE_US', CAST(0 AS FLOAT), CAST(0 AS FLOAT), 'Edge, Town, EDGE_US'"
+    q["load_us_confirmed_csv"] = _with(PLACES, SERIES, US, cal2) + f"""
+SELECT uid, iso2, iso3, code3, FIPS, Admin2, region, country, latitude, longitude, combined_key,
+       {_txt('counts')} AS counts, CAST(NULL AS BIGINT) AS population FROM us_hc
+UNION ALL SELECT {us_edge}, {_txt('range(1, n + 1)')}, NULL FROM cal2"""
+    q["load_us_confirmed_csv_vertical"] = _with(PLACES, SERIES, US, cal2) + f"""
+SELECT uid, iso2, iso3, code3, FIPS, Admin2, region, country, latitude, longitude, combined_key, population, date, counts
+FROM us_vc
+UNION ALL SELECT {us_edge}, NULL, CAST(cal.lo + CAST(t.i AS INTEGER) AS DATE), CAST(t.i + 1 AS BIGINT)
+FROM cal CROSS JOIN cal2 CROSS JOIN LATERAL (SELECT unnest(range(0, cal2.n)) AS i) t"""
+    q["bad_series_rows"] = """
+SELECT * FROM (VALUES ('BAD_LATITUDE', false), ('BAD_COUNT', false), ('TOO_LONG', true), ('TOO_SHORT', true))
+  e(country, malformed)"""
+    q["menu_4_from_raw"] = q["incidence"]
+    q["sql_over_views"] = _with(PLACES, SERIES) + """
+SELECT g.country, count(*) AS n_places, CAST(sum(g.counts[30]) AS BIGINT) AS confirmed, max(u.population) AS population
+FROM h_confirmed g JOIN places u ON g.country = u.country AND u.region IS NULL
+GROUP BY g.country"""
+    q["csv_without_header"] = _with(PLACES, SERIES) + """
+SELECT country, region, date, confirmed FROM series_v"""
     return q

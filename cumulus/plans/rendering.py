@@ -23,9 +23,18 @@ from pyspark.sql import functions as F
 from cumulus.plans import fixtures as fx
 from cumulus.session import scratch_path
 from cumulus.sinks.csv import write_csv, write_wide_csv
+from cumulus.sources.catalog import INPUT_FILES
 
 _once = functools.lru_cache(maxsize=64)
 
+
+def reset() -> None:
+    """Forget the rendered files (see ``catalog.reset``)."""
+    for f in list(globals().values()):
+        if hasattr(f, "cache_clear"):
+            f.cache_clear()
+
+
 GLOBAL_HEADER = ["Province/State", "Country/Region", "Lat", "Long"]
 US_HEADER = ["UID", "iso2", "iso3", "code3", "FIPS", "Admin2", "Province_State", "Country_Region",
              "Lat", "Long_", "Combined_Key"]
@@ -69,10 +78,18 @@ def global_edge_lines(n_days: int) -> list[str]:
     ]
 
 
-@_once
-def render_global(spark: SparkSession, sf_dir: str, measure: str = "confirmed") -> list[str]:
-    """ACTION (once per session): the global series of ``measure`` as a wide file, plus
-    edge rows. Returns the paths."""
+def quoted_edge_lines(n_days: int) -> list[str]:
+    """Raw lines with quotes after a blank, inside a field and around a field of 100,000 characters."""
+    full = ",".join(str(i) for i in range(1, n_days + 1))
+    return [
+        f', "Blank, Before",1.0,2.0,{full}',
+        f'abc "x, y",INSIDE,1.0,2.0,{full}',
+        f'"a"b"c,d",TWICE,1.0,2.0,{full}',
+        f'"{"x," * 50_000}",LONG,1.0,2.0,{full}',
+    ]
+
+
+def _write_global(spark: SparkSession, sf_dir: str, measure: str, path: str) -> None:
     start, n_days = calendar_values(spark, sf_dir)
     h = fx.global_series(spark, sf_dir)[measure]
     raw = h.select(
@@ -80,30 +97,103 @@ def render_global(spark: SparkSession, sf_dir: str, measure: str = "confirmed")
         _unknown_latitude(F.col("latitude"), F.col("country")).alias(GLOBAL_HEADER[2]),
         F.col("longitude").alias(GLOBAL_HEADER[3]), "counts",
     )
+    write_wide_csv(raw, path, GLOBAL_HEADER, "counts", start, n_days, quote_all=True)
+
+
+@_once
+def render_global(spark: SparkSession, sf_dir: str, measure: str = "confirmed") -> list[str]:
+    """ACTION (once per session): the global series of ``measure`` as a wide file, plus
+    edge rows. Returns the paths."""
     main = scratch_path(spark, f"global-{measure}")
-    write_wide_csv(raw, main, GLOBAL_HEADER, "counts", start, n_days, quote_all=True)
+    _write_global(spark, sf_dir, measure, main)
     edges = scratch_path(spark, f"global-{measure}-edges")
-    _write_lines(spark, edges, _first_line(spark, main), global_edge_lines(n_days))
+    _write_lines(spark, edges, _first_line(spark, main), global_edge_lines(calendar_values(spark, sf_dir)[1]))
     return [main, edges]
 
 
+def bad_global_lines(n_days: int) -> list[str]:
+    """Hand-written rows of a wide global file: the first is good, the others are not."""
+    full = ",".join(str(i) for i in range(1, n_days + 1))
+    return [
+        f",GOOD,1.0,2.0,{full}",
+        f",BAD_LATITUDE,north,2.0,{full}",
+        f",BAD_COUNT,1.0,2.0,{full[:-len(str(n_days))]}many",
+        f",TOO_LONG,1.0,2.0,{full},7",
+        f",TOO_SHORT,1.0,2.0,{full.rpartition(',')[0]}",
+    ]
+
+
 @_once
-def render_us_deaths(spark: SparkSession, sf_dir: str) -> list[str]:
-    """ACTION: the US-layout deaths series (with population, FIPS as float text)."""
+def render_quoted(spark: SparkSession, sf_dir: str) -> list[str]:
+    """ACTION (once per session): the confirmed file with its edge rows, and raw lines with odd quoting."""
+    paths = render_global(spark, sf_dir, "confirmed")
+    edges = scratch_path(spark, "global-quoted-edges")
+    _write_lines(spark, edges, _first_line(spark, paths[0]), quoted_edge_lines(calendar_values(spark, sf_dir)[1]))
+    return [*paths, edges]
+
+
+@_once
+def render_global_bad(spark: SparkSession, sf_dir: str) -> list[str]:
+    """ACTION (once per session): the confirmed file, and rows of which four are malformed or unparsable."""
+    main = render_global(spark, sf_dir, "confirmed")[0]
+    edges = scratch_path(spark, "global-bad-edges")
+    _write_lines(spark, edges, _first_line(spark, main), bad_global_lines(calendar_values(spark, sf_dir)[1]))
+    return [main, edges]
+
+
+def _write_us(spark: SparkSession, sf_dir: str, measure: str, path: str) -> None:
     start, n_days = calendar_values(spark, sf_dir)
-    h = fx.us_series(spark, sf_dir)["deaths"]
+    h = fx.us_series(spark, sf_dir)[measure]
+    more = ["population"] if measure == "deaths" else []
+    names = US_HEADER + ["Population"] * len(more)
     raw = h.select(
         *[F.col(c).alias(n) for c, n in zip(["uid", "iso2", "iso3", "code3"], US_HEADER[:4])],
         F.format_string("%d.0", F.col("FIPS")).alias("FIPS"),
         *[F.col(c).alias(n) for c, n in zip(["Admin2", "region", "country", "latitude", "longitude",
-                                               "combined_key", "population"], US_HEADER[5:] + ["Population"])],
+                                               "combined_key", *more], names[5:])],
         "counts",
     )
+    write_wide_csv(raw, path, names, "counts", start, n_days)
+
+
+@_once
+def render_us_deaths(spark: SparkSession, sf_dir: str) -> list[str]:
+    """ACTION: the US-layout deaths series (with population, FIPS as float text)."""
     main = scratch_path(spark, "us-deaths")
-    write_wide_csv(raw, main, [*US_HEADER, "Population"], "counts", start, n_days)
+    _write_us(spark, sf_dir, "deaths", main)
     return [main]
 
 
+def us_edge_lines(n_days: int) -> list[str]:
+    """A row of a US confirmed file without codes and coordinates (its typed values are in the oracle SQL)."""
+    full = ",".join(str(i) for i in range(1, n_days + 1))
+    return [f'9900001,EE,EDG,,,"Edge, Town",EDGE_R,EDGE_US,,,"Edge, Town, EDGE_US",{full}']
+
+
+@_once
+def render_us_confirmed(spark: SparkSession, sf_dir: str) -> list[str]:
+    """ACTION: the US-layout confirmed series (no population), plus an edge row."""
+    main = scratch_path(spark, "us-confirmed")
+    _write_us(spark, sf_dir, "confirmed", main)
+    edges = scratch_path(spark, "us-confirmed-edges")
+    _write_lines(spark, edges, _first_line(spark, main), us_edge_lines(calendar_values(spark, sf_dir)[1]))
+    return [main, edges]
+
+
+@_once
+def render_folder(spark: SparkSession, sf_dir: str) -> str:
+    """ACTION (once per session): all seven raw inputs in one folder, under their usual names."""
+    folder = scratch_path(spark, "raw-inputs")
+    at = lambda key: f"{folder}/{INPUT_FILES[key]}"
+    for m in ("confirmed", "deaths", "recovered"):
+        _write_global(spark, sf_dir, m, at(f"global_{m}"))
+    for m in ("confirmed", "deaths"):
+        _write_us(spark, sf_dir, m, at(f"us_{m}"))
+    _write_places(spark, sf_dir, at("places"))
+    _write_log(spark, sf_dir, at("observation_log"))
+    return folder
+
+
 # Hand-written place rows (uid 9001-9003) and their typed values are listed in
 # the oracle SQL; keep the two in step.
 PLACE_EDGE_LINES = [
@@ -113,18 +203,21 @@ PLACE_EDGE_LINES = [
 ]
 
 
-@_once
-def render_places(spark: SparkSession, sf_dir: str) -> list[str]:
-    """ACTION: the place dimension as a lookup file (unknown latitudes empty), plus edge rows."""
+def _write_places(spark: SparkSession, sf_dir: str, path: str) -> None:
     p = fx.places(spark, sf_dir)
     cols = ["uid", "iso2", "iso3", "code3", "FIPS", "Admin2", "region", "country", "latitude", "longitude",
             "combined_key", "population"]
     raw = p.withColumn("latitude", F.when(F.col("region").isNull(),
                                           _unknown_latitude(F.col("latitude"), F.col("country")))
                        .otherwise(F.col("latitude")))
-    raw = raw.select(*[F.col(c).alias(n) for c, n in zip(cols, PLACE_HEADER)])
+    write_csv(raw.select(*[F.col(c).alias(n) for c, n in zip(cols, PLACE_HEADER)]), path, include_header=True)
+
+
+@_once
+def render_places(spark: SparkSession, sf_dir: str) -> list[str]:
+    """ACTION: the place dimension as a lookup file (unknown latitudes empty), plus edge rows."""
     main = scratch_path(spark, "places")
-    write_csv(raw, main, include_header=True)
+    _write_places(spark, sf_dir, main)
     edges = scratch_path(spark, "places-edges")
     _write_lines(spark, edges, ",".join(PLACE_HEADER), PLACE_EDGE_LINES)
     return [main, edges]
@@ -154,9 +247,7 @@ def update_text(observed: Column, id_col: Column) -> Column:
     return expr
 
 
-@_once
-def render_log(spark: SparkSession, sf_dir: str) -> list[str]:
-    """ACTION: the observation log as text (every field quoted, measures as "N.0"), plus edge rows."""
+def _write_log(spark: SparkSession, sf_dir: str, path: str) -> None:
     log = fx.observation_log(spark, sf_dir)
     raw = log.select(
         F.col("id").alias(LOG_HEADER[0]),
@@ -166,8 +257,14 @@ def render_log(spark: SparkSession, sf_dir: str) -> list[str]:
         *[F.concat(F.col(m).cast("string"), F.lit(".0")).alias(n)
           for m, n in zip(["confirmed", "deaths", "recovered"], LOG_HEADER[5:])],
     )
+    write_csv(raw, path, include_header=True, quote_all=True)
+
+
+@_once
+def render_log(spark: SparkSession, sf_dir: str) -> list[str]:
+    """ACTION: the observation log as text (every field quoted, measures as "N.0"), plus edge rows."""
     main = scratch_path(spark, "log")
-    write_csv(raw, main, include_header=True, quote_all=True)
+    _write_log(spark, sf_dir, main)
     edges = scratch_path(spark, "log-edges")
     _write_lines(spark, edges, ",".join(LOG_HEADER), LOG_EDGE_LINES)
     return [main, edges]

@@ -17,8 +17,8 @@ def global_count_unpacked(merged: DataFrame, which: str, start_date: _dt.date,
 
     Day columns are named "Jan 22 '20", or by the ``strftime`` pattern
     ``label_format``. The width is ``n_days`` or, if not given, learned with one
-    small aggregate (see :func:`series_width`). The filter is applied before the
-    projection.
+    small aggregate (see :func:`series_width`). The filter is on a key of the merge, so
+    Spark moves it below the merge to every input.
     """
     countries = merged.where(F.col("region").isNull())
     if n_days is None:

@@ -57,3 +57,17 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.columns == ["country", "quarter", "quarter_total_confirmed", "quarter_total_confirmed_percent"]
     assert df.count() > 0
+
+
+def test_every_oracle_stores_as_a_view(con):
+    for i, key in enumerate(sorted(QUERIES)):
+        con.sql(entry.oracle_sql()[key]).create_view(f"o{i}")
+
+
+def test_reset_derives_anew(spark):
+    from cumulus.plans import catalog
+
+    first = catalog.fx.places(spark, SF_SMALL)
+    assert catalog.fx.places(spark, SF_SMALL) is first
+    catalog.reset()
+    assert catalog.fx.places(spark, SF_SMALL) is not first

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
+from cumulus.plans.catalog import QUERIES
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
@@ -16,7 +17,7 @@ def executed_plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_no_pairs_no_python(spark, key):
     plan = executed_plan(entry.queries()[key](spark, SF_SMALL))
     assert not [f for f in FORBIDDEN if f in plan]
@@ -29,3 +30,13 @@ def test_filter_pushed_to_scan(spark):
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "EqualTo(country,NATION_0)" in formatted
     assert "ReadSchema: struct<observed_date:date,country:string,confirmed:bigint>" in formatted
+
+
+@pytest.mark.parametrize("key", ["global_count_unpacked", "global_count_vertical", "growth_unpacked", "merge_global"])
+def test_merges_shuffle_once_and_filter_below(spark, key):
+    df = entry.queries()[key](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in plan
+    if key != "merge_global":
+        # the country filter stands below the merge's aggregate, on every input
+        assert plan.count("isnull(region") >= 3
