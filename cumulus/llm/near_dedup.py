@@ -227,7 +227,9 @@ def near_links(classes: DataFrame, docs: DataFrame, k: int, percent: int, id_col
     as_x = ranked.where(~F.col("linked") & (F.col("from_end") >= F.greatest(F.lit(1), up(F.col("f") - F.col("slack")))))
     x, y = as_x.alias("x"), as_y.alias("y")
     near = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.nid") != F.col("y.nid"))
-                  & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent))
+                  & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
+                  # At a pair's rarest common part, neither has enough commoner ones left for the overlap it needs.
+                  & (F.least("x.from_end", "y.from_end") >= up(F.col("x.f") + F.col("y.f") - F.col("x.slack"))))
     found = near.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
     sized = classes.select("nid", "n_shingles", "sketch")
     both = found.join(sized.select(F.col("nid").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ka")), "a").join(
