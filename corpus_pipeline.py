@@ -1,19 +1,81 @@
-"""The corpus pipeline: STAGES over the documents table."""
+"""The corpus pipeline: STAGES over the documents table, each stage one training-data operator.
+
+``run`` applies them in order; every stage reads what its predecessor wrote. All but the last
+return the columns of documents, ``n_chars`` brought up to date.
+"""
 
 from __future__ import annotations
 
-STAGES = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cumulus.llm import language_id
+from cumulus.llm.common import shipped, table, text_key
+from cumulus.llm.line_dedup import apply_bitmaps, line_bitmaps
+from cumulus.llm.mixing import mix, mixed_documents, word_count
+from cumulus.llm.near_dedup import near_duplicates
+from cumulus.llm.packing import pack_documents
+from cumulus.session import materialize
+
+#: Near duplicates: words per shingle and similarity in percent.
+SHINGLE, PERCENT = 5, 80
+
+
+def _like(given: DataFrame, rows: DataFrame) -> DataFrame:
+    """The columns of ``given``, with the length of the new text where there is one."""
+    length = {"n_chars": F.char_length("text").cast("long")} if "n_chars" in given.columns else {}
+    return rows.withColumns(length).select(*given.columns)
+
+
+@shipped
+def identify_language(spark, docs, sf_dir):
+    """Documents that the language model rejects go: null texts, texts without a letter, and texts
+    farther from every centroid than any training text by a margin. The others stay as they are."""
+    model = language_id.fit(language_id.train_rows(docs))
+    judged = language_id.predict(docs, model, keep=docs.columns)
+    return judged.where(~F.col("rejected")).select(*docs.columns)
+
+
+@shipped
+def drop_common_lines(spark, docs, sf_dir):
+    """Lines found in ten documents or more go from every text; all documents stay."""
+    return _like(docs, apply_bitmaps(docs, line_bitmaps(docs, min_docs=10, min_chars=1)))
 
 
-def run(spark, sf_dir):
-    """All stages in order, each written as Parquet and reread as the next one's input."""
-    from cumulus.llm.common import table
-    from cumulus.session import materialize
+@shipped
+def drop_near_duplicates(spark, docs, sf_dir):
+    """One document of each component of near duplicates stays, the one with the smallest id."""
+    kept = near_duplicates(docs, k=SHINGLE, percent=PERCENT).where("kept").select(F.col("doc_id").alias("_kept"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+
+
+@shipped
+def mix_sources(spark, docs, sf_dir):
+    """Every source takes its target share: documents are left out or repeated, at most three times."""
+    return _like(docs, mixed_documents(mix(docs, ["doc_id", text_key()], size=word_count())))
+
+
+@shipped
+def pack_sequences(spark, docs, sf_dir):
+    """All documents, and repeats, in sequences of at most 2048 ids: one row per piece."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", drop_common_lines),
+    ("near dedup", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Learning, sketches and packing are not expressible in SQL; the tests compare run() with a plain version.
+ORACLE_SQL = None
+
 
+def run(spark, sf_dir) -> DataFrame:
+    """All stages over the documents table; every result but the last is written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs, f"pipeline-{name.replace(' ', '-')}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.lower().replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -113,23 +113,22 @@ def _apply(text_at: int, bitmap_at: int):
                 part = batch.slice(at, 512)
                 texts, totals, drops = [], [], []
                 for text, bits in zip(part.column(text_at), part.column(bitmap_at), strict=True):
-                    data = bytes(text.as_buffer() or b"") if text.is_valid else b""
+                    data = bytes(text.as_buffer()) if text.is_valid else b""
                     lines = data.split(b"\n")
                     totals.append(len(lines))
                     if not bits.is_valid:
-                        texts.append(text.as_py() if not text.is_valid else data)
+                        texts.append(data if text.is_valid else None)
                         drops.append(0)
                         continue
                     keep = np.unpackbits(np.frombuffer(zlib.decompress(bits.as_py()), np.uint8), count=len(lines))
                     kept = [line for line, k in zip(lines, keep, strict=True) if k]
                     texts.append(b"\n".join(kept))
                     drops.append(len(lines) - len(kept))
-                columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == text_at else c
-                           for i, c in enumerate(part.columns) if i != bitmap_at]
-                names = [f for i, f in enumerate(part.schema.names) if i != bitmap_at]
+                columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == text_at else part.column(i)
+                           for i in range(bitmap_at)]
                 yield pa.RecordBatch.from_arrays(
                     [*columns, pa.array(totals, pa.int64()), pa.array(drops, pa.int64())],
-                    names=[*names, "n_lines", "n_dropped"])
+                    names=[*part.schema.names[:bitmap_at], "n_lines", "n_dropped"])
 
     return run
 
@@ -138,14 +137,14 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     """``docs`` with the kept lines joined by line feeds, and ``n_lines`` and ``n_dropped`` (longs).
 
     A document without a bitmap is unchanged (a null text stays null). Other columns pass
-    through; columns named ``n_lines`` or ``n_dropped`` raise. One shuffle of the documents.
+    through; given columns named ``n_lines`` or ``n_dropped`` are replaced. One shuffle of the documents.
     """
-    if {"n_lines", "n_dropped"} & set(docs.columns):
-        raise ValueError("columns in the way: n_lines, n_dropped")
-    joined = docs.withColumn("_key", text_key(text_col)).join(
-        bitmaps, F.col(id_col).cast("long").eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_doc_key")), "left"
-    ).select(*docs.columns, "keep_bitmap")
-    text_at = docs.columns.index(text_col)
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return joined.mapInArrow(_apply(text_at, len(docs.columns)),
-                             ", ".join([*kept, "n_lines long", "n_dropped long"]))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    # Numbered names cannot clash with those of the join.
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], text_key(text_col).alias("_key"))
+    doc_id = F.col(f"c{names.index(id_col)}").cast("long")
+    joined = rows.join(bitmaps, doc_id.eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_doc_key")), "left").select(
+        *[f"c{i}" for i in range(len(names))], "keep_bitmap")
+    kept = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)]
+    out = joined.mapInArrow(_apply(names.index(text_col), len(names)), ", ".join([*kept, "n_lines long", "n_dropped long"]))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "n_lines", "n_dropped")

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cumulus.llm.common import WORD_PATTERN, uniform
@@ -95,13 +95,13 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int = 0) -> DataFrame:
         "shard", "q.src", "q.n")
 
 
-def mix(docs: DataFrame, keys: Sequence[str], size: str = "size", source: str = "source",
+def mix(docs: DataFrame, keys: Sequence[Column | str] = ("doc_id",), size: Column | str = "size", source: Column | str = "source",
         weights: Sequence[int] = WEIGHTS, most: int = 3, levels: int = 4, blocks_per_shard: int = 64,
         seed: int = 0) -> DataFrame:
     """ACTION (writes one row per source): plan the mix of ``docs``.
 
     ``keys`` name a document (its id, and what tells repeated ids apart); ``size`` is
-    its length in words. Returns every row of ``docs``, those not taken too, with
+    its length in words. Returns every row of ``docs``, those not taken too, with ``size``,
     ``source_size``, ``target`` (both of its source), ``taken`` (words, repeats
     counted) and ``placements``: an array of (shard, copy, words), one per time
     the document is drawn. Whole passes over a source take all its documents; the
@@ -109,73 +109,76 @@ def mix(docs: DataFrame, keys: Sequence[str], size: str = "size", source: str =
     cut so that the words taken are exactly the rounded target. So ``words`` is
     the document's size but for one document per source.
 
-    Columns that clash with ``source_size``, ``target``, ``taken`` or ``placements``
-    raise. A null size counts as 0; documents without words are never placed. No
-    rows in give no rows out. Rows that agree in all ``keys`` and in size are
-    interchangeable. The result depends only on the rows and ``seed``.
+    Columns of ``docs`` with these names are replaced. A null size counts as 0; documents without words are
+    never placed; null is a source of its own, the last. No rows in give no rows out. Rows that agree in all
+    ``keys`` and in size are interchangeable. The result depends only on the rows and ``seed``.
     """
-    clash = {"source_size", "target", "taken", "placements"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns in the way: {sorted(clash)}")
     shards = 1 << levels
-    length = F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long"))
-    totals = docs.groupBy(F.col(source).alias("source")).agg(
-        F.sum(length).alias("source_size"), F.count(F.lit(1)).alias("_docs"))
-    targets = source_targets(totals.select("source", "source_size"), weights, most)
+    added = ["size", "source_size", "target", "taken", "placements"]
+    length = F.coalesce((F.col(size) if isinstance(size, str) else size).cast("long"), F.lit(0).cast("long"))
+    # The given columns travel in one struct, so none can clash with those of the plan.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), length.alias("length"),
+                       (F.col(source) if isinstance(source, str) else source).alias("source"),
+                       *[(F.col(k) if isinstance(k, str) else k).alias(f"key{i}") for i, k in enumerate(keys)])
+    totals = rows.groupBy("source").agg(F.sum("length").alias("source_size"))
     block_words = F.greatest(F.lit(1), F.ceil(F.col("_total") / (shards * blocks_per_shard)))
-    sources = materialize(targets.select(
-        F.col("source").alias("_source"), "src", "source_size", "target",
-        F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long").alias("_blocks"),
-        F.when(F.col("source_size") > 0, F.expr("_quota div source_size")).otherwise(0).cast("long").alias("_passes"),
-        "_quota"), "mix-sources")
+    sources = materialize(source_targets(totals, weights, most).select(
+        F.col("source").alias("name"), "src", "source_size", "target",
+        F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long").alias("blocks"),
+        F.when(F.col("source_size") > 0, F.expr("_quota div source_size")).otherwise(0).cast("long").alias("passes"),
+        F.col("_quota").alias("quota")), "mix-sources")
 
-    ids = [F.col(k) for k in keys]
-    placed = docs.join(sources, docs[source].eqNullSafe(sources["_source"])).withColumns({
-        "_block": F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), *ids), F.col("_blocks")), "_length": length})
+    ids = [F.col(f"key{i}") for i in range(len(keys))]
+    placed = rows.join(sources, rows["source"].eqNullSafe(sources["name"])).withColumn(
+        "block", F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), *ids), F.col("blocks")))
 
     # Per block its permuted place within the source, and the words drawn from it.
-    sizes = placed.groupBy("src", "_block", "_passes", "_quota", "source_size").agg(F.sum("_length").alias("_words"))
-    permuted = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(seed), F.lit("order"), "src", "_block"), "_block")
-    rest = F.col("_quota") - F.col("_passes") * F.col("source_size")
-    before = F.coalesce(F.sum("_words").over(permuted.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    part = F.least(F.col("_words"), F.greatest(F.lit(0), rest - before))
-    draws = sizes.withColumn("_part", part).select("src", "_block", F.explode(F.expr(
-        "concat(transform(if(_passes > 0, sequence(1L, _passes), array()), c -> named_struct('copy', c, 'words', _words)),"
-        " if(_part > 0, array(named_struct('copy', _passes + 1L, 'words', _part)), array()))")).alias("_d")
-    ).select("src", "_block", "_d.copy", "_d.words")
+    sizes = placed.groupBy("src", "block", "passes", "quota", "source_size").agg(F.sum("length").alias("words"))
+    permuted = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(seed), F.lit("order"), "src", "block"), "block")
+    rest = F.col("quota") - F.col("passes") * F.col("source_size")
+    before = F.coalesce(F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = F.least(F.col("words"), F.greatest(F.lit(0), rest - before))
+    draws = sizes.withColumn("part", part).select("src", "block", F.explode(F.expr(
+        "concat(transform(if(passes > 0, sequence(1L, passes), array()), c -> named_struct('copy', c, 'words', words)),"
+        " if(part > 0, array(named_struct('copy', passes + 1L, 'words', part)), array()))")).alias("d")
+    ).select("src", "block", "d.copy", "d.words")
 
     # Shards take their quotas of the permuted draws: slot r of a source gets its r-th draw.
-    order = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(seed), F.lit("draw"), "_block", "copy"), "_block", "copy")
-    ranked = draws.withColumn("_rank", F.row_number().over(order))
+    order = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(seed), F.lit("draw"), "block", "copy"), "block", "copy")
+    ranked = draws.withColumn("rank", F.row_number().over(order))
     leaves = split_quotas(draws.groupBy("src").agg(F.count(F.lit(1)).alias("n")), levels, seed)
-    slots = leaves.select("src", "shard", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("_j")).select(
-        "src", "shard", F.row_number().over(Window.partitionBy("src").orderBy("shard", "_j")).alias("_rank"))
-    drawn = ranked.join(slots, ["src", "_rank"]).groupBy("src", "_block").agg(
-        F.array_sort(F.collect_list(F.struct("copy", "shard", "words"))).alias("_draws"))
-
-    inside = Window.partitionBy("src", "_block").orderBy(
-        F.xxhash64(F.lit(seed), F.lit("doc"), *ids), *ids, "_length").rowsBetween(Window.unboundedPreceding, -1)
-    at = placed.withColumn("_before", F.coalesce(F.sum("_length").over(inside), F.lit(0))).join(
-        drawn, ["src", "_block"], "left")
-    return at.withColumn("placements", F.expr(
-        "filter(transform(coalesce(_draws, array()), d -> named_struct('shard', cast(d.shard AS int), 'copy', cast(d.copy AS int),"
-        " 'words', greatest(0L, least(_length, d.words - _before)))), p -> p.words > 0)")).select(
-        *docs.columns, "source_size", "target",
+    slots = leaves.select("src", "shard", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("j")).select(
+        "src", "shard", F.row_number().over(Window.partitionBy("src").orderBy("shard", "j")).alias("rank"))
+    drawn = ranked.join(slots, ["src", "rank"]).groupBy("src", "block").agg(
+        F.array_sort(F.collect_list(F.struct("copy", "shard", "words"))).alias("draws"))
+
+    inside = Window.partitionBy("src", "block").orderBy(
+        F.xxhash64(F.lit(seed), F.lit("doc"), *ids), *ids, "length").rowsBetween(Window.unboundedPreceding, -1)
+    at = placed.withColumn("before", F.coalesce(F.sum("length").over(inside), F.lit(0))).join(
+        drawn, ["src", "block"], "left")
+    placements = F.expr(
+        "filter(transform(coalesce(draws, array()), d -> named_struct('shard', cast(d.shard AS int), 'copy', cast(d.copy AS int),"
+        " 'words', greatest(0L, least(length, d.words - before)))), p -> p.words > 0)")
+    return at.select("row", "length", "source_size", "target", placements.alias("placements")).select(
+        *[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in added], F.col("length").alias("size"), "source_size", "target",
         F.expr("aggregate(placements, 0L, (t, p) -> t + p.words)").alias("taken"), "placements")
 
 
-def mixed_documents(plan: DataFrame, keys: Sequence[str], text: str = "text", size: str = "size",
-                    seed: int = 0) -> DataFrame:
-    """The mix itself: one row per placement with its ``shard``, ``copy`` and ``words``.
+def mixed_documents(plan: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text", seed: int = 0) -> DataFrame:
+    """The mix itself from :func:`mix`: one row per placement with ``shard``, ``copy`` and ``words``
+    in place of ``placements`` (and of given columns with these names).
 
     A document cut to fewer words than it has keeps its first words, joined by
     single spaces; the others keep their text. Rows are dealt by shard and within a shard
     shuffled by a hash. A shard is one output file's worth of rows.
     """
-    rows = plan.select("*", F.explode("placements").alias("_p")).select(
-        *[c for c in plan.columns if c != "placements"], "_p.shard", "_p.copy", "_p.words")
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD_PATTERN})"), F.lit(1)),
-                                 F.lit(1), F.col("words").cast("int")), " ")
-    return rows.withColumn(text, F.when(F.col("words") < F.col(size), first).otherwise(F.col(text))).repartition(
-        F.col("shard"), F.pmod(F.xxhash64(*keys), F.lit(16))).sortWithinPartitions(
-        "shard", uniform(seed, "place", F.col("shard"), *[F.col(k) for k in keys], F.col("copy")))
+    added = ["placements", "shard", "copy", "words"]
+    rows = plan.select(F.struct(*[F.col(f"`{c}`") for c in plan.columns if c not in added]).alias("row"), F.explode("placements").alias("p"))
+    words = F.regexp_extract_all(F.col(f"row.`{text}`"), F.lit(f"({WORD_PATTERN})"), F.lit(1))
+    first = F.array_join(F.slice(words, F.lit(1), F.col("p.words").cast("int")), " ")
+    ids = [F.col(f"row.`{k}`") for k in keys]
+    dealt = rows.repartition(F.col("p.shard"), F.pmod(F.xxhash64(*ids), F.lit(16))).sortWithinPartitions(
+        "p.shard", uniform(seed, "place", F.col("p.shard"), *ids, F.col("p.copy")))
+    return dealt.select(
+        *[(F.when(F.col("p.words") < F.col("row.size"), first).otherwise(F.col(f"row.`{c}`")) if c == text
+           else F.col(f"row.`{c}`")).alias(c) for c in plan.columns if c not in added], "p.shard", "p.copy", "p.words")
