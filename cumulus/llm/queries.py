@@ -117,7 +117,43 @@ QUERIES = {f.__name__: shipped(f) for f in (
 
 _SPACES_SQL = " || ".join(f"chr({ord(c)})" for c in SPACES)
 
+def _entries_sql(values, kind, list_name, share, since, until):
+    entry = "SELECT '{}' AS list, '{}' AS kind, value, '{}' AS action, DATE '2024-01-01' + CAST({} AS INTEGER) AS at FROM {} WHERE {}"
+    return " UNION ALL ".join(entry.format(list_name, kind, action, at, values, share) for action, at in (("add", since), ("remove", until)))
+
+
 ORACLE_SQL = {
+    "op5_url_filter": rf"""
+        WITH p AS (
+          SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 365 AS INTEGER) AS fetched_at,
+                 nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host,
+                 regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) AS path
+          FROM (SELECT DISTINCT page_id, url FROM pages)),
+        h AS (SELECT value, CAST('0x' || substr(md5(value), 1, 7) AS INTEGER) AS n
+              FROM (SELECT DISTINCT host AS value FROM p WHERE host IS NOT NULL)),
+        d AS (SELECT value, CAST('0x' || substr(md5(value), 1, 7) AS INTEGER) AS n
+              FROM (SELECT DISTINCT array_to_string(string_split(host, '.')[-3:], '.') AS value FROM p WHERE host IS NOT NULL)),
+        s AS (SELECT value, CAST('0x' || substr(md5(value), 1, 7) AS INTEGER) AS n
+              FROM (SELECT DISTINCT host || '/' || regexp_extract(path, '^/([^/]+)', 1) AS value FROM p
+                    WHERE host IS NOT NULL AND regexp_extract(path, '^/([^/]+)', 1) <> '')),
+        e AS ({_entries_sql("h", "host", "malware", "n % 3 = 0", "n % 200", "n % 200 + 30 + n % 90")} UNION ALL
+              {_entries_sql("d", "domain", "adult", "n % 5 = 1", "n % 250", "n % 250 + 60")} UNION ALL
+              {_entries_sql("s", "path", "allow", "n % 4 = 0", "n % 150", "n % 150 + 100")}),
+        i AS (SELECT a.list, a.kind, a.value, a.at AS valid_from, r.at AS valid_to
+              FROM e a JOIN e r ON a.action = 'add' AND r.action = 'remove' AND a.list = r.list AND a.kind = r.kind AND a.value = r.value),
+        m AS (
+          SELECT p.page_id, p.url, i.kind || ':' || i.value AS entry, CASE WHEN i.list = 'allow' THEN 0 ELSE 1 END AS blocks,
+                 CASE i.kind WHEN 'domain' THEN len(string_split(i.value, '.')) WHEN 'host' THEN 1000
+                             ELSE 2000 + len(string_split(i.value, '/')) - 1 END AS depth
+          FROM p JOIN i ON p.fetched_at >= i.valid_from AND p.fetched_at < i.valid_to AND (
+            (i.kind = 'host' AND i.value = p.host) OR (i.kind = 'domain' AND (i.value = p.host OR ends_with(p.host, '.' || i.value)))
+            OR (i.kind = 'path' AND starts_with(p.host || p.path || '/', i.value || '/'))))
+        SELECT p.page_id, p.url, p.fetched_at, p.host, count(m.entry) AS n_active,
+               CASE WHEN p.host IS NULL THEN 'invalid'
+                    WHEN arg_min(m.blocks, (-m.depth, m.blocks, m.entry)) = 1 THEN 'blocked' ELSE 'allowed' END AS verdict,
+               arg_min(m.entry, (-m.depth, m.blocks, m.entry)) AS matched
+        FROM p LEFT JOIN m ON m.page_id = p.page_id AND m.url = p.url
+        GROUP BY p.page_id, p.url, p.fetched_at, p.host""",
     "op8_line_dedup": f"""
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),

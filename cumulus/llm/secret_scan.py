@@ -40,11 +40,11 @@ def _symbol(c: Column) -> Column:
 
 
 def _pairs(word: Column) -> Column:
-    """Transition indexes of a word; empty below two characters."""
-    return F.when(F.length(word) > 1, F.transform(
-        F.sequence(F.lit(1), F.length(word) - 1),
-        lambda i: _symbol(F.substr(word, i, F.lit(1))) * _SIDE + _symbol(F.substr(word, i + 1, F.lit(1))))).otherwise(
-        F.array().cast("array<int>"))
+    """Transition indexes of a word; empty below two characters. Linear in the word's length."""
+    codes = F.transform(F.split(word, ""), _symbol)
+    return F.when(F.length(word) > 1, F.zip_with(
+        F.slice(codes, F.lit(1), F.length(word) - 1), F.slice(codes, F.lit(2), F.length(word) - 1),
+        lambda a, b: a * _SIDE + b)).otherwise(F.array().cast("array<int>"))
 
 
 def corpus_words(docs: DataFrame, text_col: str = "text", min_docs: int = DICTIONARY_DOCS) -> DataFrame:
