@@ -9,6 +9,9 @@ rank among the pieces of that length, so no text or ids are moved.
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -17,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cumulus.llm.common import partitions
+from cumulus.llm.common import SPACES, partitions
 from cumulus.session import materialize
 
 MAX_LEN = 2048
 END_ID = 1
-#: Words a worker remembers the ids of (a word of the corpus is tokenised once per worker and refill).
-CACHED_WORDS = 300_000
+#: Pieces that a worker remembers the ids of until it starts anew.
+CACHED_PIECES = 600_000
 
 
 def default_tokenizer() -> str:
@@ -32,32 +35,79 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _WordIds(dict):
-    """Little-endian 32-bit ids per word. The tokenizer drops white space and never
-    merges across it, so a text's ids are those of its words in order."""
+#: Fixed value: the tokenizer's own pattern, by which it splits a text before it merges.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters up to here that are their own composed form and have a lower case of one character among them.
+_LATIN = [c for c in map(chr, range(0x21, 0x180)) if not 0x7F <= ord(c) <= 0xA0 and c not in "\u0130\u0149"]
+
+
+def _class(kind: str) -> str:
+    return "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == kind)
+
+
+_SIMPLE = re.compile(f"[{SPACES}{re.escape(''.join(_LATIN))}]*")
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^{SPACES}{_class('L')}{_class('N')}]+")
+
+
+def _byte_letters() -> list[str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others are numbered from 256."""
+    own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    others = iter(range(256, 512))
+    return [chr(b) if b in set(own) else chr(next(others)) for b in range(256)]
+
+
+class _TokenIds(dict):
+    """Little-endian 32-bit ids per piece of a text, remembered.
+
+    A tokenizer with the pattern above drops white space, and its merges stay within a piece, so a text of
+    simple characters is split here and each new piece goes to the model alone. Words
+    with other characters, and other tokenizers' texts, go through the tokenizer itself.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHED_WORDS:
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.merge, self.letters = tokenizer.encode, tokenizer.model.tokenize, _byte_letters()
+        with open(path, encoding="utf-8") as f:
+            given = json.load(f)
+        steps = (given.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        normal = [n.get("type") for n in (given.get("normalizer") or {}).get("normalizers", [])]
+        self.by_piece = (normal == ["NFC", "Replace", "Lowercase"] and (steps[0].get("pattern") or {}).get("Regex") == SPLIT
+                         and [s.get("type") for s in steps[1:]] == ["ByteLevel"] and not steps[1].get("add_prefix_space"))
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHED_PIECES:
             self.clear()
-        ids = np.array(self.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = ids
+        letters = self.letters
+        ids = np.array([t.id for t in self.merge("".join([letters[b] for b in piece.encode()]))], dtype="<u4").tobytes()
+        if len(piece) <= 64:
+            self[piece] = ids
         return ids
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def simple(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, _PIECES.findall(text.lower())))
 
-_LOADED: dict[str, _WordIds] = {}
+    def ids(self, text: str) -> bytes:
+        if not self.by_piece:
+            return self.whole(text)
+        if "<|" not in text and _SIMPLE.fullmatch(text):
+            return self.simple(text)
+        return b"".join([self.simple(w) if "<|" not in w and _SIMPLE.fullmatch(w) else self.whole(w)
+                         for w in re.split(f"[{SPACES}]+", text)])
+
+
+_LOADED: dict[str, _TokenIds] = {}
 
 
 def token_bytes(text: bytes, path: str, end_id: int) -> bytes:
     """The text's ids and the closing id, four little-endian bytes each."""
     if path not in _LOADED:
-        _LOADED[path] = _WordIds(path)
-    return b"".join(map(_LOADED[path].__getitem__, text.split())) + int(end_id).to_bytes(4, "little")
+        _LOADED[path] = _TokenIds(path)
+    return _LOADED[path].ids(text.decode()) + int(end_id).to_bytes(4, "little")
 
 
 def _cut(path: str, end_id: int, max_len: int):
@@ -94,14 +144,23 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def pack_histogram(counts: dict[int, int], max_len: int = MAX_LEN) -> list[tuple[int, list[tuple[int, int]]]]:
     """Shortest-pack-first: (number of packs, [(length, times), ...]) per pattern.
 
-    A length's pieces go to the packs with the most room until they run out; a pattern
-    is split when only some of its packs get a piece. Each length splits or opens
-    at most two patterns, so there are at most ``2 * max_len`` patterns of few lengths.
+    A length's pieces go to the packs with the most room, and only when none has room
+    to new packs, as many to a pack as it holds. A pattern is split when only some of its packs get
+    a piece, so each length adds at most three patterns; a pattern has at most
+    about sqrt(2 * max_len) lengths.
     """
-    by_room: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)
+    by_room: dict[int, list[tuple[int, tuple[tuple[int, int], ...]]]] = defaultdict(list)
+
+    def put(packs: int, pattern: tuple[tuple[int, int], ...], room: int, length: int, times: int) -> None:
+        if packs and times:
+            if pattern and pattern[-1][0] == length:
+                pattern, times_before = pattern[:-1], pattern[-1][1]
+                by_room[room - length * times].append((packs, (*pattern, (length, times_before + times))))
+            else:
+                by_room[room - length * times].append((packs, (*pattern, (length, times))))
+
     for length in sorted(counts, reverse=True):
-        left = counts[length]
-        room = max(by_room, default=0)
+        left, room = counts[length], max(by_room, default=0)
         while left and room >= length:
             if not by_room.get(room):
                 by_room.pop(room, None)
@@ -111,19 +170,12 @@ def pack_histogram(counts: dict[int, int], max_len: int = MAX_LEN) -> list[tuple
             used = min(packs, left)
             if used < packs:
                 by_room[room].append((packs - used, pattern))
-            by_room[room - length].append((used, (*pattern, length)))
+            put(used, pattern, room, length, 1)
             left -= used
-        while left:  # new packs: as many times per pack as pieces and room allow, evenly
-            by_room[max_len - length].append((left, (length,)))
-            left = 0
-    out = []
-    for room in sorted(by_room):
-        for packs, pattern in by_room[room]:
-            times: dict[int, int] = {}
-            for length in pattern:
-                times[length] = times.get(length, 0) + 1
-            out.append((packs, list(times.items())))
-    return out
+        each = max_len // length
+        put(left // each, (), max_len, length, each)
+        put(int(left % each > 0), (), max_len, length, left % each)
+    return [(packs, list(pattern)) for room in sorted(by_room) for packs, pattern in by_room[room]]
 
 
 def _slots(patterns) -> dict[int, np.ndarray]:
