@@ -24,6 +24,12 @@ from cumulus.session import materialize
 
 SCALE = 1024
 BLOCK_ROWS = 4096
+#: Shares of the lists after which bounds are computed.
+DEPTHS = (0.125, 0.25, 0.5, 0.75)
+#: A query stops reading when at most so many times k rows can still qualify.
+FEW = 4
+#: Queries bounded at a time (the bounds take this times the block's rows).
+QUERY_CHUNK = 256
 _HITS = pa.schema([("q_block", pa.int64()), ("q_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()),
                    ("score", pa.int64())])
 
@@ -50,40 +56,46 @@ def _blocks(rows: DataFrame, n: int) -> DataFrame:
         F.flatten(F.transform("r", lambda r: r["v"])).alias("flat"))
 
 
-def nra_block(x: np.ndarray, order: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and scores of one query's top k in one block (ties: smaller id).
+def nra_block(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int):
+    """Per query the row numbers and scores of its top k in one block (ties: smaller id).
 
-    ``x``: rows by components; ``order``: per component the rows by ascending value.
-    All bounds are sums of integers; they are exact in ``x``'s type.
+    A list's rank says when a row is read: at depth t the t highest entries have been read for a positive
+    query component, the t lowest for a negative one. So one pair of products bounds all rows for all
+    queries of the chunk. Bounds are sums of integers; they are exact in ``x``'s type.
     """
-    alive = np.flatnonzero(ids != own)
-    dims = np.flatnonzero(q)
-    n = len(ids)
-    if len(dims) and len(alive) > 4 * k:
-        w = q[dims]
-        columns = x[:, dims] * w  # a list's entries as contributions to the score
-        lists = np.where(w > 0, n - 1 - np.arange(n)[:, None], np.arange(n)[:, None])
-        best_first = np.take_along_axis(order[:, dims], lists, axis=0)
-        worst = columns[best_first[-1], np.arange(len(dims))]
-        seen = np.zeros(columns.shape, dtype=bool)
-        depth, step = 0, max(16, n // 32)
-        while depth < n and len(alive) > 4 * k:
-            upto = min(n, depth + step)
-            seen[best_first[depth:upto], np.arange(len(dims))] = True
-            depth, step = upto, step * 2
-            front = columns[best_first[depth - 1], np.arange(len(dims))]
-            known = seen[alive]
-            part = columns[alive]
-            lower = np.where(known, part, worst).sum(axis=1)
-            upper = np.where(known, part, front).sum(axis=1)
-            kth = np.partition(lower, len(lower) - k)[len(lower) - k]
-            alive = alive[upper >= kth]
-    scores = x[alive] @ q
-    if len(alive) > k:
-        kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-        alive, scores = alive[scores >= kth], scores[scores >= kth]
-    first = np.lexsort((ids[alive], -scores))[:k]
-    return alive[first], scores[first]
+    n, dims = x.shape
+    least = -np.inf if x.dtype.kind == "f" else np.iinfo(x.dtype).min
+    order = np.argsort(x, axis=0, kind="stable")
+    rank = np.empty(x.shape, dtype=np.int32)
+    np.put_along_axis(rank, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
+    ascending = np.take_along_axis(x, order, axis=0)
+    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+    alive = ids[None, :] != own[:, None]
+    best = np.full(len(queries), least, dtype=x.dtype)
+    reading = np.flatnonzero(alive.sum(axis=1) > FEW * k)
+    for share in DEPTHS if dims else ():
+        if not len(reading):
+            break
+        t = max(1, int(n * share))
+        high, low = rank >= n - t, rank < t
+
+        def bound(unread_high, unread_low, high=high, low=low, reading=reading):
+            return up[reading] @ np.where(high, x, unread_high).T + down[reading] @ np.where(low, x, unread_low).T
+
+        upper = bound(ascending[n - t], ascending[t - 1])
+        lower = bound(ascending[0], ascending[n - 1])
+        lower[~alive[reading]] = least
+        best[reading] = np.maximum(best[reading], np.partition(lower, n - k, axis=1)[:, n - k])
+        alive[reading] &= upper >= best[reading][:, None]
+        reading = reading[alive[reading].sum(axis=1) > FEW * k]
+    for j, q in enumerate(queries):
+        at = np.flatnonzero(alive[j])
+        scores = x[at] @ q
+        if len(at) > k:
+            keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            at, scores = at[keep], scores[keep]
+        first = np.lexsort((ids[at], -scores))[:k]
+        yield j, at[first], scores[first]
 
 
 def _search(k: int):
@@ -101,14 +113,14 @@ def _search(k: int):
                     raise OverflowError("scores do not fit into 64 bits")
                 # Doubles hold these integers exactly below 2**53 and are the faster type.
                 x, qs = (exact.astype(np.float64), qs.astype(np.float64)) if reach < 2.0 ** 52 else (exact, qs)
-                order = np.argsort(x, axis=0, kind="stable")
-                for j, (own, q) in enumerate(zip(q_ids, qs, strict=True)):
-                    at, scores = nra_block(x, order, ids, q, own, k)
-                    out[0] += [queries["block"][c].as_py()] * len(at)
-                    out[1] += [j] * len(at)
-                    out[2] += [int(own)] * len(at)
-                    out[3] += ids[at].tolist()
-                    out[4] += [int(s) for s in scores]
+                for at in range(0, len(qs), QUERY_CHUNK):
+                    chunk = slice(at, at + QUERY_CHUNK)
+                    for j, found, scores in nra_block(x, ids, qs[chunk], q_ids[chunk], k):
+                        out[0] += [queries["block"][c].as_py()] * len(found)
+                        out[1] += [at + j] * len(found)
+                        out[2] += [int(q_ids[at + j])] * len(found)
+                        out[3] += ids[found].tolist()
+                        out[4] += [int(s) for s in scores]
         return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in out], schema=_HITS)
 
     return run
