@@ -3,8 +3,8 @@
 A text becomes a normalised TF-IDF vector of hashed character n-grams (one to three
 characters). Every language has several centroids, from spherical k-means over a bounded
 sample of its labelled texts. A text gets the language of the centroid with the
-highest cosine and is rejected when it is farther from it than any text the
-centroid was built from, by a margin.
+highest cosine and is rejected when it is farther from it than any sampled text of that
+language is from its own, by a margin.
 
 The document frequencies come from all training texts. Only the sample that the centroids are
 fitted on is bounded (``per_language``). Model size: classes x centroids x ``BINS`` floats.
@@ -26,7 +26,7 @@ BITS = 14
 BINS = 1 << BITS
 PER_LANGUAGE = 1000
 CLUSTERS = 4
-#: A text is rejected below this share of the lowest cosine seen in its centroid's cluster.
+#: A text is rejected below this share of the least cosine among the sampled texts of its language.
 MARGIN = 0.5
 MAX_LANGUAGES = 5000
 
@@ -78,25 +78,22 @@ def _clusters(idf: np.ndarray, clusters: int, rounds: int = 12):
             bins, weights = _vector(text, idf)
             row[bins] = weights
         k = min(clusters, len(x))
-        centres = x[:1]
-        while len(centres) < k:  # the text farthest from the centres so far
-            centres = np.vstack([centres, x[np.argmin((x @ centres.T).max(axis=1))]])
+        centres = x[np.linspace(0, len(x) - 1, k).astype(int)]  # the rows are in the order of a hash
         for _ in range(rounds):
             owner = (x @ centres.T).argmax(axis=1)
             sums = np.stack([x[owner == i].sum(axis=0) if (owner == i).any() else centres[i] for i in range(k)])
             centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
         cosine = x @ centres.T
-        owner = cosine.argmax(axis=1)
-        floors = [float(cosine[owner == i, i].min()) if (owner == i).any() else 0.0 for i in range(k)]
         return pd.DataFrame({"lang": [group["lang"].iloc[0]] * k, "cluster": range(k),
-                             "centre": [c.astype(np.float32).tolist() for c in centres], "floor": floors})
+                             "centre": [c.astype(np.float32).tolist() for c in centres],
+                             "floor": [float(cosine.max(axis=1).min())] * k})
 
     return fit
 
 
 @dataclass
 class LanguageModel:
-    """idf per bin; one language, centre (unit vector) and least cosine per centroid."""
+    """idf per bin; per centroid its language, centre (unit vector) and the language's least cosine."""
 
     idf: np.ndarray
     langs: list[str]
@@ -104,15 +101,16 @@ class LanguageModel:
     floors: np.ndarray
 
 
-def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE,
-        clusters: int = CLUSTERS, seed: int = 0) -> LanguageModel:
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+        per_language: int = PER_LANGUAGE, clusters: int = CLUSTERS, seed: int = 0) -> LanguageModel:
     """ACTION: learn from the rows with a text and a language.
 
     Document frequencies are counted over all rows; centroids are fitted per language, one
-    task each, on at most ``per_language`` texts chosen by a hash of the text. Texts without a letter
+    task each, on at most ``per_language`` texts chosen by a hash of id and text. Texts without a letter
     teach nothing. An empty table gives a model without languages.
     """
-    usable = train.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 11).cast("double") * F.lit(2.0 ** -53)
+    usable = train.select(u.alias("_u"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
@@ -128,8 +126,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", per_la
         return LanguageModel(idf, [], np.zeros((0, BINS), np.float32), np.zeros(0))
     # A share that leaves about twice the sample, then the exact sample: the sort sees few rows.
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2 * per_language + 50) / n))])
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("text")), 11).cast("double") * F.lit(2.0 ** -53))
-    ranked = usable.withColumn("_u", u).where(F.col("_u") < F.element_at(share, F.col("lang"))).withColumn(
+    ranked = usable.where(F.col("_u") < F.element_at(share, F.col("lang"))).withColumn(
         "_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_u", "text")))
     fitted = ranked.where(F.col("_rank") <= per_language).select("lang", "text", "_u").groupBy("lang").applyInPandas(
         _clusters(idf, clusters), "lang string, cluster int, centre array<float>, floor double").collect()
@@ -138,7 +135,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", per_la
                          np.array([r["floor"] for r in fitted]))
 
 
-def _predict(model: LanguageModel, at: int, margin: float):
+def _predict(model: LanguageModel, at: int, n_kept: int, margin: float):
     across = np.ascontiguousarray(model.centres.T)
 
     def run(batches):
@@ -154,7 +151,7 @@ def _predict(model: LanguageModel, at: int, margin: float):
                 langs.append(UNKNOWN if best is None else model.langs[best])
                 scores.append(0.0 if best is None else min(1.0, max(0.0, float(cosine[best]))))
                 rejected.append(best is None or scores[-1] < margin * model.floors[best])
-            keep = [i for i in range(batch.num_columns) if i != at]
+            keep = range(n_kept)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in keep], pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
                  pa.array(rejected, pa.bool_())],
@@ -169,16 +166,18 @@ def predict(docs: DataFrame, model: LanguageModel, keep=("doc_id",), text_col: s
 
     Reads the whole text and nothing else. A null text, or one without a letter, is ``und`` with score 0 and
     rejected; any other text gets a learned language, and is rejected if its cosine is
-    below ``margin`` times the least in the centroid's cluster. A tie goes to
+    below ``margin`` times its language's least. Given columns with the names of the three are replaced. A tie goes to
     the language first in code point order. A model without languages rejects all.
     """
-    keep = list(keep)
-    if {"lang_pred", "score", "rejected"} & set(keep):
-        raise ValueError("columns in the way: lang_pred, score, rejected")
-    cols = docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("_text"))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields[:-1]]
-    return cols.mapInArrow(_predict(model, len(keep), margin),
-                           ", ".join([*kept, "lang_pred string", "score double", "rejected boolean"]))
+    added = ("lang_pred", "score", "rejected")
+    keep = [c for c in keep if c not in added]
+    at = keep.index(text_col) if text_col in keep else len(keep)  # the text is sent once
+    sent = list(dict.fromkeys([*keep, text_col]))
+    cols = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(sent)])
+    kept = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
+    out = cols.mapInArrow(_predict(model, at, len(keep), margin),
+                          ", ".join([*kept, "lang_pred string", "score double", "rejected boolean"]))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *added)
 
 
 def held_out(id_col: str = "doc_id"):
