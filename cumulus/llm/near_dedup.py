@@ -7,7 +7,7 @@
 2. Classes that agree in a whole band of registers share a bucket. No bucket is expanded into
    pairs: its best-connected class is the hub, and every class is compared in full with
    the hubs of its buckets.
-3. Two classes that miss their hub may still be linked with each other or with a third one. What
+3. Links to hubs already make components. A class that misses its hub may still be linked with one of another component. What
    they differ from the hub by decides it: an exact bound on the shared differences and a prefix filter
    over the rarest ones leave few candidate pairs. Their registers are estimated jointly by
    likelihood, and those that may reach the threshold are compared in full.
@@ -177,9 +177,9 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("node", "label")
 
 
-def near_links(classes: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """ACTION: links (a, b) between classes, enough of them that linked classes are connected: every
-    pair at the threshold that shares a bucket is linked, directly or through its hub."""
+def near_components(classes: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """ACTION: (nid, component) of the linked classes: every pair at the threshold that shares a
+    bucket is linked, directly or through others; pairs that are connected already are not compared."""
     banded = classes.select("nid", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(
         i.alias("band"), F.xxhash64(F.substring(F.col("sketch"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("hash")))).alias("_b")
     ).select("nid", "_b.band", "_b.hash")
@@ -203,13 +203,19 @@ def near_links(classes: DataFrame, docs: DataFrame, k: int, percent: int, id_col
     linked = F.col("common") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
     direct = materialize(_with_sets(pairs, sets).mapInArrow(_intersections, compared).withColumn("linked", linked), "near-direct")
 
-    # Hubs with a miss and another class: bound what two classes must share of their differences.
+    # Components of the links to hubs. Only classes of different components still need a comparison.
+    linked_to_hubs = components(direct.where("linked").select("a", "b"))
+    label = linked_to_hubs.select(F.col("node").alias("b"), "component")
+    apart_from = direct.join(label, "b", "left").withColumn("component", F.coalesce("component", "b"))
+
+    # Hubs with a miss and another component: bound what two classes must share of their differences.
     # 100 + percent times: a link of x and y needs shared >= f(x) + f(y) - slack, f = 100 lacking + percent added;
     # x misses the hub exactly if f(x) > slack, so y shares more than f(y) of its own differences.
-    open_hubs = direct.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("linked").cast("int")).alias("all")).where(
-        "n > 1 AND all = 0").select("a")
-    apart = direct.join(open_hubs, "a").select(
-        F.col("a").alias("hub"), F.col("b").alias("nid"), F.col("nb").alias("n"), "linked",
+    open_hubs = apart_from.groupBy("a").agg(
+        F.min("component").alias("one"), F.max("component").alias("other"), F.min(F.col("linked").cast("int")).alias("all")).where(
+        "one <> other AND all = 0").select("a")
+    apart = apart_from.join(open_hubs, "a").select(
+        F.col("a").alias("hub"), F.col("b").alias("nid"), F.col("nb").alias("n"), "linked", "component",
         (100 * (F.col("na") - F.col("common")) + percent * (F.col("nb") - F.col("common"))).alias("f"),
         ((100 - percent) * F.col("na")).alias("slack"))
     parts = _with_sets(direct.join(open_hubs, "a").select("a", "b"), sets).mapInArrow(
@@ -226,7 +232,8 @@ def near_links(classes: DataFrame, docs: DataFrame, k: int, percent: int, id_col
     as_y = ranked.where(F.col("from_end") >= F.greatest(F.lit(1), up(F.col("f"))))
     as_x = ranked.where(~F.col("linked") & (F.col("from_end") >= F.greatest(F.lit(1), up(F.col("f") - F.col("slack")))))
     x, y = as_x.alias("x"), as_y.alias("y")
-    near = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.nid") != F.col("y.nid"))
+    near = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.part") == F.col("y.part"))
+                  & (F.col("x.component") != F.col("y.component"))
                   & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
                   # At a pair's rarest common part, neither has enough commoner ones left for the overlap it needs.
                   & (F.least("x.from_end", "y.from_end") >= up(F.col("x.f") + F.col("y.f") - F.col("x.slack"))))
@@ -237,7 +244,17 @@ def near_links(classes: DataFrame, docs: DataFrame, k: int, percent: int, id_col
         "a", "b", "na", "nb", "ka", "kb")
     likely = materialize(both.mapInArrow(_likely(percent / 100 - SLACK), "a long, b long"), "near-likely")
     indirect = _with_sets(likely, sets).mapInArrow(_intersections, compared).where(linked)
-    return direct.where("linked").select("a", "b").union(indirect.select("a", "b"))
+    # Links across components join them: the same step once more, on one node per component.
+    of = lambda name: linked_to_hubs.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))
+    across = indirect.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(across)
+    named = joined.select(F.col("node").alias("component"), F.col("component").alias("further"))
+    known = linked_to_hubs.join(named, "component", "left").select(
+        F.col("node").alias("nid"), F.coalesce("further", "component").alias("component"))
+    # A class without a link to a hub is a component of its own there.
+    alone = joined.withColumnRenamed("node", "nid").join(linked_to_hubs.withColumnRenamed("node", "nid").select("nid"), "nid", "left_anti")
+    return known.union(alone.select("nid", "component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
@@ -259,8 +276,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min(F.struct("doc_id", "doc_key")).alias("rep"), F.min("doc_id").alias("least_id"),
         F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     classes = materialize(grouped.withColumn("nid", F.monotonically_increasing_id()), "near-classes")
-    found = components(near_links(classes, docs, k, percent, id_col, text_col))
-    of_class = classes.select("digest", "nid", "least_id").join(found.withColumnRenamed("node", "nid"), "nid", "left").select(
+    found = near_components(classes, docs, k, percent, id_col, text_col)
+    of_class = classes.select("digest", "nid", "least_id").join(found, "nid", "left").select(
         "digest", "least_id", F.coalesce("component", "nid").alias("component"))
     least = of_class.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = materialize(of_class.join(least, "component").select("digest", "component_id"), "near-components")
