@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import tempfile
 import zipfile
@@ -38,6 +39,14 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: its cleaner waits for the driver's
+    garbage collection, which a driver with little to do may put off for half an hour. For use
+    after a large table has been written and what led to it is no longer needed."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this library's modules to the executors, once per application (Spark's own file
     distribution), so that functions run there can import them without an installation."""

@@ -4,7 +4,7 @@ Every window of ``window`` words chooses one phrase of ``PHRASE`` words inside i
 least hash), so equal windows choose equal phrases. Phrases chosen twice or more are candidates for recurring
 passages. Documents are dealt into blocks of bounded size; a block gets the candidate phrases that it was
 seen to hold, compiles them into its shard of the dictionary, an Aho-Corasick automaton
-(pyahocorasick) over word numbers, and streams all its documents through it. This locates every
+(pyahocorasick), and streams all its documents through it. This locates every
 occurrence word by word, whatever the hashes said. A shard never exceeds its block, and each
 document is streamed once.
 
@@ -16,7 +16,6 @@ passage), their first occurrences are compared window by window.
 from __future__ import annotations
 
 import hashlib
-from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -24,19 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cumulus.llm.common import partitions, text_key
-from cumulus.llm.words import run_hashes, word_hashes
+from cumulus.llm.common import free_shuffles, partitions, text_key
+from cumulus.llm.words import mix, run_hashes, word_hashes
 from cumulus.session import materialize
 
 WINDOW = 20
-PHRASE = 8
+PHRASE = 6
 #: Bytes of text per block, on average.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
-_FOUND = pa.schema([
-    ("doc_id", pa.int64()), ("doc_key", pa.int64()), ("n_words", pa.int64()), ("words", pa.string()),
-    ("sha256", pa.string()), ("own", pa.list_(pa.int32())),
-    ("stretches", pa.list_(pa.struct([("phrase", pa.int64()), ("start", pa.int32()), ("windows", pa.list_(pa.int64()))])))])
 _FOUND_DDL = ("doc_id long, doc_key long, n_words long, words string, sha256 string, own array<int>, "
               "stretches array<struct<phrase: long, start: int, windows: array<long>>>")
 
@@ -71,7 +66,7 @@ def _phrase_rows(window: int):
                 if hashes:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(blocks)),
-                         pa.array(np.concatenate(many))], names=["phrase", "block", "again"])
+                         pa.array(np.concatenate(many).astype(np.int32) + 1)], names=["phrase", "block", "times"])
 
     return run
 
@@ -84,61 +79,95 @@ def _merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[first], reach[np.concatenate([first[1:], [True]])]
 
 
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array; no pass over all of it."""
+    if not len(ordered):
+        return np.zeros(len(values), dtype=bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+_NONE = np.zeros(0, dtype=np.int64)
+
+
+def _offsets(lengths) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+
+
 def _locate(window: int):
     def run(docs: pa.Table, listed: pa.Table) -> pa.Table:
         wanted = np.sort(listed["phrase"].combine_chunks().to_numpy().view(np.uint64))
         texts = [bytes(t.as_buffer()) if t.is_valid else b"" for t in docs["text"]]
-        # The block's shard of the phrase dictionary, by words.
-        numbers: dict[bytes, int] = {}
-        dictionary: set[tuple[int, ...]] = set()
+        # The block's shard of the phrase dictionary: words between single spaces.
+        dictionary: set[str] = set()
         hashed = []
         for text in texts:
             hashes = word_hashes(text)
             phrases, chosen = chosen_phrases(hashes, window)
             at = chosen[np.concatenate([[True], chosen[1:] != chosen[:-1]])] if len(chosen) else chosen
-            at = at[np.isin(phrases[at], wanted)] if len(at) else at
-            hashed.append((hashes if len(at) else None, len(hashes)))
+            at = at[_among(phrases[at], wanted)] if len(at) else at
+            hashed.append((hashes, phrases, chosen))
             if len(at):
                 words = text.split()
                 for a in at.tolist():
-                    dictionary.add(tuple([numbers.setdefault(w, len(numbers) + 1) for w in words[a:a + PHRASE]]))
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+                    dictionary.add(f" {b' '.join(words[a:a + PHRASE]).decode()} ")
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for phrase in dictionary:
             automaton.add_word(phrase)
         if dictionary:
             automaton.make_automaton()
-        rows = []
+        n_words, plains, digests, owns, n_stretches = [], [], [], [], []
+        found: list[tuple[np.ndarray, ...]] = []
         for i, text in enumerate(texts):
             words = text.split()
-            ends = [end for end, _ in automaton.iter(tuple(map(numbers.get, words, repeat(0))))] if dictionary else []
-            ident = {"doc_id": docs["doc_id"][i].as_py(), "doc_key": docs["doc_key"][i].as_py(), "n_words": len(words)}
-            if not ends or len(words) < window:
-                rows.append(ident | {"words": None, "sha256": hashlib.sha256(b" ".join(words)).hexdigest(), "own": [], "stretches": []})
+            joined = b" ".join(words)
+            plain = joined.decode()
+            starts = [end - length + 1 for end, length in automaton.iter(f" {plain} ")] if dictionary else []
+            n_words.append(len(words))
+            if not starts or len(words) < window:
+                plains.append(None)
+                digests.append(hashlib.sha256(joined).hexdigest())
+                owns.append(_NONE)
+                n_stretches.append(0)
                 continue
-            hashes = hashed[i][0] if hashed[i][0] is not None else word_hashes(text)
-            phrases, chosen = chosen_phrases(hashes, window)
+            hashes, phrases, chosen = hashed[i]
             located = np.zeros(len(phrases), dtype=bool)
-            located[np.array(ends) - (PHRASE - 1)] = True
+            begins = np.concatenate([[0], np.cumsum(np.fromiter(map(len, plain.split(" ")), np.int64) + 1)])
+            located[np.searchsorted(begins, np.array(starts))] = True
             repeats = np.flatnonzero(located[chosen])  # windows whose phrase recurs
-            stretches, own = [], []
+            own = _NONE
+            n_stretches.append(0)
             if len(repeats):
-                keys = run_hashes(hashes, window).view(np.int64)
-                _, first = np.unique(keys[repeats], return_index=True)
+                keys = run_hashes(hashes, window)[repeats]
+                _, first = np.unique(keys, return_index=True)
                 again = np.ones(len(repeats), dtype=bool)
                 again[first] = False
                 if again.any():
-                    own = np.stack(_merge(repeats[again], repeats[again] + window), axis=1).ravel().tolist()
-                cut = np.flatnonzero(np.concatenate([[True], (np.diff(repeats) > 1) | (np.diff(chosen[repeats]) > 0), [True]]))
-                known = set()
-                for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                    stretch = keys[repeats[a:b]]
-                    kind = stretch.tobytes()
-                    if kind not in known:  # its later occurrences here are in ``own``
-                        known.add(kind)
-                        stretches.append({"phrase": int(phrases[chosen[repeats[a]]].view(np.int64)),
-                                          "start": int(repeats[a]), "windows": stretch.tolist()})
-            rows.append(ident | {"words": b" ".join(words).decode(), "sha256": None, "own": own, "stretches": stretches})
-        return pa.Table.from_pylist(rows, schema=_FOUND)
+                    own = np.stack(_merge(repeats[again], repeats[again] + window), axis=1).ravel()
+                new = np.concatenate([[True], (np.diff(repeats) > 1) | (np.diff(chosen[repeats]) > 0)])
+                begin = np.flatnonzero(new)
+                of = np.cumsum(new) - 1
+                # One stretch of each kind: its later occurrences here are in ``own``.
+                place = (np.arange(len(repeats)) - begin[of]).astype(np.uint64)
+                kinds = np.add.reduceat(mix(keys + place * np.uint64(0x9E3779B97F4A7C15)), begin)
+                _, kept = np.unique(kinds, return_index=True)
+                kept.sort()
+                shown = np.zeros(len(begin), dtype=bool)
+                shown[kept] = True
+                n_stretches[-1] = len(kept)
+                found.append((phrases[chosen[repeats[begin[kept]]]].view(np.int64), repeats[begin[kept]],
+                              np.bincount(of)[kept], keys[shown[of]].view(np.int64)))
+            plains.append(plain)
+            digests.append(None)
+            owns.append(own)
+        phrase, start, length, windows = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
+        items = pa.StructArray.from_arrays(
+            [pa.array(phrase), pa.array(start.astype(np.int32)), pa.ListArray.from_arrays(_offsets(length), pa.array(windows))],
+            names=["phrase", "start", "windows"])
+        return pa.Table.from_arrays(
+            [docs["doc_id"], docs["doc_key"], pa.array(n_words, pa.int64()), pa.array(plains, pa.string()), pa.array(digests, pa.string()),
+             pa.ListArray.from_arrays(_offsets([len(o) for o in owns]), pa.array(np.concatenate([_NONE, *owns]).astype(np.int32))),
+             pa.ListArray.from_arrays(_offsets(n_stretches), items)],
+            names=["doc_id", "doc_key", "n_words", "words", "sha256", "own", "stretches"])
 
     return run
 
@@ -188,19 +217,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "doc_key"), F.lit(n_blocks)).cast("int"))
 
     phrases = materialize(dealt.select("block", "text").mapInArrow(
-        _phrase_rows(window), "phrase long, block int, again boolean"), "repeat-phrases")
-    recurring = phrases.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("again").cast("int")).alias("again")).where(
-        "n > 1 OR again = 1").select("phrase")
+        _phrase_rows(window), "phrase long, block int, times int"), "repeat-phrases")
+    recurring = phrases.groupBy("phrase").agg(F.sum("times").alias("n")).where("n > 1").select("phrase")
     listed = phrases.select("phrase", "block").join(recurring, "phrase").select("phrase", "block").distinct()
     found = materialize(dealt.groupBy("block").cogroup(listed.groupBy("block")).applyInArrow(_locate(window), _FOUND_DDL),
                         "repeat-found")
+    free_shuffles(spark)
 
     doc = F.struct("doc_id", "doc_key")
     stretches = found.where(F.size("stretches") > 0).select(doc.alias("doc"), F.explode("stretches").alias("s")).select(
         "doc", "s.phrase", "s.start", "s.windows", F.xxhash64("s.windows").alias("kind"))
     kinds = materialize(stretches.groupBy("phrase", "kind").agg(F.min("doc").alias("first")), "repeat-kinds")
+    free_shuffles(spark)
     placed = materialize(stretches.join(kinds, ["phrase", "kind"]), "repeat-stretches")
-    later = placed.where("doc <> first OR doc IS NULL").select(
+    free_shuffles(spark)
+    later = placed.where(~F.col("doc").eqNullSafe(F.col("first"))).select(
         "doc", "start", (F.col("start") + F.size("windows") - 1 + window).alias("end"))
     varied = kinds.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("phrase")
     edges = placed.where(F.col("doc").eqNullSafe(F.col("first"))).join(varied, "phrase").select(
