@@ -1,8 +1,8 @@
 """Secret scans: a random forest removes the false positives of a wide candidate rule.
 
-A candidate is a long run of key characters. Its features are its length and
+Every long run of key characters is a candidate, also several in one word. Its features are its length and
 character classes, the likelihood of its character transitions under the corpus's own words, the
-share of it that dictionary words cover, and hashes of its path and neighbouring words.
+share of it that dictionary words cover, and hashes of its path and of what stands next to it.
 The dictionary and the transitions are counted over all words of all documents. A
 Spark ML random forest is trained on labelled findings. Everything runs as DataFrame operations in the JVM.
 """
@@ -69,11 +69,13 @@ def transition_scores(words: DataFrame) -> list[float]:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """One row per candidate: doc_id, doc_key, path, word (index in the text), candidate, before2,
-    before, after (neighbouring words, "" at the ends), quoted (stands in quotes).
+    """One row per candidate: doc_id, doc_key, path, word (index in the text), run (index in the word), candidate,
+    before2, before, after (what stands around it, "" at the ends), quoted (stands in quotes itself).
 
-    A candidate is the first run of at least ``LEAST`` key characters of a word. Null and empty texts have none.
-    Texts without such a run are passed over by one regular expression; the others are read whole.
+    Every run of at least ``LEAST`` key characters of a word is a candidate. Its neighbours are the pieces of the word
+    between runs and those runs; at the word's ends a piece without a letter, digit, = or : gives way to the
+    neighbouring word. Null and empty texts have none. Texts without such a run are passed over by one regular
+    expression; the others are read whole. The work is linear in a word's length, however many runs it has.
     """
     rule = f"{KEY_CHARS}{{{LEAST},}}"
     rows = docs.select(
@@ -85,10 +87,23 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             i.alias("word"), w.alias("w"), F.coalesce(F.get("_w", i - 2), F.lit("")).alias("before2"),
             F.coalesce(F.get("_w", i - 1), F.lit("")).alias("before"), F.coalesce(F.get("_w", i + 1), F.lit("")).alias("after"))),
         lambda s: s["w"].rlike(rule))).alias("_s"))
-    run = F.regexp_extract(F.col("_s.w"), f"({rule})", 1)
-    return near.select("doc_id", "doc_key", "path", F.col("_s.word").cast("long").alias("word"), run.alias("candidate"),
-                       F.col("_s.before2").alias("before2"), F.col("_s.before").alias("before"), F.col("_s.after").alias("after"),
-                       F.col("_s.w").rlike(f"[\"'`]{KEY_CHARS}{{{LEAST},}}[\"'`]").alias("quoted"))
+    # One more piece than runs: the last entry has no run. Zipped, not looked up, so no row carries a whole word.
+    runs, pieces = F.regexp_extract_all("_s.w", F.lit(rule), F.lit(0)), F.split("_s.w", rule, -1)
+    split = near.select("doc_id", "doc_key", "path", "_s", runs.alias("run"), pieces.alias("left")).select(
+        "doc_id", "doc_key", "path", F.col("_s.word").alias("word"), *[F.col(f"_s.{c}").alias(f"_{c}") for c in ("before2", "before", "after")],
+        "run", "left", F.slice("left", F.lit(2), F.size("run")).alias("right"), F.concat(F.array(F.lit("")), "run").alias("last"),
+        F.slice("run", F.lit(2), F.size("run")).alias("next"))
+    each = split.select("doc_id", "doc_key", "path", "word", "_before2", "_before", "_after", F.posexplode(
+        F.arrays_zip("run", "left", "right", "last", "next")).alias("_i", "_z")).where("_z.run IS NOT NULL")
+    left, right, first, final = F.col("_z.left"), F.col("_z.right"), F.col("_i") == 0, F.col("_z.next").isNull()
+    says = r"[\p{L}\p{N}=:]"
+    return each.select(
+        "doc_id", "doc_key", "path", F.col("word").cast("long").alias("word"), F.col("_i").cast("long").alias("run"),
+        F.col("_z.run").alias("candidate"),
+        F.when(~first, F.col("_z.last")).when(left.rlike(says), F.col("_before")).otherwise(F.col("_before2")).alias("before2"),
+        F.when(first & ~left.rlike(says), F.col("_before")).otherwise(left).alias("before"),
+        F.when(final & ~right.rlike(says), F.col("_after")).otherwise(right).alias("after"),
+        (left.rlike("[\"'`]\\z") & right.rlike("^[\"'`]")).alias("quoted"))
 
 
 def features(found: DataFrame, words: DataFrame, transitions: list[float]) -> DataFrame:

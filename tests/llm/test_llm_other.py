@@ -255,6 +255,23 @@ def test_secret_scan(spark):
     assert scan(docs.limit(0), labelled.limit(0)).count() == 0
 
 
+def test_secret_candidates_of_one_word(spark):
+    a, b, c = "AKIA" + "Q7" * 8, "wJalrXUtnFEMI/K7MDENG", "f" * 15 + "0"
+    path = "com/a/long/path/of/words"
+    texts = [f'see {{"id":"{a}","secret":"{b}"}} end', f"k1={a};k2={b}", f"{a},{b},{c}", f"https://x.{path}?token={a}", f"{a}.{b}.{c}",
+             f'x "{a}"', f'"{a}\'{b}', ";".join(f"k{i}={a}{i}" for i in range(20_000)), f"({a}) {b}"]
+    found = candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path_col=None).collect()
+    of = lambda i: sorted((r.word, r.run, r.candidate, r.before2, r.before, r.after, r.quoted) for r in found if r.doc_id == i)
+    assert of(0) == [(1, 0, a, "see", '{"id":"', '","secret":"', True), (1, 1, b, a, '","secret":"', "end", True)]
+    assert of(1) == [(0, 0, a, "", "k1=", ";k2=", False), (0, 1, b, a, ";k2=", "", False)]
+    assert [r[2] for r in of(2)] == [r[2] for r in of(4)] == [a, b, c]
+    assert of(3) == [(0, 0, path, "", "https://x.", "?token=", False), (0, 1, a, path, "?token=", "", False)]
+    assert of(5) == [(1, 0, a, "", "x", "", True)]
+    assert [(r[2], r[6]) for r in of(6)] == [(a, True), (b, False)]
+    assert [r[2] for r in of(7)] == [f"{a}{i}" for i in range(20_000)]
+    assert of(8) == [(0, 0, a, "", "", b, False), (1, 0, b, "", f"({a})", "", False)]
+
+
 # ---- packing ------------------------------------------------------------------
 
 def test_packing(spark):
