@@ -30,7 +30,7 @@ def _like(given: DataFrame, rows: DataFrame) -> DataFrame:
 @shipped
 def identify_language(spark, docs, sf_dir):
     """Documents that the language model rejects go: null texts, texts without a letter, and texts
-    farther from every centroid than any training text by a margin. The others stay as they are."""
+    whose cosine is below the floor of their language and length by a margin. The others stay as they are."""
     model = language_id.fit(language_id.train_rows(docs))
     judged = language_id.predict(docs, model, keep=docs.columns)
     return judged.where(~F.col("rejected")).select(*docs.columns)

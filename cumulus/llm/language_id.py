@@ -3,8 +3,9 @@
 A text becomes a normalised TF-IDF vector of hashed character n-grams (one to three
 characters). Every language has several centroids, from spherical k-means over a bounded
 sample of its labelled texts. A text gets the language of the centroid with the
-highest cosine and is rejected when it is farther from it than any sampled text of that
-language is from its own, by a margin.
+highest cosine and is rejected when its cosine is below a share of the floor that the language has for texts
+of its length. A floor is a low quantile of the cosines that sampled texts, and their first words, have with
+the centroids of the other sampled texts; so a few odd texts do not set it, and short texts have a lower one.
 
 The document frequencies come from all training texts. Only the sample that the centroids are
 fitted on is bounded (``per_language``). Model size: classes x centroids x ``BINS`` floats.
@@ -26,7 +27,11 @@ BITS = 14
 BINS = 1 << BITS
 PER_LANGUAGE = 1000
 CLUSTERS = 4
-#: A text is rejected below this share of the least cosine among the sampled texts of its language.
+#: The quantile of the cosines that is a floor, and the least number of cosines it is taken from.
+QUANTILE, LEAST_COSINES = 0.05, 100
+#: Length classes: class i has texts of 2^(i-1) to 2^i - 1 different n-grams.
+CLASSES = BITS + 2
+#: A text is rejected below this share of the floor of its language and length.
 MARGIN = 0.5
 MAX_LANGUAGES = 5000
 
@@ -70,6 +75,42 @@ def _frequencies(batches):
                                      names=["bin", "n"])
 
 
+def _beginnings(text: str):
+    """The text, and its first 2, 4, 8 ... characters cut back to whole words where there is a blank."""
+    yield text
+    for size in range(1, (len(text) - 1).bit_length()):
+        first = text[:1 << size].rsplit(maxsplit=1)
+        if first and _LETTER.search(first[0]):
+            yield first[0]
+
+
+def _floors(texts, x: np.ndarray, owner: np.ndarray, sums: np.ndarray, idf: np.ndarray) -> list[float]:
+    """Per length class a low quantile of the texts' and their beginnings' cosines, each with the centroids as they
+    are without the text itself. A class of few cosines takes those of its neighbours in; a language of one text has 0."""
+    squares, alone = (sums.astype(np.float64) ** 2).sum(axis=1), np.bincount(owner, minlength=len(sums)) < 2
+    found = [[] for _ in range(CLASSES)]
+    for row, own, text in zip(x, owner, texts, strict=True):
+        norms = squares.copy()
+        norms[own] += 1 - 2 * float(row @ sums[own])
+        norms = np.sqrt(np.maximum(norms, 1e-12))
+        for piece in _beginnings(text):
+            bins, weights = _vector(piece, idf)
+            cosine = (sums[:, bins] @ weights).astype(np.float64)
+            cosine[own] -= float(row[bins] @ weights)
+            cosine /= norms
+            if alone[own]:
+                cosine[own] = 0.0
+            found[len(bins).bit_length()].append(float(cosine.max()))
+    floors = []
+    for i in range(CLASSES):
+        reach, pool = 0, found[i]
+        while len(pool) < LEAST_COSINES and reach < CLASSES:
+            reach += 1
+            pool = [c for cosines in found[max(0, i - reach):i + reach + 1] for c in cosines]
+        floors.append(float(np.quantile(pool, QUANTILE)))
+    return floors
+
+
 def _clusters(idf: np.ndarray, clusters: int, rounds: int = 12):
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["_u", "text"])
@@ -83,17 +124,16 @@ def _clusters(idf: np.ndarray, clusters: int, rounds: int = 12):
             owner = (x @ centres.T).argmax(axis=1)
             sums = np.stack([x[owner == i].sum(axis=0) if (owner == i).any() else centres[i] for i in range(k)])
             centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-        cosine = x @ centres.T
         return pd.DataFrame({"lang": [group["lang"].iloc[0]] * k, "cluster": range(k),
                              "centre": [c.astype(np.float32).tolist() for c in centres],
-                             "floor": [float(cosine.max(axis=1).min())] * k})
+                             "floors": [_floors(group["text"], x, owner, sums, idf)] * k})
 
     return fit
 
 
 @dataclass
 class LanguageModel:
-    """idf per bin; per centroid its language, centre (unit vector) and the language's least cosine."""
+    """idf per bin; per centroid its language, centre (unit vector) and the language's floor per length class."""
 
     idf: np.ndarray
     langs: list[str]
@@ -123,16 +163,16 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
         seen[b] = n
     idf = (np.log((1 + total) / (1 + seen)) + 1).astype(np.float32)
     if not counts:
-        return LanguageModel(idf, [], np.zeros((0, BINS), np.float32), np.zeros(0))
+        return LanguageModel(idf, [], np.zeros((0, BINS), np.float32), np.zeros((0, CLASSES)))
     # A share that leaves about twice the sample, then the exact sample: the sort sees few rows.
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2 * per_language + 50) / n))])
     ranked = usable.where(F.col("_u") < F.element_at(share, F.col("lang"))).withColumn(
         "_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_u", "text")))
     fitted = ranked.where(F.col("_rank") <= per_language).select("lang", "text", "_u").groupBy("lang").applyInPandas(
-        _clusters(idf, clusters), "lang string, cluster int, centre array<float>, floor double").collect()
+        _clusters(idf, clusters), "lang string, cluster int, centre array<float>, floors array<double>").collect()
     fitted.sort(key=lambda r: (r["lang"], r["cluster"]))
     return LanguageModel(idf, [r["lang"] for r in fitted], np.array([r["centre"] for r in fitted], dtype=np.float32),
-                         np.array([r["floor"] for r in fitted]))
+                         np.array([r["floors"] for r in fitted]))
 
 
 def _predict(model: LanguageModel, at: int, n_kept: int, margin: float):
@@ -150,7 +190,7 @@ def _predict(model: LanguageModel, at: int, n_kept: int, margin: float):
                     best = int(cosine.argmax())
                 langs.append(UNKNOWN if best is None else model.langs[best])
                 scores.append(0.0 if best is None else min(1.0, max(0.0, float(cosine[best]))))
-                rejected.append(best is None or scores[-1] < margin * model.floors[best])
+                rejected.append(best is None or scores[-1] < margin * model.floors[best][len(bins).bit_length()])
             keep = range(n_kept)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in keep], pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
@@ -166,7 +206,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep=("doc_id",), text_col: s
 
     Reads the whole text and nothing else. A null text, or one without a letter, is ``und`` with score 0 and
     rejected; any other text gets a learned language, and is rejected if its cosine is
-    below ``margin`` times its language's least. Given columns with the names of the three are replaced. A tie goes to
+    below ``margin`` times its language's floor for its length. Given columns with the names of the three are replaced. A tie goes to
     the language first in code point order. A model without languages rejects all.
     """
     added = ("lang_pred", "score", "rejected")

@@ -1,8 +1,10 @@
 """Search, mixing, language ID, URL lists, secrets, packing and the pipeline against plain versions."""
 
+import base64
 import collections
 import datetime as dt
 import random
+import string
 import zlib
 
 import duckdb
@@ -195,6 +197,31 @@ def test_language_id(spark):
     assert language_id.predict(df.limit(0), model).count() == 0
 
 
+def test_unlearned_texts_are_rejected(spark):
+    rng = random.Random(5)
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang")
+    prose = {
+        "it": "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, ché la diritta via era smarrita.",
+        "pl": "Litwo, ojczyzno moja, ty jesteś jak zdrowie; ile cię trzeba cenić, ten tylko się dowie, kto cię stracił.",
+        "pt": "Todos os seres humanos nascem livres e iguais em dignidade e em direitos. Dotados de razão e de consciência."}
+    bad = [*prose.values()]
+    for n in (80, 600, 30_000):
+        bad += [base64.b64encode(rng.randbytes(n)).decode(), "".join(rng.choice(string.ascii_lowercase) for _ in range(n)),
+                " ".join("".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(2, 9))) for _ in range(n // 6))]
+    short = ["This.", "Anouble thwh.", "Eser thed nt of.", "Von.*** Keitkeitkeit.", "All rights reserved."]
+    # a few odd texts among many do not set the floor
+    odd = [(10**6 + i, t, "en") for i, t in enumerate(bad[3:5])]
+    model = language_id.fit(language_id.train_rows(docs.union(spark.createDataFrame(odd, docs.schema))))
+    given = spark.createDataFrame([(i, t) for i, t in enumerate(bad + short)], "doc_id long, text string")
+    got = {r.doc_id: r.rejected for r in language_id.predict(given, model).collect()}
+    assert [got[i] for i in range(len(bad + short))] == [True] * len(bad) + [False] * len(short)
+    judged = language_id.predict(docs, model).withColumn("held", language_id.held_out()).where("held").collect()
+    assert len(judged) > 100 and not any(r.rejected for r in judged)
+    # one text says nothing of how far others may be
+    one = language_id.fit(docs.where("lang = 'en'").limit(1))
+    assert not any(r.rejected for r in language_id.predict(docs.where("lang = 'en'"), one).collect())
+
+
 # ---- URL lists ----------------------------------------------------------------
 
 def test_url_lists(spark):
