@@ -13,7 +13,7 @@ from cumulus.llm import language_id
 from cumulus.llm.common import shipped, table, text_key
 from cumulus.llm.line_dedup import apply_bitmaps, line_bitmaps
 from cumulus.llm.mixing import mix, mixed_documents, word_count
-from cumulus.llm.near_dedup import near_duplicates
+from cumulus.llm.near_dedup import one_of_each
 from cumulus.llm.packing import pack_documents
 from cumulus.session import materialize
 
@@ -44,9 +44,9 @@ def drop_common_lines(spark, docs, sf_dir):
 
 @shipped
 def drop_near_duplicates(spark, docs, sf_dir):
-    """One document of each component of near duplicates stays, the one with the smallest id."""
-    kept = near_duplicates(docs, k=SHINGLE, percent=PERCENT).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """One row of each component of near duplicates stays, the one with the smallest id, also where ids or
+    rows repeat or ids are null; texts without words all stay."""
+    return one_of_each(docs, k=SHINGLE, percent=PERCENT)
 
 
 @shipped

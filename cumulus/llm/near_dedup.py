@@ -257,17 +257,8 @@ def near_components(classes: DataFrame, docs: DataFrame, k: int, percent: int, i
     return known.union(alone.select("nid", "component"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
-                    percent: int = 80) -> DataFrame:
-    """ACTION: components of documents linked by 100 * intersection >= percent * union of their
-    sets of distinct k-word shingles.
-
-    Words are runs without ASCII white space, A-Z lower-cased; a text of fewer than k words is one shingle. Whole texts
-    are read. Returns per input row: the id, ``n_shingles``, ``component_id`` (smallest id reachable, its own
-    included) and ``kept`` (it is the component's id). Texts that are null or without
-    words have no shingles and are linked with nothing. Rows that repeat an id, with the same or another text, are
-    rows of their own; a null id is passed over as a component's id unless it stands alone.
-    """
+def _judged(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """ACTION: the sketched rows, and per digest of a set its component and that one's least id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("doc_key"),
                        F.col(text_col).cast("string").alias("text"))
     written = materialize(rows.mapInArrow(
@@ -280,8 +271,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_class = classes.select("digest", "nid", "least_id").join(found, "nid", "left").select(
         "digest", "least_id", F.coalesce("component", "nid").alias("component"))
     least = of_class.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = materialize(of_class.join(least, "component").select("digest", "component_id"), "near-components")
+    named = materialize(of_class.join(least, "component").select("digest", "component", "component_id"), "near-components")
+    return written, named
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
+                    percent: int = 80) -> DataFrame:
+    """ACTION: components of documents linked by 100 * intersection >= percent * union of their
+    sets of distinct k-word shingles.
+
+    Words are runs without ASCII white space, A-Z lower-cased; a text of fewer than k words is one shingle. Whole texts
+    are read. Returns per input row: the id, ``n_shingles``, ``component_id`` (smallest id reachable, its own
+    included) and ``kept`` (it is the component's id). Texts that are null or without
+    words have no shingles and are linked with nothing. Rows that repeat an id, with the same or another text, are
+    rows of their own; a null id is passed over as a component's id unless it stands alone.
+    """
+    written, named = _judged(docs, id_col, text_col, k, percent)
     return written.join(named, "digest", "left").select(
         F.col("doc_id").alias(id_col), "n_shingles",
         F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn(
         "kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """ACTION: ``docs`` with exactly one row of each component of :func:`near_duplicates`: the one with the least id
+    (a null id comes last), then the least ``text_key``, then the least other columns of equal rows.
+
+    Rows are judged, not ids: another text under a kept id goes if it is a duplicate. Rows whose text is
+    null or without words are linked with nothing and all stay, repeated ones too.
+    """
+    written, named = _judged(docs, id_col, text_col, k, percent)
+    judged = written.where("digest IS NOT NULL")
+    first = judged.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key")).alias("row"))
+    least = first.join(named, "digest").groupBy("component").agg(F.min("row").alias("row")).select("row.doc_id", "row.doc_key")
+    copies = judged.groupBy(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key")).agg(F.count(F.lit(1)).alias("_copies"))
+    alone = written.where("digest IS NULL").select("doc_id", "doc_key").distinct().withColumn("_copies", F.lit(1).cast("long"))
+    picks = materialize(least.join(copies, least["doc_id"].eqNullSafe(copies["_id"]) & (least["doc_key"] == copies["_key"])).select(
+        "_id", "_key", "_copies").union(alone), "near-picks")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"),
+                       text_key(text_col).alias("doc_key"))
+    kept = rows.join(picks, rows["doc_id"].eqNullSafe(picks["_id"]) & (rows["doc_key"] == picks["_key"]))
+    # Only equal rows are aggregated; they are few, so the texts are not sorted or dealt again.
+    equal = kept.where("_copies > 1").groupBy("_id", "_key").agg(F.min("row").alias("row"))
+    return kept.where("_copies = 1").select("row.*").union(equal.select("row.*"))

@@ -396,6 +396,21 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_pipeline_keeps_one_row_of_each_near_duplicate(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    a, b, c, d, e = (text(x) for x in "abcde")
+    rows = [(1, a, "s1"), (5, a, "s1"), (5, c, "s1"), (7, b, "s2"), (7, b, "s1"), (7, b, "s1"), (None, d, "s1"), (None, a, "s1"),
+            (9, d + " x", "s1"), (None, e, "s1"), (None, e.upper(), "s1"), (11, "", "s1"), (11, "", "s1"), (12, None, "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = dict(corpus_pipeline.STAGES)["near dedup"](spark, docs, SF)
+    assert got.columns == docs.columns
+    got = [tuple(r) for r in got.collect()]
+    one = [r for r in got if r[0] is None]
+    assert len(one) == 1 and one[0][1] in (e, e.upper())
+    assert sorted((r for r in got if r[0] is not None), key=str) == sorted(
+        [(1, a, "s1"), (5, c, "s1"), (7, b, "s1"), (9, d + " x", "s1"), (11, "", "s1"), (11, "", "s1"), (12, None, "s1")], key=str)
+
+
 def test_every_query_is_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
