@@ -102,11 +102,12 @@ def read_wide_csv(spark: SparkSession, path, n_ids: int | None = None,
 def read_lines(spark: SparkSession, path, drop_header: bool = True) -> DataFrame:
     """Raw lines (column ``value``); with ``drop_header`` the first line of every file
     is dropped, whatever its text (the reference dropped it from the first
-    partition only). One narrow scan: the CSV reader with a separator that no text has and
-    without quotes leaves each line whole. Blank lines hold no record and are passed over."""
-    lines = (spark.read.schema("value string").option("header", drop_header).option("sep", "\u0001")
-             .option("quote", "").option("escape", "").csv(path))
-    return lines.where(F.col("value").isNotNull())
+    partition only). One narrow scan: the CSV reader with U+0001 as separator and without quotes leaves a line
+    whole; one that holds U+0001 it flags as malformed, and its raw text is taken. Blank lines (no character
+    above U+0020) hold no record and are passed over."""
+    lines = (spark.read.schema(f"value string, {CORRUPT_COLUMN} string").option("columnNameOfCorruptRecord", CORRUPT_COLUMN)
+             .option("header", drop_header).option("sep", "\u0001").option("quote", "").option("escape", "").csv(path))
+    return lines.select(F.coalesce(CORRUPT_COLUMN, "value").alias("value")).where(F.col("value").isNotNull())
 
 
 def bad_lines(lines: DataFrame, col: str = "value") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cumulus.operators import cleaning
 from cumulus.sinks import write_csv, write_wide_csv
-from cumulus.sources import read_lines, read_table_csv, read_wide_csv, tokenised_lines
+from cumulus.sources import bad_lines, read_lines, read_table_csv, read_wide_csv, tokenised_lines
 
 START = dt.date(2020, 1, 22)
 
@@ -213,3 +213,19 @@ def test_multi_line_fields(spark, tmp_out):
     wide = read_wide_csv(spark, tmp_out + "/ml", multi_line=True)
     got = {r.country: (r.region, r.counts) for r in cleaning.global_horizontal(wide).collect()}
     assert got == {"A": ("two\nlines", [5]), "B": (None, [6])}
+
+
+def test_raw_lines_with_the_separator_stay_whole(spark, tmp_out):
+    import os
+
+    os.mkdir(tmp_out + "/sep")
+    lines = ["a,b\x01c,\"d", "x,y", "\x01e,f\x01", "\"g,h\"\x01,i"]
+    for i in range(2):
+        with open(f"{tmp_out}/sep/{i}.csv", "w", newline="") as f:
+            f.write("\n".join(["head\x01er", *lines, "", f"last{i}"]))
+    got = read_lines(spark, tmp_out + "/sep")
+    assert sorted(r.value for r in got.collect()) == sorted([*lines, *lines, "last0", "last1"])
+    assert got.count() == 10
+    assert [r.value for r in bad_lines(got).collect()] == [lines[0]] * 2
+    assert sorted(r.tokens for r in tokenised_lines(got).collect() if r.tokens and len(r.tokens) == 2 and "g" in r.tokens[0]) == [["g,h\x01", "i"]] * 2
+    assert read_lines(spark, tmp_out + "/sep", drop_header=False).where("value = 'head\x01er'").count() == 2
