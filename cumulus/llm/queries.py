@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from cumulus.llm import language_id
 from cumulus.llm.common import SPACES, shipped, table, text_key
+from cumulus.llm.conversation_trie import numbered_turns, prefix_trie, rebuild
 from cumulus.llm.exact_dedup import exact_duplicates
 from cumulus.llm.line_dedup import apply_bitmaps, line_bitmaps
+from cumulus.llm.merkle import fold, merkle_manifest, proof, row_digest
 from cumulus.llm.mixing import mix, word_count
 from cumulus.llm.near_dedup import near_duplicates
 from cumulus.llm.packing import pack_documents
 from cumulus.llm.secret_scan import candidates, scan
+from cumulus.llm.simhash import simhash_duplicates
 from cumulus.llm.substring_dedup import repeated_passages
 from cumulus.llm.topk_search import integer_vectors, top_k
 from cumulus.llm.url_filter import asof_verdicts, url_host, url_path, validity_intervals
@@ -111,9 +114,34 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op11_prefix_trie(spark, sf_dir):
+    """The prefix trie of all conversations, rebuilt with the first turns they share."""
+    return prefix_trie(rebuild(numbered_turns(table(spark, sf_dir, "conversations"))))
+
+
+def op12_simhash(spark, sf_dir):
+    """Components of documents whose 64-bit fingerprints differ in three bits or fewer."""
+    return simhash_duplicates(table(spark, sf_dir, "documents"), k=3, radius=3)
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    """The inclusion proof of every document, folded again from a tampered text where 3 divides the id's checksum."""
+    docs = table(spark, sf_dir, "documents")
+    leaf = lambda text: row_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    leaves = docs.select("doc_id", "lang", leaf(F.col("text")).alias("leaf"), F.when(
+        tampered, leaf(F.translate("text", upper, upper.lower()))).alias("changed"))
+    manifest = merkle_manifest(leaves, leaf="leaf", tree="lang", order=["doc_id"])
+    return manifest.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(proof(F.col("path")), 256).alias("proof_sha256"),
+        fold(F.col("path"), F.coalesce("changed", "leaf")).alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {f.__name__: shipped(f) for f in (
     op1_topk_search, op2_substring_dedup, op3_mix_sources, op4_language_id, op5_url_filter, op6_secret_scan, op7_pack,
-    op8_line_dedup, op9_near_dedup, op10_exact_dedup)}
+    op8_line_dedup, op9_near_dedup, op10_exact_dedup, op11_prefix_trie, op12_simhash, op13_merkle_manifest)}
 
 _SPACES_SQL = " || ".join(f"chr({ord(c)})" for c in SPACES)
 
@@ -122,6 +150,17 @@ def _entries_sql(values, kind, list_name, share, since, until):
     return " UNION ALL ".join(entry.format(list_name, kind, action, at, values, share) for action, at in (("add", since), ("remove", until)))
 
 
+#: Unsigned crc32 of a decimal number, bit by bit.
+_CRC32_SQL = """xor(list_reduce(list_transform(string_split(CAST({} AS VARCHAR), ''), lambda ch: CAST(ord(ch) AS BIGINT)),
+    lambda crc, byte: list_reduce(range(8), lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, xor(crc, byte)),
+    CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+
+def _leaf_sql(text):
+    fields = [f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(fields)})"
+
+
 ORACLE_SQL = {
     "op5_url_filter": rf"""
         WITH p AS (
@@ -168,4 +207,69 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM d""",
+    "op11_prefix_trie": f"""
+        WITH given AS (
+          SELECT conv_id AS c, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d,
+                 length(coalesce(text, '')) AS chars
+          FROM conversations WHERE conv_id IS NOT NULL),
+        t AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, d) - 1 AS pos FROM given),
+        n AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+        v AS (SELECT n.c, c - c % 100 AS base, {_CRC32_SQL.format("c")} % 6 AS h FROM n),
+        r AS (
+          SELECT v.c, b.pos + 1 AS depth, b.d, b.chars FROM v JOIN t b ON b.c = v.base AND b.pos < v.h
+          UNION ALL
+          SELECT v.c, t.pos - v.h + least(v.h, coalesce(n.n, 0)) + 1, t.d, t.chars
+          FROM v JOIN t ON t.c = v.c AND t.pos >= v.h LEFT JOIN n ON n.c = v.base),
+        p AS (
+          SELECT c, 0 AS depth, '' AS key, 0 AS chars FROM v
+          UNION ALL SELECT c, depth, string_agg(d, '') OVER (PARTITION BY c ORDER BY depth), chars FROM r),
+        nodes AS (SELECT key, depth, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM p GROUP BY key, depth),
+        children AS (SELECT left(key, 64 * (depth - 1)) AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+        below AS (
+          SELECT left(key, 64 * j) AS key, sum((n_convs - 1) * chars) AS saved, count(*) FILTER (childless) AS leaves
+          FROM (SELECT nodes.*, children.n IS NULL AS childless, unnest(range(0, depth + 1)) AS j
+                FROM nodes LEFT JOIN children ON children.key = nodes.key) GROUP BY 1),
+        ends AS (SELECT key, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends
+                 FROM (SELECT c, arg_max(key, depth) AS key FROM p GROUP BY c) GROUP BY key)
+        SELECT a.conv_id, CAST(a.depth AS BIGINT) AS depth, parent.conv_id AS parent_conv_id, a.n_convs, coalesce(children.n, 0) AS n_children,
+               below.leaves AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, coalesce(ends.ends, sha256('')) AS ends_sha256
+        FROM nodes a JOIN below ON below.key = a.key LEFT JOIN children ON children.key = a.key LEFT JOIN ends ON ends.key = a.key
+        LEFT JOIN nodes parent ON a.depth > 0 AND parent.key = left(a.key, 64 * (a.depth - 1))""",
+    "op13_merkle_manifest": f"""
+        WITH RECURSIVE leaves AS (
+          SELECT doc_id, lang, {_leaf_sql("text")} AS leaf, CASE WHEN {_CRC32_SQL.format("doc_id")} % 3 = 0
+                 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed
+          FROM documents),
+        o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+        nodes AS (
+          SELECT 0 AS level, lang, pos AS idx, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM o
+          UNION ALL
+          SELECT level + 1, lang, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 7) // 8
+          FROM nodes WHERE n > 1 GROUP BY level, lang, idx // 8),
+        subroots AS (SELECT lang, level, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM nodes WHERE n = 1),
+        tops AS (
+          SELECT 0 AS level, g AS idx, h, count(*) OVER () AS n FROM subroots
+          UNION ALL
+          SELECT level + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 7) // 8
+          FROM tops WHERE n > 1 GROUP BY level, idx // 8),
+        low AS (
+          SELECT lang, pos, 0 AS level, pos AS idx, coalesce(changed, leaf) AS cur, '' AS sibs FROM o
+          UNION ALL
+          SELECT f.lang, f.pos, f.level + 1, f.idx // 8, sha256(string_agg(CASE WHEN v.idx = f.idx THEN f.cur ELSE v.h END, '' ORDER BY v.idx)),
+                 f.sibs || coalesce(string_agg(v.h, '' ORDER BY v.idx) FILTER (v.idx <> f.idx), '')
+          FROM low f JOIN nodes v ON v.level = f.level AND v.lang IS NOT DISTINCT FROM f.lang AND v.idx // 8 = f.idx // 8 AND v.n > 1
+          GROUP BY f.lang, f.pos, f.level, f.idx, f.cur, f.sibs),
+        high AS (
+          SELECT low.lang, low.pos, 0 AS level, s.g AS idx, low.cur, low.sibs
+          FROM low JOIN subroots s ON s.lang IS NOT DISTINCT FROM low.lang AND s.level = low.level
+          UNION ALL
+          SELECT f.lang, f.pos, f.level + 1, f.idx // 8, sha256(string_agg(CASE WHEN v.idx = f.idx THEN f.cur ELSE v.h END, '' ORDER BY v.idx)),
+                 f.sibs || coalesce(string_agg(v.h, '' ORDER BY v.idx) FILTER (v.idx <> f.idx), '')
+          FROM high f JOIN tops v ON v.level = f.level AND v.idx // 8 = f.idx // 8 AND v.n > 1
+          GROUP BY f.lang, f.pos, f.level, f.idx, f.cur, f.sibs)
+        SELECT o.doc_id, o.leaf, s.h AS subroot, root.h AS root, sha256(high.sibs) AS proof_sha256, high.cur AS folded_root,
+               high.cur = root.h AS verified
+        FROM o JOIN subroots s ON s.lang IS NOT DISTINCT FROM o.lang
+        JOIN (SELECT h, level FROM tops WHERE n = 1) root ON true
+        JOIN high ON high.lang IS NOT DISTINCT FROM o.lang AND high.pos = o.pos AND high.level = root.level""",
 }
