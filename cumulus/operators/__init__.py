@@ -1,6 +1,7 @@
 """DataFrame-to-DataFrame jobs: reshaping, merging, growth and cleaning."""
 
-from cumulus.operators.growth import growth_horizontal, growth_vertical
+from cumulus.operators.file_order import file_ordinal
+from cumulus.operators.growth import growth_horizontal, growth_vertical, growth_vertical_spread
 from cumulus.operators.merge import merge_global, merge_global_vertical, merge_us, merge_us_vertical
 from cumulus.operators.shapes import (
     dense_ordinal,
@@ -12,6 +13,6 @@ from cumulus.operators.shapes import (
 )
 
 __all__ = [
-    "dense_ordinal", "growth_horizontal", "growth_vertical", "merge_global", "merge_global_vertical",
+    "dense_ordinal", "file_ordinal", "growth_horizontal", "growth_vertical", "growth_vertical_spread", "merge_global", "merge_global_vertical",
     "merge_us", "merge_us_vertical", "series_width", "to_horizontal", "to_unpacked", "to_vertical", "to_vertical_many",
 ]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cumulus.functions.dates import observed_date, update_date
 from cumulus.functions.parse import code_or_zero, coordinate, float_text_long, measure_long, try_long
 from cumulus.functions.text import normalise_country, normalise_region
+from cumulus.operators.file_order import file_ordinal
 from cumulus.operators.shapes import to_vertical
 from cumulus.schemas import GLOBAL_IDS, US_IDS
 from cumulus.sources.csv import CORRUPT_COLUMN, WideFile
@@ -22,8 +23,10 @@ def _pos(df: DataFrame, i: int):
     return F.col(f"`{df.columns[i]}`")
 
 
-def _counts(wide: WideFile, first_day: int = 0):
-    return F.array(*[try_long(F.col(f"`{c}`")) for c in wide.day_columns[first_day:]]).alias("counts")
+def _counts(wide: WideFile):
+    if wide.packed:
+        return F.transform(wide.days, lambda v: v.try_cast("bigint")).alias("counts")
+    return F.array(*[try_long(F.col(f"`{c}`")) for c in wide.day_columns]).cast("array<bigint>").alias("counts")
 
 
 def _require_ids(wide: WideFile, n: int, what: str) -> None:
@@ -44,10 +47,13 @@ def global_horizontal(wide: WideFile) -> DataFrame:
 
 
 def global_vertical(wide: WideFile, id_order=None) -> DataFrame:
-    """ACTION (writes the places once): global series file to one row per place and
-    day, with a row-ordinal ``id`` -- file order for one file (partition order
-    across several), or the rank in ``id_order``. Null counts are kept."""
-    return to_vertical(global_horizontal(wide), GLOBAL_IDS, wide.start_date, id_order=id_order)
+    """ACTION: global series file to one row per place and day, with a row-ordinal ``id``: the row's place
+    in its file, files by path (counts the rows once, see :func:`file_ordinal`), or the rank in
+    ``id_order`` (writes the places once). Null counts are kept."""
+    places = global_horizontal(wide)
+    if id_order is None and wide.scanned:
+        return to_vertical(file_ordinal(places), ["id", *GLOBAL_IDS], wide.start_date, id_col=None)
+    return to_vertical(places, GLOBAL_IDS, wide.start_date, id_order=id_order)
 
 
 def _us_ids(df: DataFrame):
@@ -150,9 +156,8 @@ def bad_series_rows(wide: WideFile, us: bool = False) -> DataFrame:
     if us:
         at[0] = (_pos(df, 0), try_long(_pos(df, 0)))
         at |= {i: (_pos(df, i), float_text_long(_pos(df, i))) for i in (3, 4)}
-    days = [F.col(f"`{c}`") for c in wide.day_columns]
     # One test over the array of days, however many there are.
-    lost = F.exists(F.array(*days), lambda v: v.isNotNull() & v.try_cast("bigint").isNull()) if days else F.lit(False)
+    lost = F.coalesce(F.exists(wide.days, lambda v: v.isNotNull() & v.try_cast("bigint").isNull()), F.lit(False))
     return _unparsed(df, [*at.values(), (F.lit(True), F.when(~lost, True))])
 
 

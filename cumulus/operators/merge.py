@@ -2,12 +2,18 @@
 
 Each merge is a full outer join with null-safe equality on the place key (a
 null region is a real key value: the country-level row), of two or three files
-that hold a key once. It is written as one union grouped by the key: one
-shuffle, partial before it, whatever the number of files, and a filter on the key goes
-below it to every file's scan. Identity columns come from the first file that
+that hold a key once. It is written as one union grouped by the key, and a filter on the key goes
+below it to every file's scan: one shuffle whatever the number of files, and none
+for files stored by key (``session.materialize_by_key``), whose union keeps their
+partitioning. Identity columns come from the first file that
 has them, so a row present in one file only keeps its identity. (The reference kept
 only the left side's columns, which blanked right-only rows.) A key that a file
 holds twice raises instead of multiplying rows.
+
+Numbers, dates and other values of fixed width are merged by hash aggregation with ``max``. Arrays and
+strings have no place in a hash aggregate's buffer, and ``max`` over them sorts whole rows before
+and after the shuffle; so those files' rows are gathered as structs (an object hash aggregate, without a
+sort in the plan), and the struct of each file is taken apart once.
 """
 
 from __future__ import annotations
@@ -16,9 +22,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 from cumulus.schemas import GLOBAL_KEYS, US_IDS
 
+_VARIABLE = (ArrayType, BinaryType, MapType, StringType, StructType)
+
 
 def _outer_merge(files: Sequence[DataFrame], measures: Sequence[str], keys: Sequence[str], identity: Sequence[str],
                  counts: str, last_first: Sequence[str] = ()) -> DataFrame:
@@ -30,15 +39,35 @@ def _outer_merge(files: Sequence[DataFrame], measures: Sequence[str], keys: Sequ
         one = df.select(*keys, *[(F.col(c) if c in df.columns else F.lit(None)).cast(types[c]).alias(c) for c in identity],
                         F.col(counts).alias("_v"), F.lit(i).alias("_f"))
         tagged = one if tagged is None else tagged.unionByName(one)
+    gather = any(isinstance(types[c], _VARIABLE) for c in (*identity, counts))
+    merged = (_gathered if gather else _maxima)(tagged, len(files), keys, identity)
     n = range(len(files))
+    twice = F.raise_error(F.lit("a file holds a place key twice")).cast("boolean")
+    return merged.where(F.when(F.col("_repeated"), twice).otherwise(True)).select(
+        *keys, *[F.coalesce(*[F.col(f"_{i}.{c}") for i in (reversed(n) if c in last_first else n)]).alias(c) for c in identity],
+        *[F.col(f"_{i}._v").alias(m) for i, m in enumerate(measures)])
+
+
+def _maxima(tagged: DataFrame, n: int, keys: Sequence[str], identity: Sequence[str]) -> DataFrame:
+    """Per key a struct _0, _1, ... of each file's values, and whether a file has the key twice."""
     of = lambda c, i: F.max(F.when(F.col("_f") == i, F.col(c)))
     grouped = tagged.groupBy(*keys).agg(
-        *[F.coalesce(*[of(c, i) for i in (reversed(n) if c in last_first else n)]).alias(c) for c in identity],
-        *[of("_v", i).alias(m) for i, m in enumerate(measures)],
-        F.greatest(*[F.count_if(F.col("_f") == i) for i in n]).alias("_times") if len(files) > 1
-        else F.count(F.lit(1)).alias("_times"))
-    twice = F.raise_error(F.lit("a file holds a place key twice")).cast("boolean")
-    return grouped.where(F.when(F.col("_times") > 1, twice).otherwise(True)).drop("_times")
+        *[of(c, i).alias(f"_{i}_{c}") for i in range(n) for c in (*identity, "_v")],
+        F.greatest(F.lit(0), *[F.count_if(F.col("_f") == i) for i in range(n)]).alias("_times"))
+    return grouped.select(*keys, (F.col("_times") > 1).alias("_repeated"), *[F.struct(
+        *[F.col(f"_{i}_{c}").alias(c) for c in (*identity, "_v")]).alias(f"_{i}") for i in range(n)])
+
+
+def _gathered(tagged: DataFrame, n: int, keys: Sequence[str], identity: Sequence[str]) -> DataFrame:
+    """As :func:`_maxima`, from at most ``n`` structs gathered per key."""
+    grouped = tagged.groupBy(*keys).agg(F.collect_list(F.struct("_f", *identity, "_v")).alias("_rows"))
+    files = F.transform("_rows", lambda r: r["_f"])
+
+    def of(i: int):
+        return F.get(F.filter("_rows", lambda r: r["_f"] == i), 0)
+
+    return grouped.select(*keys, (F.size(F.array_distinct(files)) < F.size(files)).alias("_repeated"),
+                          *[of(i).alias(f"_{i}") for i in range(n)])
 
 
 def merge_global(confirmed: DataFrame, deaths: DataFrame, recovered: DataFrame,

@@ -9,7 +9,6 @@ can be compared value by value with a SQL engine.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,17 +19,18 @@ from cumulus.functions.dates import update_date
 from cumulus.functions.parse import try_long
 from cumulus.functions.text import normalise_country, normalise_region
 from cumulus.operators import cleaning
-from cumulus.operators.growth import growth_horizontal, growth_vertical
+from cumulus.operators.file_order import file_ordinal
+from cumulus.operators.growth import growth_horizontal, growth_vertical, growth_vertical_spread
 from cumulus.operators.merge import merge_global, merge_global_vertical, merge_us, merge_us_vertical
-from cumulus.operators.shapes import dense_ordinal, to_horizontal, to_vertical, to_vertical_many
+from cumulus.operators.shapes import dense_ordinal, to_horizontal, to_vertical
 from cumulus.plans import fixtures as fx
 from cumulus.plans import quarters, rates, rendering, trends
 from cumulus.plans.menu import menu_query
 from cumulus.schemas import GLOBAL_IDS, US_IDS
 from cumulus.session import release, scratch_path
-from cumulus.sinks.csv import write_csv
+from cumulus.sinks.csv import preview_rows, write_csv, write_wide_csv
 from cumulus.sources.catalog import load_all, register_views
-from cumulus.sources.csv import read_lines, read_table_csv, read_wide_csv, tokenised_lines
+from cumulus.sources.csv import read_lines, read_table_csv, read_wide_csv, read_wide_releases, tokenised_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,37 +52,26 @@ def _merged(spark, sf_dir) -> DataFrame:
     return merge_global(gs["confirmed"], gs["deaths"], gs["recovered"])
 
 
-@functools.lru_cache(maxsize=64)
-def _global_vertical_inputs(spark, sf_dir) -> dict[str, DataFrame]:
-    """The three vertical global files with their row ids: prepared input (the ordinal
-    is written once per session), like the fixture tables."""
-    gs = fx.global_series(spark, sf_dir)
-    cal = fx.calendar(spark, sf_dir)
-    return to_vertical_many(gs, GLOBAL_IDS, cal.start, id_order=_PLACE_ORDER)
-
-
 def reset(spark: SparkSession | None = None) -> None:
     """Forget every prepared input, so the next query derives it from the tables anew; with a
     session, also delete what this one has written to scratch (ACTION)."""
     fx.reset()
     rendering.reset()
-    _global_vertical_inputs.cache_clear()
     if spark is not None:
         release(spark)
 
 
 def prepare_all(spark: SparkSession, sf_dir: str) -> None:
-    """ACTION: write the prepared inputs once: the fixture tables, the numbered
-    vertical files, and the raw observation-log text the CSV load queries read.
+    """ACTION: write the prepared inputs once: the fixture tables, with the numbered
+    series stored by place, and the raw observation-log text the CSV load queries read.
     The queries that follow then do only their own work. (The other raw files
     are rendered on first use, also once per session.)"""
     fx.prepare(spark, sf_dir)
-    _global_vertical_inputs(spark, sf_dir)
     rendering.render_log(spark, sf_dir)
 
 
 def _merged_vertical(spark, sf_dir) -> DataFrame:
-    v = _global_vertical_inputs(spark, sf_dir)
+    v = fx.global_series_vertical(spark, sf_dir)
     return merge_global_vertical(v["confirmed"], v["deaths"], v["recovered"])
 
 
@@ -308,7 +297,7 @@ def q_to_horizontal_sparse(spark, sf_dir):
 
 
 def q_ordinal_file_order(spark, sf_dir):
-    return dense_ordinal(fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "id")
+    return file_ordinal(fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "id")
 
 
 def q_load_us_confirmed_csv(spark, sf_dir):
@@ -349,6 +338,59 @@ def q_csv_without_header(spark, sf_dir):
     return raw.select(c[0].alias("country"), c[1].alias("region"), c[2].try_cast("date").alias("date"), try_long(c[3]).alias("confirmed"))
 
 
+def q_growth_hot_key(spark, sf_dir):
+    # Three order states: two of them hold almost all rows.
+    orders = fx.table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderdate", "o_orderkey", "o_custkey")
+    return growth_vertical_spread(orders, "o_custkey", "o_orderstatus", ["o_orderdate", "o_orderkey"], window_rows=4096)
+
+
+def q_load_wide_releases(spark, sf_dir):
+    wide = read_wide_releases(spark, rendering.render_releases(spark, sf_dir), keys=rendering.GLOBAL_HEADER[:2],
+                              ids=rendering.GLOBAL_HEADER, aliases={"Province_State": rendering.GLOBAL_HEADER[0]})
+    return _text(cleaning.global_horizontal(wide), "counts")
+
+
+def q_load_multi_line_csv(spark, sf_dir):
+    raw = read_table_csv(spark, rendering.render_documents(spark, sf_dir), multi_line="split")
+    return raw.select(try_long("doc_id").alias("doc_id"), "source", F.char_length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+def q_wide_csv_round_trip(spark, sf_dir):
+    start, _ = _calendar(spark, sf_dir)
+    path = scratch_path(spark, "query1-csv")
+    countries = _merged(spark, sf_dir).where(F.col("region").isNull())
+    write_wide_csv(countries, path, GLOBAL_IDS, "confirmed", start)
+    return _text(cleaning.global_horizontal(read_wide_csv(spark, path)).drop("region"), "counts")
+
+
+def q_csv_single_file(spark, sf_dir):
+    path = scratch_path(spark, "query2-single")
+    write_csv(trends.global_count_vertical(_merged_vertical(spark, sf_dir)), path, include_header=True, single_file=True)
+    back = rendering.read_back_vertical(spark, path)
+    if len(back.inputFiles()) != 1:
+        raise RuntimeError("the result was not written as one file")
+    return back
+
+
+def q_preview_log(spark, sf_dir):
+    return preview_rows(fx.observation_log(spark, sf_dir).orderBy("id", "region", "country"), 20, truncate=8)
+
+
+def q_top_incidence(spark, sf_dir):
+    gs = fx.global_series(spark, sf_dir)
+    ranked = rates.incidence(gs["confirmed"], fx.places(spark, sf_dir), day_index=fx.DAY_INDEX)
+    return ranked.orderBy(F.col("incidence").desc_nulls_last(), "country").limit(10)
+
+
+def q_death_rates_without_date(spark, sf_dir):
+    gs = fx.global_series(spark, sf_dir)
+    return rates.death_rates(gs["deaths"], gs["confirmed"], fx.DEATH_RATE_COUNTRIES)
+
+
+def q_unmatched_countries(spark, sf_dir):
+    return quarters.unmatched_countries(q_clean_observation_log(spark, sf_dir), fx.places(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "global_percent_by_quarter": q_global_percent_by_quarter,
     "us_percent_by_quarter": q_us_percent_by_quarter,
@@ -394,4 +436,13 @@ QUERIES: dict[str, Query] = {
     "menu_4_from_raw": q_menu_4_from_raw,
     "sql_over_views": q_sql_over_views,
     "csv_without_header": q_csv_without_header,
+    "growth_hot_key": q_growth_hot_key,
+    "load_wide_releases": q_load_wide_releases,
+    "load_multi_line_csv": q_load_multi_line_csv,
+    "wide_csv_round_trip": q_wide_csv_round_trip,
+    "csv_single_file": q_csv_single_file,
+    "preview_log": q_preview_log,
+    "top_incidence": q_top_incidence,
+    "death_rates_without_date": q_death_rates_without_date,
+    "unmatched_countries": q_unmatched_countries,
 }

@@ -11,9 +11,10 @@ provides (nation, customer, orders, events):
 * ``series_vertical``  -- cumulative daily counts per place from ``events``:
                           confirmed / deaths / recovered = running count of
                           view / error / purchase events, dense over the calendar.
-* ``global_series``    -- the three measures packed into horizontal frames, with
-                          deliberate asymmetries for the merges.
-* ``us_series``        -- the places with a region, in the US file layout.
+* ``numbered_series``  -- the three measures packed into horizontal frames with row ids, with
+                          deliberate asymmetries for the merges; stored by place key.
+                          ``global_series`` and ``global_series_vertical`` are views of them.
+* ``us_series``        -- the places with a region, in the US file layout; stored by uid.
 * ``observation_log``  -- per (segment, nation, day) running counts of orders.
 
 Everything scans its whole table. The heavy steps are the first aggregation of
@@ -21,7 +22,7 @@ Everything scans its whole table. The heavy steps are the first aggregation of
 shuffling, so a place or customer holding a large share of rows costs no more
 than its partial aggregate. Everything after that is one row per place and day.
 
-The derived tables (daily event counts, places, series, observation log) are
+The derived tables (daily event counts, places, vertical and numbered series, observation log) are
 written once per session as Parquet below ``spark.checkpoint.dir`` and read back
 (see ``session.materialize``): each is small next to its source, every query
 reads it, and without this Catalyst would re-derive it per query branch (each
@@ -33,14 +34,15 @@ from __future__ import annotations
 
 import datetime as _dt
 import functools
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cumulus.operators.shapes import dense_ordinal, to_horizontal
-from cumulus.schemas import GLOBAL_IDS, US_IDS
-from cumulus.session import materialize
+from cumulus.operators.shapes import dense_ordinal, to_horizontal, to_vertical
+from cumulus.schemas import GLOBAL_IDS, GLOBAL_KEYS, US_IDS
+from cumulus.session import materialize, materialize_by_key
 
 # Fixed values of the derivation (documented in FIXTURES.md).
 N_COUNTRIES = 25            # country = NATION_(user_id mod 25)
@@ -254,8 +256,10 @@ def series_vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_memo
-def global_series(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Horizontal (region, country, latitude, longitude, counts) frames per measure.
+def numbered_series(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """ACTION (once per session and folder): the horizontal frames of the three measures with their row ``id``
+    (the rank by country and region), each stored by place key. Merges of them and windows per
+    place, also of the vertical rows exploded from them, need no exchange.
 
     ``deaths`` lacks NATION_1, and ``recovered`` has NATION_0's regions summed into
     one country-level row, so the three-way merge meets left-only, right-only and
@@ -263,23 +267,40 @@ def global_series(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """
     v = series_vertical(spark, sf_dir)
     cal = calendar(spark, sf_dir)
-    # confirmed and deaths come from one packing pass (a shared subtree, so a merge
-    # of the two reuses its shuffle); recovered needs its own grouping.
+    # confirmed and deaths come from one packing pass; recovered needs its own grouping.
     packed = to_horizontal(v, GLOBAL_IDS, ["confirmed", "deaths"], cal.start, cal.n_days)
-    confirmed = packed.select(*GLOBAL_IDS, F.col("confirmed").alias("counts"))
-    deaths = packed.where(F.col("country") != DROPPED_FROM_DEATHS).select(*GLOBAL_IDS, F.col("deaths").alias("counts"))
     collapsed = v.select(
         F.when(F.col("country") == COLLAPSED_IN_RECOVERED, F.lit(None)).otherwise(F.col("region")).alias("region"),
         "country", "latitude", "longitude", "date", "recovered",
     ).groupBy(*GLOBAL_IDS, "date").agg(F.sum("recovered").alias("recovered"))
     recovered = to_horizontal(collapsed, GLOBAL_IDS, "recovered", cal.start, cal.n_days)
-    return {"confirmed": confirmed, "deaths": deaths, "recovered": recovered}
+    # One numbering pass over the places of all three files.
+    both = packed.select(*GLOBAL_IDS, F.explode(F.array(
+        F.struct(F.lit("confirmed").alias("_file"), F.col("confirmed").alias("counts")),
+        F.when(F.col("country") != DROPPED_FROM_DEATHS, F.struct(F.lit("deaths").alias("_file"), F.col("deaths").alias("counts"))))).alias("_m"))
+    files = both.where("_m IS NOT NULL").select(*GLOBAL_IDS, "_m.*").unionByName(recovered.withColumn("_file", F.lit("recovered")))
+    numbered = dense_ordinal(files, "id", order_by=["country", "region"], within=["_file"])
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        stored = {m: pool.submit(materialize_by_key, numbered.where(F.col("_file") == m).select("id", *GLOBAL_IDS, "counts"),
+                                 f"series-{m}", GLOBAL_KEYS) for m in MEASURE_EVENTS}
+        return {m: f.result() for m, f in stored.items()}
+
+
+def global_series(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Horizontal (region, country, latitude, longitude, counts) frames per measure (see :func:`numbered_series`)."""
+    return {m: df.drop("id") for m, df in numbered_series(spark, sf_dir).items()}
+
+
+def global_series_vertical(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """One row per place and day (id, region, country, latitude, longitude, date, counts) per measure; narrow."""
+    start = calendar(spark, sf_dir).start
+    return {m: to_vertical(df, ["id", *GLOBAL_IDS], start, id_col=None) for m, df in numbered_series(spark, sf_dir).items()}
 
 
 @_memo
 def us_series(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Places with a region in the US file layout: ``confirmed`` without and ``deaths``
-    with population (the country row's)."""
+    """ACTION (once per session and folder): places with a region in the US file layout, stored by ``uid``:
+    ``confirmed`` without and ``deaths`` with population (the country row's)."""
     v = series_vertical(spark, sf_dir).where(F.col("region").isNotNull())
     cal = calendar(spark, sf_dir)
     # uid = 1,000,000 + the user's id (each province is one user): unique at any size.
@@ -295,9 +316,9 @@ def us_series(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "population", "date", "confirmed", "deaths",
     )
     packed = to_horizontal(ided, [*US_IDS, "population"], ["confirmed", "deaths"], cal.start, cal.n_days)
-    confirmed = packed.select(*US_IDS, F.col("confirmed").alias("counts"))
-    deaths = packed.select(*US_IDS, F.col("deaths").alias("counts"), "population")
-    return {"confirmed": confirmed, "deaths": deaths}
+    stored = materialize_by_key(packed, "us-series", ["uid"])
+    return {"confirmed": stored.select(*US_IDS, F.col("confirmed").alias("counts")),
+            "deaths": stored.select(*US_IDS, F.col("deaths").alias("counts"), "population")}
 
 
 @_memo
@@ -340,17 +361,15 @@ def observation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession, sf_dir: str) -> None:
-    """ACTION: derive and write the three input tables, as concurrent Spark jobs.
+    """ACTION: derive and write the input tables, as concurrent Spark jobs.
 
     They are independent, so they are submitted from three driver threads and
     share the cluster instead of running one after the other. Later calls of the
     builders return the written tables.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
     # places and the log start at once; the series waits for the daily counts and
     # the calendar, which it is built from.
     with ThreadPoolExecutor(max_workers=3) as pool:
-        futures = [pool.submit(fn, spark, sf_dir) for fn in (series_vertical, places, observation_log)]
+        futures = [pool.submit(fn, spark, sf_dir) for fn in (numbered_series, places, observation_log)]
         for f in futures:
             f.result()

@@ -17,7 +17,7 @@ from cumulus.operators.shapes import to_vertical_many
 from cumulus.plans import quarters, rates, trends
 from cumulus.schemas import GLOBAL_IDS
 from cumulus.sources.catalog import INPUT_FILES
-from cumulus.sources.csv import read_wide_csv
+from cumulus.sources.csv import read_wide_csv, read_wide_releases
 
 MENU = {
     1: "Global confirmed cases (unpacked)",
@@ -32,9 +32,10 @@ MENU = {
 }
 
 
-def series_start(spark: SparkSession, folder: str) -> _dt.date:
-    """First day of the global series in ``folder`` (read from its header line)."""
-    return read_wide_csv(spark, f"{folder.rstrip('/')}/{INPUT_FILES['global_confirmed']}").start_date
+def series_start(spark: SparkSession, folder: str, releases: bool = False) -> _dt.date:
+    """First day of the global series in ``folder`` (read from its header line, or those of its ``releases``)."""
+    path = f"{folder.rstrip('/')}/{INPUT_FILES['global_confirmed']}"
+    return (read_wide_releases(spark, path) if releases else read_wide_csv(spark, path)).start_date
 
 
 def menu_query(number: int, frames: dict[str, DataFrame], start_date: _dt.date, **options) -> DataFrame:

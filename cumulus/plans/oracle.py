@@ -470,4 +470,38 @@ FROM h_confirmed g JOIN places u ON g.country = u.country AND u.region IS NULL
 GROUP BY g.country"""
     q["csv_without_header"] = _with(PLACES, SERIES) + """
 SELECT country, region, date, confirmed FROM series_v"""
+    q["growth_hot_key"] = """
+SELECT *, o_custkey - lag(o_custkey) OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) AS o_custkey_growth
+FROM (SELECT o_orderstatus, o_orderdate, o_orderkey, o_custkey FROM orders) o"""
+    # The older release's middle third is one too high; it alone has NATION_2.
+    q["load_wide_releases"] = _with(PLACES, SERIES, cal2) + f"""
+, days AS (
+  SELECT v.*, CAST(datediff('day', cal.lo, v.date) AS BIGINT) AS i, cal2.n FROM v_confirmed v, cal, cal2
+),
+known AS (
+  SELECT region, country, latitude, longitude, i,
+         CASE WHEN country <> 'NATION_2' OR i < n // 3 THEN counts WHEN i < n - n // 3 THEN counts + 1 END AS v
+  FROM days
+)
+SELECT region, country, latitude, longitude, {_txt('list(v ORDER BY i)')} AS counts
+FROM known GROUP BY region, country, latitude, longitude"""
+    q["load_multi_line_csv"] = """
+SELECT doc_id, source, CAST(length(nullif(text, '')) AS BIGINT) AS n_chars, md5(nullif(text, '')) AS text_md5 FROM documents"""
+    q["wide_csv_round_trip"] = _with(PLACES, SERIES, cal2) + f"""
+SELECT m.country, m.latitude, m.longitude,
+       CASE WHEN m.confirmed IS NULL THEN {_txt('list_transform(range(n), lambda x: NULL)')} ELSE {_txt('m.confirmed')} END AS counts
+FROM merged m, cal2 WHERE m.region IS NULL"""
+    q["csv_single_file"] = q["global_count_vertical"]
+    cut = lambda c: (f"CASE WHEN length(CAST({c} AS VARCHAR)) > 8 THEN left(CAST({c} AS VARCHAR), 5) || '...' "
+                     f"ELSE coalesce(CAST({c} AS VARCHAR), 'NULL') END AS {c}")
+    log_columns = ["id", "observed_date", "region", "country", "last_updated", "confirmed", "deaths", "recovered"]
+    q["preview_log"] = _with(LOG) + f"""
+SELECT {', '.join(cut(c) for c in log_columns)}
+FROM (SELECT * FROM log ORDER BY id, region, country LIMIT 20) t"""
+    q["top_incidence"] = f"""
+SELECT * FROM ({q['incidence']}) i ORDER BY incidence DESC NULLS LAST, country LIMIT 10"""
+    q["death_rates_without_date"] = f"SELECT country, deaths, cases, death_rate FROM ({q['death_rates']}) d"
+    q["unmatched_countries"] = f"""
+SELECT DISTINCT l.country FROM ({q['clean_observation_log']}) l
+WHERE l.country NOT IN (SELECT n_name FROM nation)"""
     return q

@@ -141,6 +141,33 @@ def render_global_bad(spark: SparkSession, sf_dir: str) -> list[str]:
     return [main, edges]
 
 
+@_once
+def render_releases(spark: SparkSession, sf_dir: str) -> list[str]:
+    """ACTION (once per session): the confirmed series in two releases. The older has the first two thirds of the
+    days, those of the middle third still one too high; the newer has the last two thirds, its columns in another order and
+    one spelt otherwise, and lacks NATION_2."""
+    start, n_days = calendar_values(spark, sf_dir)
+    a, b = n_days // 3, n_days - n_days // 3
+    h = fx.global_series(spark, sf_dir)["confirmed"].select(*[F.col(c).alias(n) for c, n in zip(
+        ["region", "country", "latitude", "longitude"], GLOBAL_HEADER)], "counts")
+    older = h.withColumn("counts", F.transform(F.slice("counts", 1, b), lambda v, i: F.when(i >= a, v + 1).otherwise(v)))
+    newer = h.where(F.col(f"`{GLOBAL_HEADER[1]}`") != "NATION_2").withColumn("counts", F.slice("counts", a + 1, n_days)).withColumnRenamed(
+        GLOBAL_HEADER[0], "Province_State")
+    folders = [scratch_path(spark, f"release-{x}") for x in ("older", "newer")]
+    write_wide_csv(older, folders[0], GLOBAL_HEADER, "counts", start, b)
+    write_wide_csv(newer, folders[1], [GLOBAL_HEADER[1], "Province_State", *GLOBAL_HEADER[2:]], "counts", start + _dt.timedelta(days=a), n_days - a)
+    return folders
+
+
+@_once
+def render_documents(spark: SparkSession, sf_dir: str) -> str:
+    """ACTION (once per session): the documents table as one CSV file with line breaks inside its quoted texts."""
+    path = scratch_path(spark, "documents-csv")
+    write_csv(fx.table(spark, sf_dir, "documents").select("doc_id", "source", "text"), path, include_header=True, single_file=True,
+              quote_all=True)
+    return path
+
+
 def _write_us(spark: SparkSession, sf_dir: str, measure: str, path: str) -> None:
     start, n_days = calendar_values(spark, sf_dir)
     h = fx.us_series(spark, sf_dir)[measure]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -56,8 +57,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or folder
 
 
-#: Scratch tables handed out and not yet released.
+#: Scratch tables handed out and not yet released, and the catalogue names of those stored by key.
 _HELD: list[str] = []
+_TABLES: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -74,6 +76,8 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
     gone = list(_HELD if paths is None else paths)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in gone:
+        if path in _TABLES:
+            spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop(path)}")
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
         if path in _HELD:
@@ -112,3 +116,27 @@ def materialize(df, name: str):
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def materialize_by_key(df, name: str, keys, sort=(), buckets: int | None = None):
+    """ACTION: like :func:`materialize`, stored co-partitioned: rows are dealt by the hash of ``keys`` into
+    ``buckets`` files (the session's shuffle partitions by default), sorted by ``keys`` and ``sort``.
+
+    Tables stored with the same keys and bucket count meet without an exchange, in a join, in
+    a grouping of their union, and in a window partitioned by the keys. Spark keeps that
+    layout in its catalogue only, so the files get an external table in the default database of the
+    session catalogue (:func:`release` drops it with the files). The columns are stored under other names
+    and named back on reading: a table's own names carry its name as a qualifier, by which Spark
+    takes the keys of two tables for different ones. Column names must differ.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = f"spark_catalog.default.cumulus_{name.replace('-', '_')}_{path[-32:]}"
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = {c: f"{re.sub(r'[^A-Za-z0-9]', '_', c)}_{i}" for i, c in enumerate(df.columns)}
+    by, order = [stored[k] for k in keys], [stored[k] for k in (*keys, *sort)]
+    (df.toDF(*stored.values()).repartition(n, *by).write.format("parquet").option("path", path)
+     .bucketBy(n, *by).sortBy(*order).saveAsTable(table))
+    _TABLES[path] = table
+    held = spark.table(table)
+    return held.select(*[held[s].alias(c) for c, s in stored.items()])

@@ -5,12 +5,15 @@ from cumulus.sources.csv import (
     bad_lines,
     malformed_rows,
     read_lines,
+    read_records,
     read_table_csv,
     read_wide_csv,
+    read_wide_releases,
     tokenised_lines,
 )
 
-__all__ = ["WideFile", "bad_lines", "malformed_rows", "read_lines", "read_table_csv", "read_wide_csv", "tokenised_lines"]
+__all__ = ["WideFile", "bad_lines", "malformed_rows", "read_lines", "read_records", "read_table_csv", "read_wide_csv",
+           "read_wide_releases", "tokenised_lines"]
 
 
 def __getattr__(name):

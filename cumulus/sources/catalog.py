@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cumulus.operators import cleaning
-from cumulus.sources.csv import read_table_csv, read_wide_csv
+from cumulus.sources.csv import read_table_csv, read_wide_csv, read_wide_releases
 
 # File names of the seven inputs inside a data folder.
 INPUT_FILES = {
@@ -25,14 +25,16 @@ INPUT_FILES = {
 
 
 def load_all(spark: SparkSession, folder: str, files: dict[str, str] | None = None,
-             check_headers: bool = True) -> dict[str, DataFrame]:
+             check_headers: bool = True, releases: bool = False) -> dict[str, DataFrame]:
     """Typed frames of every input found under ``folder`` (a name may map to a file or folder).
 
     Keys: ``places``, ``global_confirmed`` / ``global_deaths`` / ``global_recovered``
     (horizontal), ``us_confirmed`` / ``us_deaths`` (horizontal; deaths with
     population), ``observation_log``. Series start dates come from the headers.
     With ``check_headers``, an input stored as several files whose headers differ
-    is rejected (see ``read_wide_csv``).
+    is rejected (see ``read_wide_csv``). With ``releases``, the series inputs may be folders of several
+    releases with other day columns: the newest value of each place and day is taken
+    (see ``read_wide_releases``; each series starts on its first day).
     """
     names = {**INPUT_FILES, **(files or {})}
     path = {k: f"{folder.rstrip('/')}/{v}" for k, v in names.items()}
@@ -41,6 +43,8 @@ def load_all(spark: SparkSession, folder: str, files: dict[str, str] | None = No
         "observation_log": cleaning.observation_log(read_table_csv(spark, path["observation_log"])),
     }
     def wide(key):
+        if releases:
+            return read_wide_releases(spark, path[key], keys=[0] if key.startswith("us_") else [0, 1])
         return read_wide_csv(spark, path[key], check_headers=check_headers)
 
     for m in ("confirmed", "deaths", "recovered"):

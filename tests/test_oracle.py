@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from conftest import SF_SMALL
 from cumulus.plans.catalog import QUERIES
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents".split()
 
 
 def norm(v):
