@@ -84,6 +84,13 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
             _HELD.remove(path)
 
 
+def release_frames(spark: SparkSession, *frames) -> None:
+    """ACTION: delete the scratch tables that ``frames`` read (as :func:`materialize` and
+    :func:`materialize_by_key` returned them), when nothing reads them any more."""
+    read = {f.rpartition("/")[0].rpartition("/")[2] for df in frames for f in df.inputFiles()}
+    release(spark, [p for p in _HELD if p.rpartition("/")[2] in read])
+
+
 @contextlib.contextmanager
 def releasing(spark: SparkSession):
     """Delete on leaving the block what was written to scratch inside it; write or collect
