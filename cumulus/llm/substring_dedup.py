@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cumulus.llm.common import free_shuffles, partitions, text_key
+from cumulus.llm.common import free_shuffles, partitions, small_batches, text_key
 from cumulus.llm.words import mix, run_hashes, word_hashes
 from cumulus.session import materialize, materialize_by_key, release_frames
 
@@ -199,21 +199,21 @@ def _passages(batches):
 
 
 def _passage_words(window: int):
-    """The words of the passages asked of a block's documents, once for every block that asks."""
+    """The words of the passages that point into a block's documents."""
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        wanted: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        for block, d, k, s, n in zip(*[asked[c].to_pylist() for c in ("for_block", "rd", "rk", "rstart", "n")], strict=True):
-            wanted.setdefault((d, k), []).append((block, s, n))
+        wanted: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for d, k, s, n in zip(*[asked[c].to_pylist() for c in ("rd", "rk", "rstart", "n")], strict=True):
+            wanted.setdefault((d, k), []).append((s, n))
         out: list[tuple] = []
         for d, k, text in zip(docs["d"].to_pylist(), docs["k"].to_pylist(), docs["text"], strict=True):
             spans = wanted.pop((d, k), None)
             if spans:
                 words = bytes(text.as_buffer()).split()
-                out += [(block, d, k, s, b" ".join(words[s:s + n + window - 1]).decode()) for block, s, n in spans]
+                out += [(d, k, s, n, b" ".join(words[s:s + n + window - 1]).decode()) for s, n in spans]
         columns = list(zip(*out, strict=True)) or [()] * 5
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                                    names=["block", "rd", "rk", "rstart", "words"])
+                                    names=["rd", "rk", "rstart", "n", "words"])
 
     return run
 
@@ -309,33 +309,36 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return frame.where("rd IS NULL").select(*_NAMES[:6]).repartition(n, "phrase").sortWithinPartitions(
             "phrase", "kind", "d", "k", "start").mapInArrow(_settle, _DDL)
 
-    # 1. Pointers, from hashes alone.
-    scanned = materialize(rows.select("d", "k", "text").mapInArrow(_anchor_rows(window), _DDL), "repeat-stretches")
-    stretches = materialize(settled(scanned).union(scanned.where("rd IS NOT NULL")), "repeat-settled")
-    release_frames(spark, scanned)
-    free_shuffles(spark)
-    dealt = materialize_by_key(rows.withColumn("block", block("d", "k")), "repeat-documents", ["block"], buckets=n)
-    free_shuffles(spark)
-    several = stretches.where("rd IS NULL").select(block("d", "k").alias("block"), "d", "k", "start", "n")
-    windows = materialize(dealt.groupBy("block").cogroup(several.groupBy("block")).applyInArrow(_window_rows(window), _DDL), "repeat-windows")
-    free_shuffles(spark)
-    pointers = stretches.where("rd IS NOT NULL").select(*pointer).union(windows.where("rd IS NOT NULL").select(*pointer)).union(
-        settled(windows).where("rd IS NOT NULL").select(*pointer))
-    proposed = materialize(pointers.repartition(n, "d", "k").sortWithinPartitions("d", "k", "start", "rd", "rk", "rstart").mapInArrow(
-        _passages, "d long, k long, rd long, rk long, rstart long, n long").select(
-        block("d", "k").alias("for_block"), block("rd", "rk").alias("block"), "rd", "rk", F.col("rstart").cast("int").alias("rstart"),
-        F.col("n").cast("int").alias("n")).distinct(), "repeat-proposed")
-    release_frames(spark, stretches, windows)
-    free_shuffles(spark)
-
-    # 2. Their words, from the earlier occurrence.
-    passages = materialize(dealt.groupBy("block").cogroup(proposed.groupBy("block")).applyInArrow(
-        _passage_words(window), "block int, rd long, rk long, rstart int, words string"), "repeat-passages")
-    release_frames(spark, proposed)
-
-    # 3. Automata over them, and all documents through the automata.
-    result = materialize(dealt.groupBy("block").cogroup(passages.groupBy("block")).applyInArrow(
-        _removed, "doc_id long, doc_key long, n_words long, n_removed long, kept_sha256 string, removed array<int>"), "repeat-result")
-    release_frames(spark, dealt, passages)
-    free_shuffles(spark)
+    with small_batches(spark):
+        # 1. Pointers, from hashes alone.
+        scanned = materialize(rows.select("d", "k", "text").mapInArrow(_anchor_rows(window), _DDL), "repeat-stretches")
+        stretches = materialize(settled(scanned).union(scanned.where("rd IS NOT NULL")), "repeat-settled")
+        release_frames(spark, scanned)
+        free_shuffles(spark)
+        dealt = materialize_by_key(rows.withColumn("block", block("d", "k")), "repeat-documents", ["block"], buckets=n)
+        free_shuffles(spark)
+        several = stretches.where("rd IS NULL").select(block("d", "k").alias("block"), "d", "k", "start", "n")
+        windows = materialize(dealt.groupBy("block").cogroup(several.groupBy("block")).applyInArrow(_window_rows(window), _DDL), "repeat-windows")
+        free_shuffles(spark)
+        pointers = stretches.where("rd IS NOT NULL").select(*pointer).union(windows.where("rd IS NOT NULL").select(*pointer)).union(
+            settled(windows).where("rd IS NOT NULL").select(*pointer))
+        proposed = materialize(pointers.repartition(n, "d", "k").sortWithinPartitions("d", "k", "start", "rd", "rk", "rstart").mapInArrow(
+            _passages, "d long, k long, rd long, rk long, rstart long, n long").select(
+            block("d", "k").alias("block"), "rd", "rk", F.col("rstart").cast("int").alias("rstart"), F.col("n").cast("int").alias("n")).distinct(),
+            "repeat-proposed")
+        release_frames(spark, stretches, windows)
+        free_shuffles(spark)
+
+        # 2. Their words, once each from the earlier occurrence, then to every block they were proposed for.
+        place = ["rd", "rk", "rstart", "n"]
+        asked = proposed.select(*place).distinct().withColumn("block", block("rd", "rk"))
+        words = materialize(dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(
+            _passage_words(window), "rd long, rk long, rstart int, n int, words string"), "repeat-passages")
+        passages = proposed.join(words, place).select("block", "rd", "rk", "rstart", "words")
+
+        # 3. Automata over them, and all documents through the automata.
+        result = materialize(dealt.groupBy("block").cogroup(passages.groupBy("block")).applyInArrow(
+            _removed, "doc_id long, doc_key long, n_words long, n_removed long, kept_sha256 string, removed array<int>"), "repeat-result")
+        release_frames(spark, dealt, proposed, words)
+        free_shuffles(spark)
     return result.withColumnRenamed("doc_id", id_col)
