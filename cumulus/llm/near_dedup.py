@@ -26,9 +26,9 @@ from cumulus.llm.common import text_key
 from cumulus.llm.words import run_hashes, word_hashes
 from cumulus.session import materialize
 
-#: A pair of similarity 0.8 shares one of 25 bands of 4 registers but for 2 in a million.
-BANDS, ROWS = 25, 4
-REGISTERS = BANDS * ROWS
+REGISTERS = 100
+#: The most that a pair at the threshold may miss every band with (2 in a million at a similarity of 0.8).
+MISS = 3e-6
 #: SetSketch parameters: base, rate and truncation (16-bit registers).
 B, RATE, LEVELS = 1.001, 20.0, 65534
 #: Similarity below the threshold that the joint estimate may be off by (about five standard errors).
@@ -38,6 +38,16 @@ _SEEDS = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, siz
 _SEEDS[1] |= np.uint64(1)
 
 
+def bands_for(percent: int) -> tuple[int, int]:
+    """Bands and rows a band for a threshold: the longest bands that a pair at the threshold misses with at most ``MISS``
+    (more similar pairs with less): 25 x 4 at 80 percent, 33 x 3 at 70, 50 x 2 at 50."""
+    for rows in range(REGISTERS, 0, -1):
+        bands = REGISTERS // rows
+        if (1 - (percent / 100) ** rows) ** bands <= MISS:
+            return bands, rows
+    raise ValueError(f"{REGISTERS} registers do not find pairs of a similarity of {percent} percent")
+
+
 def shingle_set(text: bytes, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of k words (A-Z lower-cased); a shorter text is one run."""
     words = word_hashes(text.lower())
@@ -180,8 +190,9 @@ def components(links: DataFrame) -> DataFrame:
 def near_components(classes: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """ACTION: (nid, component) of the linked classes: every pair at the threshold that shares a
     bucket is linked, directly or through others; pairs that are connected already are not compared."""
-    banded = classes.select("nid", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(
-        i.alias("band"), F.xxhash64(F.substring(F.col("sketch"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("hash")))).alias("_b")
+    bands, per_band = bands_for(percent)
+    banded = classes.select("nid", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(
+        i.alias("band"), F.xxhash64(F.substring(F.col("sketch"), i * (2 * per_band) + 1, F.lit(2 * per_band))).alias("hash")))).alias("_b")
     ).select("nid", "_b.band", "_b.hash")
     sizes = banded.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(banded.join(sizes, ["band", "hash"]), "near-members")
@@ -278,7 +289,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
                     percent: int = 80) -> DataFrame:
     """ACTION: components of documents linked by 100 * intersection >= percent * union of their
-    sets of distinct k-word shingles.
+    sets of distinct k-word shingles. The bands follow from ``percent`` (:func:`bands_for`); below 12 it raises.
 
     Words are runs without ASCII white space, A-Z lower-cased; a text of fewer than k words is one shingle. Whole texts
     are read. Returns per input row: the id, ``n_shingles``, ``component_id`` (smallest id reachable, its own
