@@ -165,7 +165,8 @@ ORACLE_SQL = {
     "op5_url_filter": rf"""
         WITH p AS (
           SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 365 AS INTEGER) AS fetched_at,
-                 nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host,
+                 nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[\]]+)', 1)),
+                        '\.$', ''), '') AS host,
                  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) AS path
           FROM (SELECT DISTINCT page_id, url FROM pages)),
         h AS (SELECT value, CAST('0x' || substr(md5(value), 1, 7) AS INTEGER) AS n
@@ -185,7 +186,8 @@ ORACLE_SQL = {
                  CASE i.kind WHEN 'domain' THEN len(string_split(i.value, '.')) WHEN 'host' THEN 1000
                              ELSE 2000 + len(string_split(i.value, '/')) - 1 END AS depth
           FROM p JOIN i ON p.fetched_at >= i.valid_from AND p.fetched_at < i.valid_to AND (
-            (i.kind = 'host' AND i.value = p.host) OR (i.kind = 'domain' AND (i.value = p.host OR ends_with(p.host, '.' || i.value)))
+            (i.kind = 'host' AND i.value = p.host)
+            OR (i.kind = 'domain' AND (i.value = p.host OR (ends_with(p.host, '.' || i.value) AND NOT starts_with(p.host, '['))))
             OR (i.kind = 'path' AND starts_with(p.host || p.path || '/', i.value || '/'))))
         SELECT p.page_id, p.url, p.fetched_at, p.host, count(m.entry) AS n_active,
                CASE WHEN p.host IS NULL THEN 'invalid'

@@ -4,10 +4,11 @@ A list's history is a log of dated entries (a host, a domain or a path prefix, a
 removed). Entries become validity intervals; a capture is judged by the entries
 active when it was fetched, so a later list does not change an earlier verdict.
 
-A capture asks for few exact keys (its host, the host's parent domains, the path cut
-at every slash), so the as-of join is an equality join on the key with an interval
-condition. Only keys that some list names meet a capture; adaptive execution splits
-the join on a host that a third of all captures share.
+A capture asks for few exact keys: its host, the host's parent domains, and its path cut at the
+lengths that the lists name for that host. So the as-of join is an equality join on the key with an interval
+condition, and the work is linear in a URL's length, however many slashes it has. Only keys
+that some list names meet a capture; adaptive execution splits
+the joins on a host that a third of all captures share.
 """
 
 from __future__ import annotations
@@ -17,6 +18,18 @@ from pyspark.sql import functions as F
 
 #: What an entry may name, from least to most specific.
 KINDS = ("domain", "host", "path")
+#: Fixed value: characters of a domain name at most; a longer entry names no domain.
+DOMAIN_CHARS = 253
+_AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?"
+
+
+def _entry_value():
+    """An entry's value as captures ask for it: host names in lower case and without a trailing dot; a path
+    entry (host, path) without closing slashes, its path as it stands."""
+    host = F.regexp_replace(F.lower(F.substring_index("value", "/", 1)), r"\.$", "")
+    path = F.regexp_replace(F.regexp_extract("value", r"^[^/]*(/.*)$", 1), "/+$", "")
+    named = F.regexp_replace(F.lower("value"), r"\.$", "")
+    return F.nullif(F.when(F.col("kind") == "path", F.concat(host, path)).otherwise(named), F.lit(""))
 
 
 def validity_intervals(entries: DataFrame) -> DataFrame:
@@ -24,12 +37,13 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
 
     An ``add`` opens an interval and the next ``remove`` of the same list, kind and value closes it;
     it stays open (null) without one. Repeated adds and removes change nothing. On the same date a remove
-    counts before an add. Entries with a null in any field are left out. Values are
-    compared in lower case, but for paths.
+    counts before an add. Entries with a null in any field are left out, and domains of more than
+    ``DOMAIN_CHARS`` characters, which no host can lie in. Values are compared in lower case, but for the path
+    after a host; closing slashes of a path and a closing dot of a host do not count. An IPv6 host is written in brackets.
     """
-    clean = entries.select("list", "kind", F.when(F.col("kind") == "path", F.col("value")).otherwise(
-        F.lower("value")).alias("value"), "action", "at").dropna().where(
-        F.col("kind").isin(*KINDS) & F.col("action").isin("add", "remove")).distinct()
+    clean = entries.select("list", "kind", _entry_value().alias("value"), "action", "at").dropna().where(
+        F.col("kind").isin(*KINDS) & F.col("action").isin("add", "remove")
+        & ((F.col("kind") != "domain") | (F.length("value") <= DOMAIN_CHARS))).distinct()
     of_entry = Window.partitionBy("list", "kind", "value").orderBy("at", F.col("action").desc())
     turns = clean.withColumn("_last", F.lag("action").over(of_entry)).where(
         ~F.col("action").eqNullSafe(F.col("_last")) & ~((F.col("action") == "remove") & F.col("_last").isNull()))
@@ -39,8 +53,9 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
 
 
 def url_host(url):
-    """Lower-case host of an absolute URL without user, port and trailing dot; null if there is none."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
+    """Lower-case host of an absolute URL without user, port and trailing dot; null if there is none. An
+    IPv6 address stands whole, in its brackets."""
+    host = F.lower(F.regexp_extract(url, _AUTHORITY + r"(\[[^\]/?#@]*\]|[^/?#:@\[\]]+)", 1))
     return F.nullif(F.regexp_replace(host, r"\.$", ""), F.lit(""))
 
 
@@ -50,17 +65,27 @@ def url_path(url):
     return F.when(path == "", "/").otherwise(path)
 
 
-def capture_keys(host, path):
-    """Array of (kind, value, depth): the host, its parent domains, and the path at every slash."""
-    labels, parts = F.split(host, r"\."), F.split(F.regexp_replace(path, r"^/|/$", ""), "/")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(
+def host_keys(host):
+    """Array of (kind, value, depth): the host and its parent domains, at most ``DOMAIN_CHARS`` long. An
+    address in brackets has no parents."""
+    labels = F.split(host, r"\.")
+    first = F.greatest(F.lit(1), F.size(labels) - DOMAIN_CHARS // 2)
+    domains = F.filter(F.transform(F.sequence(first, F.size(labels)), lambda i: F.struct(
         F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("value"),
-        (F.size(labels) - i + 1).alias("depth")))
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(
-        F.lit("path").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")).alias("value"),
-        (F.lit(2000) + i).alias("depth")))
+        (F.size(labels) - i + 1).alias("depth"))), lambda k: F.length(k["value"]) <= DOMAIN_CHARS)
+    whole = F.array(F.struct(F.lit("domain").alias("kind"), host.alias("value"), F.lit(1).alias("depth")))
     own = F.array(F.struct(F.lit("host").alias("kind"), host.alias("value"), F.lit(1000).alias("depth")))
-    return F.concat(domains, own, prefixes)
+    return F.concat(F.when(host.startswith("["), whole).otherwise(domains), own)
+
+
+def path_keys(host, path, lengths):
+    """Array of (kind, value, depth) for the listed ``lengths``: the host and path cut there, where a slash or the end follows."""
+    whole = F.concat(host, F.regexp_replace(path, "/$", ""))
+    cut = lambda n: F.substring(whole, F.lit(1), n)
+    ends = lambda n: (n == F.length(whole)) | (F.substring(whole, n + 1, F.lit(1)) == "/")
+    return F.transform(F.filter(lengths, lambda n: (n <= F.length(whole)) & ends(n)), lambda n: F.struct(
+        F.lit("path").alias("kind"), cut(n).alias("value"),
+        (F.lit(2000) + F.length(cut(n)) - F.length(F.translate(cut(n), "/", ""))).alias("depth")))
 
 
 def asof_verdicts(captures: DataFrame, intervals: DataFrame, id_col: str = "page_id", url_col: str = "url",
@@ -76,9 +101,14 @@ def asof_verdicts(captures: DataFrame, intervals: DataFrame, id_col: str = "page
     """
     given = captures.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(time_col).alias("_at")).distinct()
     split = given.select("*", url_host(F.col("_url")).alias("host"), url_path(F.col("_url")).alias("_path"))
-    asked = split.where(F.col("host").isNotNull()).select(
-        "_id", "_url", "_at", F.explode(capture_keys(F.col("host"), F.col("_path"))).alias("_k")).select(
-        "_id", "_url", "_at", F.col("_k.kind").alias("kind"), F.col("_k.value").alias("value"), "_k.depth")
+    hosted = split.where(F.col("host").isNotNull())
+    # Different lengths of a host's listed paths: at most as many as a path has characters.
+    listed = intervals.where("kind = 'path'").groupBy(F.substring_index("value", "/", 1).alias("host")).agg(
+        F.collect_set(F.length("value")).alias("_lengths"))
+    keys = hosted.select("_id", "_url", "_at", F.explode(host_keys(F.col("host"))).alias("_k")).union(
+        hosted.join(listed, "host").select("_id", "_url", "_at", F.explode(
+            path_keys(F.col("host"), F.col("_path"), F.col("_lengths"))).alias("_k")))
+    asked = keys.select("_id", "_url", "_at", F.col("_k.kind").alias("kind"), F.col("_k.value").alias("value"), "_k.depth")
     active = asked.join(intervals, ["kind", "value"]).where(
         (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to"))))
     blocks = F.when(F.col("list") == allow_list, 0).otherwise(1)
