@@ -49,10 +49,10 @@ def _pairs(word: Column) -> Column:
 
 def corpus_words(docs: DataFrame, text_col: str = "text", min_docs: int = DICTIONARY_DOCS) -> DataFrame:
     """ACTION: the dictionary, (word, n_docs): lower-case words of letters only that occur in
-    ``min_docs`` documents or more, counted over all documents; partial counts before the shuffle."""
+    ``min_docs`` documents or more, counted over all documents; partial counts before the shuffle. A run of letters
+    of any length is a word, so scripts without blanks have theirs; one letter is none."""
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}]+"))).alias("word"))
-    # A longer run of letters is no word of any language; this also keeps keys out of the counts.
-    return materialize(words.where(F.length("word").between(2, 40)).groupBy("word").agg(
+    return materialize(words.where(F.length("word") >= 2).groupBy("word").agg(
         F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs), "secret-words")
 
 
@@ -140,25 +140,29 @@ def scan(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     """ACTION (counts the corpus's words, trains the forest): score every candidate of every document.
 
     ``labelled`` has the findings' ``candidate``, ``before2``, ``before``, ``after``, ``path``, ``quoted`` (as
-    :func:`candidates` gives them) and ``label`` (1 secret, 0 false positive, null: unlabelled, left out). At most
-    about ``train_rows`` of each class, chosen by hash, are fitted. Returns the candidates' columns
+    :func:`candidates` gives them) and ``label`` (1 secret, 0 false positive, null: unlabelled, left out). Equal
+    findings are fitted once, weighted by their number; at most about ``train_rows`` different ones of each class, chosen
+    by hash, and one at least. Returns the candidates' columns
     with ``probability`` and ``is_secret`` (0.5 or more). With labels of one class
     only, every candidate has that class; without any label, probability is 0. Repeated rows give repeated findings.
     """
     words = corpus_words(docs, text_col)
     transitions = transition_scores(words)
-    known = materialize(labelled.where("label IN (0, 1)").select(
-        "path", "candidate", "before2", "before", "after", "quoted", F.col("label").cast("int").alias("label")), "secret-labels")
-    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    named = ["path", "candidate", "before2", "before", "after", "quoted"]
+    known = materialize(labelled.where("label IN (0, 1)").groupBy(*named, F.col("label").cast("int").alias("label")).agg(
+        F.count(F.lit(1)).cast("double").alias("weight")).withColumn("_u", uniform(seed, *[F.col(c) for c in named])), "secret-labels")
+    counts = {r["label"]: (r["n"], r["least"]) for r in known.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.min("_u").alias("least")).collect()}
     found = candidates(docs, id_col, text_col, path_col)
     keep = [c for c in found.columns if c != "doc_key"]
     if len(counts) < 2:
         only = float(next(iter(counts), 0))
         return found.select(*keep, F.lit(only).alias("probability"), F.lit(only >= 0.5).alias("is_secret"))
-    share = F.when(F.col("label") == 1, F.lit(min(1.0, train_rows / counts[1]))).otherwise(F.lit(min(1.0, train_rows / counts[0])))
-    sample = known.where(uniform(seed, *[F.col(c) for c in ("candidate", "before2", "before", "after", "path")]) < share)
-    ready = materialize(features(sample, words, transitions).select("features", "label"), "secret-train")
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label").fit(ready)
+    # The share of a class, or its finding of the least hash if that is larger.
+    below = {c: max(train_rows / n, math.nextafter(least, 2.0)) for c, (n, least) in counts.items()}
+    sample = known.where(F.col("_u") < F.when(F.col("label") == 1, F.lit(below[1])).otherwise(F.lit(below[0])))
+    ready = materialize(features(sample, words, transitions).select("features", "label", "weight"), "secret-train")
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", weightCol="weight").fit(ready)
     scored = forest.transform(features(found, words, transitions))
     probability = vector_to_array("probability")[1]
     return scored.select(*keep, probability.alias("probability"), (probability >= 0.5).alias("is_secret"))
