@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 UNKNOWN = "und"
 BITS = 14
@@ -214,9 +215,9 @@ def predict(docs: DataFrame, model: LanguageModel, keep=("doc_id",), text_col: s
     at = keep.index(text_col) if text_col in keep else len(keep)  # the text is sent once
     sent = list(dict.fromkeys([*keep, text_col]))
     cols = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(sent)])
-    kept = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
-    out = cols.mapInArrow(_predict(model, at, len(keep), margin),
-                          ", ".join([*kept, "lang_pred string", "score double", "rejected boolean"]))
+    schema = StructType([StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
+                        + [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
+    out = cols.mapInArrow(_predict(model, at, len(keep), margin), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *added)
 
 

@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from cumulus.llm.common import partitions, text_key
 from cumulus.session import materialize
@@ -145,6 +146,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     doc_id = F.col(f"c{names.index(id_col)}").cast("long")
     joined = rows.join(bitmaps, doc_id.eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_doc_key")), "left").select(
         *[f"c{i}" for i in range(len(names))], "keep_bitmap")
-    kept = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)]
-    out = joined.mapInArrow(_apply(names.index(text_col), len(names)), ", ".join([*kept, "n_lines long", "n_dropped long"]))
+    schema = StructType([StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(names)]
+                        + [StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
+    out = joined.mapInArrow(_apply(names.index(text_col), len(names)), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "n_lines", "n_dropped")
