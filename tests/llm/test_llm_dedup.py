@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cumulus.llm.common import ship
 from cumulus.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from cumulus.llm.line_dedup import apply_bitmaps, line_bitmaps
-from cumulus.llm.near_dedup import components, joint_estimate, near_duplicates, shingle_set, sketches
+from cumulus.llm.near_dedup import MISS, REGISTERS, bands_for, components, joint_estimate, near_duplicates, shingle_set, sketches
 from cumulus.llm.substring_dedup import repeated_passages
 from cumulus.llm.words import word_hashes
 
@@ -184,7 +184,28 @@ def plain_components(rows, k, percent):
     return out
 
 
-@pytest.mark.parametrize("k, percent", [(4, 80), (5, 70)])
+def test_bands_follow_the_threshold():
+    assert bands_for(80) == (25, 4)
+    for percent in (100, 95, 80, 70, 60, 50, 30, 12):
+        bands, rows = bands_for(percent)
+        assert bands * rows <= REGISTERS and (1 - (percent / 100) ** rows) ** bands <= MISS
+    with pytest.raises(ValueError):
+        bands_for(11)
+
+
+def test_pairs_just_above_a_low_threshold(spark):
+    rows = []
+    for i in range(300):  # two of three shingles are shared: a similarity of 0.5 and a little
+        a = [f"{i}x{j}" for j in range(64)]
+        b = a[:44] + [f"{i}y{j}" for j in range(20)]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    sets = [set(t.split()) for _, t in rows[:2]]
+    assert 50 <= 100 * len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 55
+    got = near_duplicates(frame(spark, rows), k=1, percent=50).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in got)
+
+
+@pytest.mark.parametrize("k, percent", [(4, 80), (5, 70), (3, 50)])
 def test_near_duplicates(spark, k, percent):
     rows = corpus(3) + [(None, "only row of its words"), (None, None)]
     got = near_duplicates(frame(spark, rows, clash=True), k=k, percent=percent).collect()

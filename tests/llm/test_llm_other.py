@@ -5,6 +5,7 @@ import collections
 import datetime as dt
 import random
 import string
+import time
 import zlib
 
 import duckdb
@@ -17,7 +18,7 @@ import corpus_pipeline
 from cumulus.llm import language_id, mixing
 from cumulus.llm.common import ship
 from cumulus.llm.packing import default_tokenizer, pack_documents, pack_histogram, token_bytes
-from cumulus.llm.secret_scan import candidates, scan
+from cumulus.llm.secret_scan import candidates, corpus_words, scan
 from cumulus.llm.topk_search import integer_vectors, top_k
 from cumulus.llm.url_filter import asof_verdicts, validity_intervals
 
@@ -251,6 +252,34 @@ def test_url_lists(spark):
     assert asof_verdicts(captures.limit(0), spans).count() == 0 and asof_verdicts(captures, spans.limit(0)).where("n_active > 0").count() == 0
 
 
+def test_url_addresses_long_urls_and_entry_spellings(spark):
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
+    entries = spark.createDataFrame([("bad", k, v, "add", day(0)) for k, v in [
+        ("host", "[2001:DB8::1]"), ("domain", "1"), ("domain", "db8::1]"), ("path", "A.Example.com/Dir/"), ("path", "b.com/"),
+        ("path", "[2001:db8::2]/x"), ("path", "deep.com/" + "s/" * 4000 + "end"), ("domain", "x." * 200 + "com"), ("host", "dot.com."),
+        ("path", ""), ("host", "h" * 300 + ".com"), ("domain", "com.")]],
+        "list string, kind string, value string, action string, at date")
+    spans = validity_intervals(entries).cache()
+    assert {r.value for r in spans.where("kind = 'path'").collect()} == {
+        "a.example.com/Dir", "b.com", "[2001:db8::2]/x", "deep.com/" + "s/" * 4000 + "end"}
+    assert spans.where("kind = 'domain' AND length(value) > 253").count() == 0
+    long = "http://deep.com/" + "s/" * 500_000  # 1 MB
+    cases = [("http://[2001:db8::1]/", "[2001:db8::1]", "blocked", 1), ("http://[2001:db8::1]:8080/x", "[2001:db8::1]", "blocked", 1),
+             ("http://[2001:ffff::9]/", "[2001:ffff::9]", "allowed", 0), ("http://u@[2001:DB8::2]/x/y", "[2001:db8::2]", "blocked", 1),
+             ("http://[::ffff:1.2.3.1]/", "[::ffff:1.2.3.1]", "allowed", 0), ("http://1.2.3.1/", "1.2.3.1", "blocked", 1),
+             ("http://a.example.net/Dir/", "a.example.net", "allowed", 0), ("http://a.example.com/Dir", "a.example.com", "blocked", 2),
+             ("http://A.example.com/Dir/x?q", "a.example.com", "blocked", 2), ("http://a.example.com/dir", "a.example.com", "blocked", 1),
+             ("http://a.example.com/Directory", "a.example.com", "blocked", 1), ("http://b.com/", "b.com", "blocked", 2), ("http://b.com", "b.com", "blocked", 2),
+             (long, "deep.com", "blocked", 1), ("http://deep.com/" + "s/" * 4000 + "end/" + "t/" * 1000, "deep.com", "blocked", 2),
+             ("http://dot.com./", "dot.com", "blocked", 2), ("http://" + "x." * 50_000 + "com/", "x." * 50_000 + "com", "blocked", 1),
+             ("http://" + "h" * 300 + ".com/", "h" * 300 + ".com", "blocked", 2), ("http://[broken/", None, "invalid", 0)]
+    captures = spark.createDataFrame([(i, u, day(1)) for i, (u, *_) in enumerate(cases)], "page_id long, url string, fetched_at date")
+    began = time.time()
+    got = {r.page_id: (r.host, r.verdict, r.n_active) for r in asof_verdicts(captures, spans).collect()}
+    assert got == {i: (h, v, n) for i, (_, h, v, n) in enumerate(cases)}
+    assert time.time() - began < 60
+
+
 # ---- secrets ------------------------------------------------------------------
 
 def test_secret_scan(spark):
@@ -282,6 +311,24 @@ def test_secret_scan(spark):
     assert scan(docs.limit(0), labelled.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("train_rows", [1, 5, 20, 20_000])
+def test_secret_scan_of_many_copies(spark, train_rows):
+    key = "0123456789abcdef" * 2
+    rows = [(i, f'token = "{key}" x' if i % 2 else "a plainrunoflettersonly b", "s") for i in range(120)]
+    rows += [(200 + i, f"other plainrunofletters{'abcdefgh'[i % 8] * (1 + i)} c", "s") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = candidates(docs)
+    labelled = found.withColumn("label", F.when(F.col("candidate") == key, 1).otherwise(0))
+    got = scan(docs, labelled, train_rows=train_rows).collect()
+    assert len(got) == 150 and all(r.is_secret == (r.candidate == key) for r in got)
+
+
+def test_dictionary_takes_words_of_any_length(spark):
+    long = "ช" * 90
+    docs = spark.createDataFrame([(i, f"{long} short a" if i % 2 else long) for i in range(6)], "doc_id long, text string")
+    assert {r.word: r.n_docs for r in corpus_words(docs).collect()} == {long: 6, "short": 3}
+
+
 def test_secret_candidates_of_one_word(spark):
     a, b, c = "AKIA" + "Q7" * 8, "wJalrXUtnFEMI/K7MDENG", "f" * 15 + "0"
     path = "com/a/long/path/of/words"
@@ -411,6 +458,26 @@ def test_pipeline_keeps_one_row_of_each_near_duplicate(spark):
         [(1, a, "s1"), (5, c, "s1"), (7, b, "s1"), (9, d + " x", "s1"), (11, "", "s1"), (11, "", "s1"), (12, None, "s1")], key=str)
 
 
+def test_pipeline_leaves_given_columns_alone(spark):
+    clash = {"score": -5.0, "lang_pred": "x", "rejected": True, "n_lines": -7, "n_dropped": -8, "size": -9, "taken": -1, "words": -3, "shard": -2,
+             "copy": -4, "source_size": 1, "target": 2, "placements": 3, "given": 4, "row": 5, "c0": 6, "keep_bitmap": "k", "a.b": "dotted"}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("*", *[F.lit(v).alias(c) for c, v in clash.items()])
+    (_, language), (_, lines), (_, near), (_, mixed), (_, packed) = corpus_pipeline.STAGES
+    for stage in (language, lines, near, mixed):
+        docs = stage(spark, docs, SF)
+        assert docs.columns[-len(clash):] == list(clash)
+        docs = docs.cache()
+        assert docs.count() > 0 and docs.select(*[F.col(f"`{c}`") for c in clash]).distinct().collect() == [tuple(clash.values())]
+    assert packed(spark, docs, SF).count() > 0
+
+
+def test_pipeline_stages_of_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+
+
 def test_every_query_is_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
