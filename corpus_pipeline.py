@@ -21,25 +21,33 @@ from cumulus.session import materialize
 SHINGLE, PERCENT = 5, 80
 
 
-def _like(given: DataFrame, rows: DataFrame) -> DataFrame:
-    """The columns of ``given``, with the length of the new text where there is one."""
-    length = {"n_chars": F.char_length("text").cast("long")} if "n_chars" in given.columns else {}
-    return rows.withColumns(length).select(*given.columns)
+def _packed(docs: DataFrame) -> DataFrame:
+    """The columns that the stages work on, and every given column but the text once more in the struct ``given``: an
+    operator's own columns cannot touch those, whatever they are called."""
+    return docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("given"))
+
+
+def _given(docs: DataFrame, rows: DataFrame, new_text: bool = False) -> DataFrame:
+    """The columns of ``docs`` from ``rows``, the length too brought up to date with ``new_text``."""
+    new = {"text": F.col("text")} | ({"n_chars": F.char_length("text").cast("long")} if new_text else {})
+    return rows.select(*[new.get(c, F.col("given")[c]).alias(c) for c in docs.columns])
 
 
 @shipped
 def identify_language(spark, docs, sf_dir):
     """Documents that the language model rejects go: null texts, texts without a letter, and texts
-    whose cosine is below the floor of their language and length by a margin. The others stay as they are."""
+    whose cosine is below the floor of their language and length by a margin. The others stay as they are, with all
+    given columns, also those called like the model's."""
     model = language_id.fit(language_id.train_rows(docs))
-    judged = language_id.predict(docs, model, keep=docs.columns)
-    return judged.where(~F.col("rejected")).select(*docs.columns)
+    judged = language_id.predict(_packed(docs), model, keep=["given", "text"])
+    return _given(docs, judged.where(~F.col("rejected")))
 
 
 @shipped
 def drop_common_lines(spark, docs, sf_dir):
-    """Lines found in ten documents or more go from every text; all documents stay."""
-    return _like(docs, apply_bitmaps(docs, line_bitmaps(docs, min_docs=10, min_chars=1)))
+    """Lines found in ten documents or more go from every text; all documents and their other columns stay."""
+    rows = _packed(docs).select("doc_id", "text", "given")
+    return _given(docs, apply_bitmaps(rows, line_bitmaps(rows, min_docs=10, min_chars=1)), new_text=True)
 
 
 @shipped
@@ -51,8 +59,10 @@ def drop_near_duplicates(spark, docs, sf_dir):
 
 @shipped
 def mix_sources(spark, docs, sf_dir):
-    """Every source takes its target share: documents are left out or repeated, at most three times."""
-    return _like(docs, mixed_documents(mix(docs, ["doc_id", text_key()], size=word_count())))
+    """Every source takes its target share: documents are left out or repeated, at most three times, with
+    their other columns as they are."""
+    rows = _packed(docs).select("doc_id", "text", "source", "given")
+    return _given(docs, mixed_documents(mix(rows, ["doc_id", text_key()], size=word_count())), new_text=True)
 
 
 @shipped
