@@ -3,6 +3,7 @@
 import base64
 import collections
 import datetime as dt
+import math
 import random
 import string
 import time
@@ -157,6 +158,51 @@ def test_split_quotas_are_exact_and_even(spark):
     assert len(drawn) == 16 and sum(drawn) == 4000 and 5 < np.std(drawn) < 25  # sqrt(750 * 1/3 * 2/3 * 11250/11999) = 12.5
 
 
+def test_shares_follow_the_hypergeometric_distribution(spark):
+    n = 100_000
+    for rest, room, draws in [(40, 20, 11), (60, 10, 50), (1000, 300, 200), (5000, 4990, 100)]:
+        share = mixing._share(str(rest), str(room), str(draws), "id, 'test'")
+        got = {r.x: r["count"] for r in spark.range(n).select(F.expr(share).alias("x")).groupBy("x").count().collect()}
+        log = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+        lo, hi = max(0, room + draws - rest), min(room, draws)
+        want = {k: n * math.exp(log(room, k) + log(rest - room, draws - k) - log(rest, draws)) for k in range(lo, hi + 1)}
+        assert lo <= min(got) and max(got) <= hi
+        often = [k for k, w in want.items() if w > 5]
+        chi2 = sum((got.get(k, 0) - want[k]) ** 2 / want[k] for k in often)
+        assert chi2 < len(often) + 5 * (2 * len(often)) ** 0.5
+
+
+def test_split_of_large_quotas_and_many_sources(spark):
+    # a quota of two million draws, and 20,000 sources
+    quotas = spark.createDataFrame([(1, 2_000_000)] + [(i, i % 5) for i in range(2, 20_002)], "src int, n int")
+    got = mixing.split_quotas(quotas, 5).cache()
+    per = {r.src: r.n for r in got.groupBy("src").agg(F.sum("n").alias("n")).collect()}
+    assert per == {1: 2_000_000} | {i: i % 5 for i in range(2, 20_002) if i % 5}
+    sizes = [r.n for r in got.groupBy("shard").agg(F.sum("n").alias("n")).collect()]
+    assert len(sizes) == 32 and max(sizes) - min(sizes) <= 5
+    hot = [r.n for r in got.where("src = 1").collect()]
+    assert 20 < np.std(hot) < 70  # sqrt(63750 * 0.98 * 0.02 * 0.97) is some 35
+    assert mixing.split_quotas(quotas.limit(0), 5).count() == 0
+
+
+def test_mix_of_many_sources_in_blocks_of_a_stated_size(spark):
+    # 100,000 small sources and one with half of all words; no group of (source, block) is much above a block
+    small = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.lpad("id", 6, "0")).alias("source"), (1 + F.col("id") % 19).alias("size"))
+    hot = spark.range(100_000, 200_000).select(F.col("id").alias("doc_id"), F.lit("hot").alias("source"), F.lit(10).cast("long").alias("size"))
+    plan = mixing.mix(small.union(hot), ["doc_id"], block_words=500).cache()
+    totals = plan.groupBy("source").agg(F.first("source_size").alias("size"), F.first("target").alias("target"), F.sum("taken").alias("taken")).cache()
+    assert totals.count() == 100_001
+    assert totals.where("abs(taken - target) > 0.5 OR taken > 3 * size").count() == 0
+    assert plan.where("taken > 3 * size").count() == 0
+    shards = plan.select(F.explode("placements").alias("p")).groupBy("p.shard").agg(F.sum("p.words").alias("words")).collect()
+    assert len(shards) == 64 and max(r.words for r in shards) < 1.5 * sum(r.words for r in shards) / 64
+    # the hot source is dealt into blocks of about 500 words
+    blocks = 100_000 * 10 / 500
+    size = F.count(F.lit(1)).alias("n")
+    at = F.pmod(F.xxhash64(F.lit(0), F.lit("block"), "doc_id"), F.lit(int(blocks)))
+    assert hot.groupBy(at).agg(size).agg(F.max("n")).first()[0] * 10 < 3 * 500
+
+
 def test_mixed_documents_cut_and_repeat(spark):
     rows = [(i, "ab" if i % 2 else "b", "w0 w1  w2\nw3 w4") for i in range(40)] + [(50, "a", None), (51, "c", "x y"), (52, "c", "")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("shard", F.lit("mine"))
