@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import functools
 import gc
 import os
@@ -48,22 +47,16 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, records: int = 1000):
-    """Rows go to Python tasks in batches of at most ``records`` while jobs are run inside the block: Spark's
-    10,000 whole texts at a time hold tens of megabytes several times over, in the executor and in Python."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(records, int(before)) if int(before) > 0 else records))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+#: Rows of a batch to a Python task, where the session has Spark's default of 10,000.
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this library's modules to the executors, once per application (Spark's own file
+    """Set the session's Arrow batches to ``BATCH_ROWS`` rows unless it has a setting of its own (10,000 whole texts
+    are held several times over, in the executor and in its Python workers), and send this library's modules to the executors, once per application (Spark's own file
     distribution), so that functions run there can import them without an installation."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, "_cumulus_shipped", False):
         return
