@@ -52,9 +52,10 @@ _BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Set the session's Arrow batches to ``BATCH_ROWS`` rows unless it has a setting of its own (10,000 whole texts
-    are held several times over, in the executor and in its Python workers), and send this library's modules to the executors, once per application (Spark's own file
-    distribution), so that functions run there can import them without an installation."""
+    """Send this library's modules to the executors, once per application (Spark's own file
+    distribution), so that functions run there can import them without an installation. Set the session's Arrow
+    batches to ``BATCH_ROWS`` rows unless it has a setting of its own: 10,000 whole texts are held several times
+    over, in the executor and in its Python workers."""
     if spark.conf.get(_BATCH) == "10000":
         spark.conf.set(_BATCH, str(BATCH_ROWS))
     context = spark.sparkContext
