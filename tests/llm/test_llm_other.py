@@ -37,7 +37,7 @@ def canon(cols, rows):
     return sorted(tuple(str(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["op5_url_filter", "op8_line_dedup", "op10_exact_dedup"])
+@pytest.mark.parametrize("name", ["op1_topk_search", "op2_substring_dedup", "op5_url_filter", "op8_line_dedup", "op9_near_dedup", "op10_exact_dedup"])
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -141,6 +141,23 @@ def test_mix_meets_targets(spark, sizes):
     assert again == {r.doc_id: r.placements for r in got}
 
 
+def test_registered_mix_on_a_given_table(spark):
+    got = entry.queries()["op3_mix_sources"](spark, SF).collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text").collect()
+    size = {r.doc_id: len((r.text or "").encode().split()) for r in docs}
+    source = {r.doc_id: r.source for r in docs}
+    by, taken = collections.defaultdict(int), collections.defaultdict(int)
+    for i, n in size.items():
+        by[source[i]] += n
+    want = plain_targets(by)
+    assert sorted(r.doc_id for r in got) == sorted(size)
+    for r in got:
+        assert r["size"] == size[r.doc_id] and r.source_size == by[source[r.doc_id]] and abs(r.target - want[source[r.doc_id]]) < 1e-6
+        assert 0 <= r.taken <= 3 * r["size"]
+        taken[source[r.doc_id]] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 0.5 for s in by)
+
+
 def test_split_quotas_are_exact_and_even(spark):
     quotas = spark.createDataFrame([(1, 64), (2, 3), (3, 0), (4, 500)], "src int, n int")
     got = mixing.split_quotas(quotas, 3).collect()
@@ -244,6 +261,47 @@ def test_language_id(spark):
     assert language_id.predict(df.limit(0), model).count() == 0
 
 
+def plain_ngrams(text):
+    """Bins of the 1- to 3-grams, one character and one n-gram at a time."""
+    mix, out = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), collections.Counter()
+    chars = [0x20] + [0x20 if c < 0x61 or 0x7A < c < 0xAA else c for c in map(ord, text.lower())] + [0x20]
+    for at in range(len(chars)):
+        h = 0
+        for n, c in enumerate(chars[at:at + 3]):
+            h = (h ^ c) * mix[n] % (1 << 32)
+            h ^= h >> 15
+            out[(h * mix[0] % (1 << 32)) >> (32 - language_id.BITS)] += 1
+    return out
+
+
+def test_registered_language_id_against_a_plain_version(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fit(language_id.train_rows(docs))
+    got = {r.doc_id: r for r in entry.queries()["op4_language_id"](spark, SF).collect()}
+    rows = docs.collect()
+    seen, total = collections.Counter(), 0
+    for r in rows:  # document frequencies over all rows to learn from
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang is not None and r.text and any(c.isalpha() for c in r.text):
+            seen.update(set(plain_ngrams(r.text)))
+            total += 1
+    right = tried = 0
+    for r in rows:
+        one = got[r.doc_id]
+        assert one.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert (one.lang_pred, one.score) == ("und", 0.0)
+            continue
+        weight = {b: (1 + math.log(n)) * (math.log((1 + total) / (1 + seen[b])) + 1) for b, n in plain_ngrams(r.text).items()}
+        norm = math.sqrt(sum(w * w for w in weight.values()))
+        cosines = [sum(w * float(c[b]) for b, w in weight.items()) / norm for c in model.centres]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert abs(one.score - cosines[best]) < 1e-4
+        assert one.lang_pred == model.langs[best] or abs(max(c for c, lang in zip(cosines, model.langs) if lang == one.lang_pred) - cosines[best]) < 1e-4
+        if one.held_out and r.lang:
+            tried, right = tried + 1, right + (one.lang_pred == r.lang)
+    assert tried > 20 and right >= 0.95 * tried
+
+
 def test_unlearned_texts_are_rejected(spark):
     rng = random.Random(5)
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang")
@@ -429,6 +487,44 @@ def test_packing(spark):
     assert pack_documents(docs.limit(0)).count() == 0
 
 
+def test_registered_packing_on_a_given_table(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(default_tokenizer())
+    docs = {r.doc_id: [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1]
+            for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    rows = entry.queries()["op7_pack"](spark, SF).collect()
+    pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        ids = docs[r.doc_id][r.start:r.start + r.length]
+        assert len(ids) == r.length > 0 and r.doc_tokens == len(docs[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+        pieces[r.doc_id].append((r.start, r.length))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for i, ids in docs.items():
+        at = 0
+        for start, length in sorted(pieces[i]):
+            assert start == at
+            at += length
+        assert at == len(ids)
+    total = sum(map(len, docs.values()))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    # no more than one sequence above what a plain first-fit of the same pieces takes
+    rooms: list[int] = []
+    for length in sorted((n for p in pieces.values() for _, n in p), reverse=True):
+        j = next((j for j, free in enumerate(rooms) if free >= length), None)
+        if j is None:
+            rooms.append(2048 - length)
+        else:
+            rooms[j] -= length
+    assert -(-total // 2048) <= len(sequences) <= len(rooms) + 1
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_pack_histogram(seed):
     rng = random.Random(seed)
