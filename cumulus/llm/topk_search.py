@@ -9,6 +9,10 @@ the k-th best lower bound drop out; once few can still qualify, or the lists end
 their scores are resolved and the block's top k leaves the task. The blocks'
 lists are merged per query.
 
+Blocks share a bound: every query is searched in one block first, and the k-th best score found there is what rows of
+the other blocks have to reach. So where a block has nothing to offer a query, reading stops at the
+first depth that shows it.
+
 The queries are a stated set, so every block of queries meets every block of rows: one
 task's data is two blocks, whatever the size of the table.
 """
@@ -30,7 +34,9 @@ DEPTHS = (0.125, 0.25, 0.5, 0.75)
 FEW = 4
 #: Queries bounded at a time (the bounds take this times the block's rows).
 QUERY_CHUNK = 256
-_HITS = pa.schema([("q_block", pa.int64()), ("q_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()),
+#: The floor of a query that found fewer than k rows in its first block.
+_NO_FLOOR = -(1 << 63)
+_HITS = pa.schema([("dim", pa.int32()), ("q_block", pa.int64()), ("q_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()),
                    ("score", pa.int64())])
 
 
@@ -56,8 +62,10 @@ def _blocks(rows: DataFrame, n: int) -> DataFrame:
         F.flatten(F.transform("r", lambda r: r["v"])).alias("flat"))
 
 
-def nra_block(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int):
-    """Per query the row numbers and scores of its top k in one block (ties: smaller id).
+def nra_block(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray | None = None,
+              read: list[float] | None = None):
+    """Per query the row numbers and scores of its top k in one block (ties: smaller id), without rows that score
+    below the query's ``floor``. ``read`` takes up the share of the lists that each query read before it stopped.
 
     A list's rank says when a row is read: at depth t the t highest entries have been read for a positive
     query component, the t lowest for a negative one. So one pair of products bounds all rows for all
@@ -71,12 +79,14 @@ def nra_block(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarr
     ascending = np.take_along_axis(x, order, axis=0)
     up, down = np.maximum(queries, 0), np.minimum(queries, 0)
     alive = ids[None, :] != own[:, None]
-    best = np.full(len(queries), least, dtype=x.dtype)
+    best = np.full(len(queries), least, dtype=x.dtype) if floor is None else floor.astype(x.dtype)
     reading = np.flatnonzero(alive.sum(axis=1) > FEW * k)
+    depth = np.ones(len(queries)) if dims else np.zeros(len(queries))
     for share in DEPTHS if dims else ():
         if not len(reading):
             break
         t = max(1, int(n * share))
+        depth[reading] = t / n
         high, low = rank >= n - t, rank < t
 
         def bound(unread_high, unread_low, high=high, low=low, reading=reading):
@@ -88,9 +98,13 @@ def nra_block(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarr
         best[reading] = np.maximum(best[reading], np.partition(lower, n - k, axis=1)[:, n - k])
         alive[reading] &= upper >= best[reading][:, None]
         reading = reading[alive[reading].sum(axis=1) > FEW * k]
+    depth[reading] = 1.0
+    if read is not None:
+        read += depth.tolist()
     for j, q in enumerate(queries):
         at = np.flatnonzero(alive[j])
         scores = x[at] @ q
+        at, scores = at[scores >= best[j]], scores[scores >= best[j]]
         if len(at) > k:
             keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
             at, scores = at[keep], scores[keep]
@@ -100,13 +114,14 @@ def nra_block(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarr
 
 def _search(k: int):
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], []]
         for r in range(rows.num_rows):
             ids = np.asarray(rows["ids"][r].values)
             dim = rows["dim"][r].as_py()
             exact = np.asarray(rows["flat"][r].values).reshape(len(ids), dim)
             for c in range(queries.num_rows):
                 q_ids = np.asarray(queries["ids"][c].values)
+                held = queries["floors"][c].values if "floors" in queries.column_names else None
                 qs = np.asarray(queries["flat"][c].values).reshape(len(q_ids), dim)
                 reach = float(np.abs(exact).max(initial=0)) * float(np.abs(qs).max(initial=0)) * max(1, dim)
                 if reach >= 2.0 ** 62:
@@ -115,13 +130,17 @@ def _search(k: int):
                 x, qs = (exact.astype(np.float64), qs.astype(np.float64)) if reach < 2.0 ** 52 else (exact, qs)
                 for at in range(0, len(qs), QUERY_CHUNK):
                     chunk = slice(at, at + QUERY_CHUNK)
-                    for j, found, scores in nra_block(x, ids, qs[chunk], q_ids[chunk], k):
-                        out[0] += [queries["block"][c].as_py()] * len(found)
-                        out[1] += [at + j] * len(found)
-                        out[2] += [int(q_ids[at + j])] * len(found)
-                        out[3] += ids[found].tolist()
-                        out[4] += [int(s) for s in scores]
-        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in out], schema=_HITS)
+                    floor = None if held is None else np.asarray(held)[chunk]
+                    if floor is not None and x.dtype.kind == "f":
+                        floor = np.where(floor == _NO_FLOOR, -np.inf, floor)
+                    for j, found, scores in nra_block(x, ids, qs[chunk], q_ids[chunk], k, floor):
+                        out[0] += [dim] * len(found)
+                        out[1] += [queries["block"][c].as_py()] * len(found)
+                        out[2] += [at + j] * len(found)
+                        out[3] += [int(q_ids[at + j])] * len(found)
+                        out[4] += ids[found].tolist()
+                        out[5] += [int(s) for s in scores]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, _HITS.types, strict=True)], schema=_HITS)
 
     return run
 
@@ -138,13 +157,34 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = BL
     n_rows, n_queries = max(1, -(-rows.count() // block_rows)), max(1, -(-queries.count() // block_rows))
     left = materialize(_blocks(rows, n_rows), "topk-rows")
     right = materialize(_blocks(queries, n_queries), "topk-queries")
-    pairs_left = left.withColumnRenamed("block", "r_block").withColumn(
-        "q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))))
-    pairs_right = right.withColumn("q_block", F.col("block")).withColumn(
-        "r_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))))
-    hits = pairs_left.groupBy("dim", "r_block", "q_block").cogroup(
-        pairs_right.groupBy("dim", "r_block", "q_block")).applyInArrow(
-        _search(k), "q_block long, q_row long, query_id long, vec_id long, score long")
+    # Blocks of rows are numbered in the order of a hash, so any of them is a fair first one.
+    hits = _meet(left, right, "r_block = q_first", k, n_rows, n_queries)
+    if n_rows > 1:
+        hits = materialize(hits, "topk-first")
+        rest = _meet(left, right.join(_floors(hits, right, k), ["dim", "block"]), "r_block <> q_first", k, n_rows, n_queries)
+        hits = hits.union(rest)
     # The lists of a query's blocks are cut to k again before and after the shuffle (rank filter).
-    rank = F.row_number().over(Window.partitionBy("query_id", "q_block", "q_row").orderBy(F.col("score").desc(), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "q_block", "q_row", "dim").orderBy(F.col("score").desc(), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _meet(left: DataFrame, right: DataFrame, which: str, k: int, n_rows: int, n_queries: int) -> DataFrame:
+    """Hits of the blocks of rows and of queries that meet: ``which`` compares a row block's number with the first
+    one of the query block (queries are dealt to first blocks evenly)."""
+    long = lambda x: F.lit(x).cast("long")
+    pairs_left = left.withColumnRenamed("block", "r_block").withColumn(
+        "q_block", F.explode(F.sequence(long(0), long(n_queries - 1)))).withColumn("q_first", F.col("q_block") % n_rows).where(which)
+    pairs_right = right.withColumn("q_block", F.col("block")).withColumn("q_first", F.col("block") % n_rows).withColumn(
+        "r_block", F.explode(F.sequence(long(0), long(n_rows - 1)))).where(which)
+    found = pairs_left.groupBy("dim", "r_block", "q_block").cogroup(pairs_right.groupBy("dim", "r_block", "q_block")).applyInArrow(
+        _search(k), "dim int, q_block long, q_row long, query_id long, vec_id long, score long")
+    return found
+
+
+def _floors(hits: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """Per block of queries the array ``floors``: the k-th best score of each query in its first block, in order."""
+    kth = hits.groupBy("dim", "q_block", "q_row").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
+    rows = right.select("dim", "block", F.posexplode("ids").alias("q_row", "_id"))
+    return rows.join(kth.withColumnRenamed("q_block", "block").withColumn("q_row", F.col("q_row").cast("int")), ["dim", "block", "q_row"], "left").groupBy(
+        "dim", "block").agg(F.array_sort(F.collect_list(F.struct("q_row", F.coalesce("least", F.lit(_NO_FLOOR)).alias("f")))).alias("_f")).select(
+        "dim", "block", F.transform("_f", lambda x: x["f"]).alias("floors"))

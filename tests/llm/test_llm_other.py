@@ -20,7 +20,7 @@ from cumulus.llm import language_id, mixing
 from cumulus.llm.common import ship
 from cumulus.llm.packing import default_tokenizer, pack_documents, pack_histogram, token_bytes
 from cumulus.llm.secret_scan import candidates, corpus_words, scan
-from cumulus.llm.topk_search import integer_vectors, top_k
+from cumulus.llm.topk_search import DEPTHS, integer_vectors, nra_block, top_k
 from cumulus.llm.url_filter import asof_verdicts, validity_intervals
 
 SF = "/root/testdata/sf0.001"
@@ -79,6 +79,42 @@ def test_top_k(spark, kind):
     assert dict(got) == plain_top(ids, whole, 10)
 
 
+def test_reading_stops_before_the_lists_end(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(2000, 8)) * 100)
+    x[:, 0] += 5000 * (np.arange(2000) < 40)  # forty rows are far ahead in one component
+    ids, own = np.arange(2000), np.array([-1, -2])
+    queries = np.array([[100.0] + [1.0] * 7, [1.0] * 8])
+    read: list[float] = []
+    found = {j: list(scores) for j, _, scores in nra_block(x, ids, queries, own, 10, read=read)}
+    for j, q in enumerate(queries):
+        assert found[j] == sorted((x @ q).tolist(), reverse=True)[:10]
+    assert read[0] < 1
+    # a floor that no row reaches: nothing is found, at the first depth
+    best = (x @ queries[1]).max()
+    read = []
+    assert [len(s) for _, _, s in nra_block(x, ids, queries[1:], own[1:], 10, np.array([10 * best + 1e5]), read)] == [0] and read == [DEPTHS[0]]
+    # a row that just reaches it stays
+    assert [list(s) for _, _, s in nra_block(x, ids, queries[1:], own[1:], 10, np.array([best]))] == [[best]]
+
+
+@pytest.mark.parametrize("block_rows", [7, 64, 1000])
+def test_top_k_over_many_blocks(spark, block_rows):
+    rng = np.random.default_rng(block_rows)
+    rows = [(i, [float(v) for v in np.round(rng.normal(size=6), 2)]) for i in range(500)] + [(100, [0.5] * 6), (300, [0.25] * 3)]
+    v = integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {}
+    for r in top_k(v, v.where("vec_id % 20 = 0"), k=5, block_rows=block_rows).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.score))
+    ints = [(i, np.floor(np.array(x) * 1024).astype(np.int64)) for i, x in rows]
+    want = {}
+    for i, q in ints:
+        if i % 20 == 0:
+            scores = sorted((int(q @ w) for j, w in ints if j != i and len(w) == len(q)), reverse=True)[:5]
+            want.setdefault(i, []).extend(enumerate(scores, 1))
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items() if x}
+
+
 def test_top_k_odd_rows(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (None, [1.0, 1.0]),
             (5, [1.0]), (6, [1.0, 1.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (100, [-1.0, 0.5]), (200, []), (201, [])]
