@@ -35,6 +35,8 @@ CLASSES = BITS + 2
 #: A text is rejected below this share of the floor of its language and length.
 MARGIN = 0.5
 MAX_LANGUAGES = 5000
+#: Characters of a text counted at a time.
+_CHUNK = 1 << 20
 
 _LETTER = regex.compile(r"\p{L}")
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
@@ -42,18 +44,25 @@ _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Bins and counts of the 1- to 3-grams of the whole text, lower-cased; ASCII characters
-    that are not letters count as blanks."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint32)
-    c[(c < 0x61) | ((c > 0x7A) & (c < 0xAA))] = 0x20
-    c = np.concatenate([[np.uint32(0x20)], c, [np.uint32(0x20)]])
+    that are not letters count as blanks. The text is read in pieces of ``_CHUNK`` characters: an n-gram is counted in the
+    piece that its last character lies in."""
+    lowered = text.lower()
     total = np.zeros(BINS, dtype=np.int64)
-    h = np.zeros(len(c), dtype=np.uint32)
-    for n in range(3):
-        if len(c) <= n:
-            break
-        h = (h[:len(c) - n] ^ c[n:]) * _MIX[n]
-        h ^= h >> np.uint32(15)
-        total += np.bincount((h * _MIX[0]) >> np.uint32(32 - BITS), minlength=BINS)
+    blank, carried = np.array([0x20], dtype=np.uint32), np.zeros(0, dtype=np.uint32)
+    ends = [*range(_CHUNK, len(lowered), _CHUNK), len(lowered)]
+    for at, end in zip([0, *ends[:-1]], ends, strict=True):
+        c = np.frombuffer(lowered[at:end].encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint32)
+        c[(c < 0x61) | ((c > 0x7A) & (c < 0xAA))] = 0x20
+        c = np.concatenate([carried, *([] if at else [blank]), c, *([blank] if end == len(lowered) else [])])
+        h = np.zeros(len(c), dtype=np.uint32)
+        for n in range(3):
+            if len(c) <= n:
+                break
+            h = (h[:len(c) - n] ^ c[n:]) * _MIX[n]
+            h ^= h >> np.uint32(15)
+            new = h[max(0, len(carried) - n):]
+            total += np.bincount((new * _MIX[0]) >> np.uint32(32 - BITS), minlength=BINS)
+        carried = c[-2:]
     bins = np.flatnonzero(total)
     return bins, total[bins]
 

@@ -310,6 +310,14 @@ def plain_ngrams(text):
     return out
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 1 << 20])
+def test_ngrams_of_a_text_in_pieces(monkeypatch, chunk):
+    monkeypatch.setattr(language_id, "_CHUNK", chunk)
+    for text in ("", "a", "ab", "Abc", "ΑΣ ΣΑΣ. İx", "你好 world", "x1y" * 9, "the quick brown fox " * 3):
+        bins, counts = language_id.ngram_counts(text)
+        assert dict(zip(bins.tolist(), counts.tolist())) == dict(plain_ngrams(text))
+
+
 def test_registered_language_id_against_a_plain_version(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     model = language_id.fit(language_id.train_rows(docs))
