@@ -11,6 +11,7 @@ import contextlib
 import os
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import SparkSession
@@ -60,6 +61,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 #: Scratch tables handed out and not yet released, and the catalogue names of those stored by key.
 _HELD: list[str] = []
 _TABLES: dict[str, str] = {}
+#: The thread that asked for a scratch table.
+_THREADS: dict[str, int] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -67,6 +70,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/cumulus-scratch/{name}-{uuid.uuid4().hex}"
     _HELD.append(path)
+    _THREADS[path] = threading.get_ident()
     return path
 
 
@@ -82,24 +86,37 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
         where.getFileSystem(conf).delete(where, True)
         if path in _HELD:
             _HELD.remove(path)
+            _THREADS.pop(path, None)
 
 
 def release_frames(spark: SparkSession, *frames) -> None:
     """ACTION: delete the scratch tables that ``frames`` read (as :func:`materialize` and
     :func:`materialize_by_key` returned them), when nothing reads them any more."""
-    read = {f.rpartition("/")[0].rpartition("/")[2] for df in frames for f in df.inputFiles()}
+    read = _read_by(frames)
     release(spark, [p for p in _HELD if p.rpartition("/")[2] in read])
 
 
+def _read_by(frames) -> set[str]:
+    """The names of the folders whose files ``frames`` read."""
+    return {f.rpartition("/")[0].rpartition("/")[2] for df in frames for f in df.inputFiles()}
+
+
 @contextlib.contextmanager
-def releasing(spark: SparkSession):
+def releasing(spark: SparkSession, this_thread: bool = False):
     """Delete on leaving the block what was written to scratch inside it; write or collect
-    the results before."""
-    before = set(_HELD)
+    the results before. Yields a list: the scratch tables that the frames appended to it read stay, unless the block raises.
+    With ``this_thread``, tables that other threads write meanwhile stay too: for operators, which do not know
+    what else the session runs."""
+    before, kept = set(_HELD), []
     try:
-        yield
+        yield kept
+    except BaseException:
+        kept.clear()
+        raise
     finally:
-        release(spark, [p for p in _HELD if p not in before])
+        stay = _read_by(kept)
+        release(spark, [p for p in _HELD if p not in before and p.rpartition("/")[2] not in stay
+                        and not (this_thread and _THREADS[p] != threading.get_ident())])
 
 
 def local_path(uri: str) -> str:

@@ -210,3 +210,26 @@ def test_release_deletes_what_was_written(spark):
         path = session.materialize(df, "t").inputFiles()[0]
         assert os.path.exists(session.local_path(path))
     assert not os.path.exists(session.local_path(path))
+
+
+def test_releasing_keeps_named_frames_and_other_threads(spark):
+    import os
+    from concurrent.futures import ThreadPoolExecutor
+
+    from cumulus import session
+
+    df = spark.createDataFrame([(1,)], "k int")
+    there = lambda f: os.path.exists(session.local_path(f.inputFiles()[0]))
+    with session.releasing(spark, this_thread=True) as kept:
+        gone, stays = session.materialize(df, "gone"), session.materialize(df, "stays")
+        with ThreadPoolExecutor(1) as pool:
+            other = pool.submit(session.materialize, df, "other").result()
+        kept.append(stays)
+    assert [there(f) for f in (gone, stays, other)] == [False, True, True]
+    with pytest.raises(ValueError), session.releasing(spark) as kept:
+        failed = session.materialize(df, "failed")
+        kept.append(failed)
+        raise ValueError
+    assert not there(failed)
+    session.release_frames(spark, stays, other)
+    assert not there(stays) and not there(other)
