@@ -85,10 +85,10 @@ def op6_secret_scan(spark, sf_dir):
     """Every candidate key of every document, scored by a forest trained on findings labelled by their form:
     hexadecimal keys of 32 or more digits assigned in quotes are secrets, runs of letters or of digits are not."""
     docs = table(spark, sf_dir, "documents")
-    found = candidates(docs)
+    found = materialize(candidates(docs), "secret-candidates")
     key = F.col("candidate").rlike("^([0-9a-f]{32,}|[0-9A-F]{32,})$") & F.col("quoted") & F.col("before").rlike("[=:]")
     plain = F.col("candidate").rlike(r"^([A-Za-z/+_\-]+|[0-9/+_\-]+)$")
-    return scan(docs, found.withColumn("label", F.when(key, 1).when(plain, 0)))
+    return scan(docs, found.withColumn("label", F.when(key, 1).when(plain, 0)), found=found)
 
 
 def op7_pack(spark, sf_dir):

@@ -136,9 +136,11 @@ def features(found: DataFrame, words: DataFrame, transitions: list[float]) -> Da
 
 
 def scan(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source",
-         train_rows: int = TRAIN_ROWS, trees: int = 20, depth: int = 8, seed: int = 7) -> DataFrame:
+         train_rows: int = TRAIN_ROWS, trees: int = 20, depth: int = 8, seed: int = 7, found: DataFrame | None = None) -> DataFrame:
     """ACTION (counts the corpus's words, trains the forest): score every candidate of every document.
 
+    ``found`` are the documents' candidates where the caller has written them already, as for labelling; otherwise
+    they are taken here and written. So the documents are read twice: for the words and for the candidates.
     ``labelled`` has the findings' ``candidate``, ``before2``, ``before``, ``after``, ``path``, ``quoted`` (as
     :func:`candidates` gives them) and ``label`` (1 secret, 0 false positive, null: unlabelled, left out). Equal
     findings are fitted once, weighted by their number; at most about ``train_rows`` different ones of each class, chosen
@@ -153,7 +155,8 @@ def scan(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
         F.count(F.lit(1)).cast("double").alias("weight")).withColumn("_u", uniform(seed, *[F.col(c) for c in named])), "secret-labels")
     counts = {r["label"]: (r["n"], r["least"]) for r in known.groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), F.min("_u").alias("least")).collect()}
-    found = candidates(docs, id_col, text_col, path_col)
+    if found is None:
+        found = materialize(candidates(docs, id_col, text_col, path_col), "secret-candidates")
     keep = [c for c in found.columns if c != "doc_key"]
     if len(counts) < 2:
         only = float(next(iter(counts), 0))

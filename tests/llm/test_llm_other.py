@@ -5,6 +5,7 @@ import collections
 import datetime as dt
 import math
 import random
+import re
 import string
 import time
 import zlib
@@ -16,12 +17,14 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from cumulus import session
 from cumulus.llm import language_id, mixing
 from cumulus.llm.common import ship
 from cumulus.llm.packing import default_tokenizer, pack_documents, pack_histogram, token_bytes
 from cumulus.llm.secret_scan import candidates, corpus_words, scan
 from cumulus.llm.topk_search import DEPTHS, integer_vectors, nra_block, top_k
 from cumulus.llm.url_filter import asof_verdicts, validity_intervals
+from cumulus.session import materialize
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -453,12 +456,23 @@ def test_secret_scan(spark):
     held = [r for r in got if r.doc_id is not None and r.doc_id < 900 and r.doc_id % 2]
     assert len(held) > 100 and all(r.is_secret == (secret.get(r.doc_id) == r.candidate) for r in held)
     assert all(0 <= r.probability <= 1 for r in got)
+    # candidates that are written already
+    written = materialize(found, "test-candidates")
+    again = scan(docs, labelled, found=written).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
     # labels of one class, no labels, no documents
     assert {r.is_secret for r in scan(docs, labelled.where("label = 1")).collect()} == {True}
     assert {r.is_secret for r in scan(docs, labelled.limit(0)).collect()} == {False}
     assert scan(docs.limit(0), labelled.limit(0)).count() == 0
 
 
+def test_secret_query_scores_the_written_candidates(spark):
+    got = entry.queries()["op6_secret_scan"](spark, SF)
+    assert not any("documents.parquet" in f for f in got.inputFiles())
+    runs = sum(len(re.findall(r"[A-Za-z0-9+/_\-]{16,}", r.text or "")) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    assert got.count() == runs > 0
+
+
 @pytest.mark.parametrize("train_rows", [1, 5, 20, 20_000])
 def test_secret_scan_of_many_copies(spark, train_rows):
     key = "0123456789abcdef" * 2
