@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from cumulus.llm.common import text_key
 from cumulus.llm.words import run_hashes, word_hashes
-from cumulus.session import materialize
+from cumulus.session import materialize, releasing
 
 REGISTERS = 100
 #: The most that a pair at the threshold may miss every band with (2 in a million at a similarity of 0.8).
@@ -272,17 +272,19 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
     """ACTION: the sketched rows, and per digest of a set its component and that one's least id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("doc_key"),
                        F.col(text_col).cast("string").alias("text"))
-    written = materialize(rows.mapInArrow(
-        _sketch_rows(k), "doc_id long, doc_key long, n_shingles long, digest binary, sketch binary"), "near-sketches")
-    grouped = written.where("digest IS NOT NULL").groupBy("digest").agg(
-        F.min(F.struct("doc_id", "doc_key")).alias("rep"), F.min("doc_id").alias("least_id"),
-        F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    classes = materialize(grouped.withColumn("nid", F.monotonically_increasing_id()), "near-classes")
-    found = near_components(classes, docs, k, percent, id_col, text_col)
-    of_class = classes.select("digest", "nid", "least_id").join(found, "nid", "left").select(
-        "digest", "least_id", F.coalesce("component", "nid").alias("component"))
-    least = of_class.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = materialize(of_class.join(least, "component").select("digest", "component", "component_id"), "near-components")
+    with releasing(docs.sparkSession, this_thread=True) as kept:  # what the comparison writes is not needed once the components are
+        written = materialize(rows.mapInArrow(
+            _sketch_rows(k), "doc_id long, doc_key long, n_shingles long, digest binary, sketch binary"), "near-sketches")
+        grouped = written.where("digest IS NOT NULL").groupBy("digest").agg(
+            F.min(F.struct("doc_id", "doc_key")).alias("rep"), F.min("doc_id").alias("least_id"),
+            F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+        classes = materialize(grouped.withColumn("nid", F.monotonically_increasing_id()), "near-classes")
+        found = near_components(classes, docs, k, percent, id_col, text_col)
+        of_class = classes.select("digest", "nid", "least_id").join(found, "nid", "left").select(
+            "digest", "least_id", F.coalesce("component", "nid").alias("component"))
+        least = of_class.groupBy("component").agg(F.min("least_id").alias("component_id"))
+        named = materialize(of_class.join(least, "component").select("digest", "component", "component_id"), "near-components")
+        kept += [written, named]
     return written, named
 
 

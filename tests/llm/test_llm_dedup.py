@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cumulus import session
 from cumulus.llm.common import ship
 from cumulus.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from cumulus.llm.line_dedup import apply_bitmaps, line_bitmaps
@@ -227,6 +228,13 @@ def test_near_links_that_miss_the_hub(spark):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == plain_components(rows, 4, 80)
 
 
+def test_near_leaves_only_the_tables_that_its_result_reads(spark):
+    before = set(session._HELD)
+    got = near_duplicates(frame(spark, corpus()), k=4)
+    left = [p.rpartition("/")[2].rpartition("-")[0] for p in session._HELD if p not in before]
+    assert sorted(left) == ["near-components", "near-sketches"] and got.count() == len(corpus())
+
+
 def test_near_empty(spark):
     assert near_duplicates(frame(spark, []), k=4).count() == 0
     got = near_duplicates(frame(spark, [(1, None), (2, ""), (3, "  ")]), k=4).collect()
