@@ -15,7 +15,7 @@ from cumulus.llm.line_dedup import apply_bitmaps, line_bitmaps
 from cumulus.llm.mixing import mix, mixed_documents, word_count
 from cumulus.llm.near_dedup import one_of_each
 from cumulus.llm.packing import pack_documents
-from cumulus.session import materialize
+from cumulus.session import materialize, release_frames, releasing
 
 #: Near duplicates: words per shingle and similarity in percent.
 SHINGLE, PERCENT = 5, 80
@@ -84,8 +84,13 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir) -> DataFrame:
-    """All stages over the documents table; every result but the last is written and read again."""
+    """All stages over the documents table; every result but the last is written and read again. What a stage wrote
+    for itself, and the result that it read, are deleted as soon as its own result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.lower().replace(' ', '-')}")
+        with releasing(spark, this_thread=True) as kept:
+            done = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.lower().replace(' ', '-')}")
+            kept.append(done)
+        release_frames(spark, docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -640,7 +640,11 @@ def test_pipeline_stages(spark):
     assert four.columns == columns and all(abs(got[s] - want[s]) <= 0.5 for s in size)
     five = packed(spark, four, SF).collect()
     assert sum(r.length for r in five) == sum(len(token_bytes(r.text.encode(), default_tokenizer(), 1)) // 4 for r in four.collect())
-    assert corpus_pipeline.run(spark, SF).count() > 0
+    held = set(session._HELD)
+    packed = corpus_pipeline.run(spark, SF)
+    assert packed.count() > 0
+    left = {p.rpartition("/")[2].rpartition("-")[0] for p in session._HELD if p not in held}
+    assert "pipeline-mixing" in left and not any(x.startswith(("near-", "line-", "mix-", "pipeline-l", "pipeline-n")) for x in left)
 
 
 def test_pipeline_keeps_one_row_of_each_near_duplicate(spark):
